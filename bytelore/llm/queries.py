@@ -5,8 +5,12 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from . import langid
+from .decontam import find_contamination
 from .quality import repetition_quality
+from .secrets import find_secrets
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -25,3 +29,56 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def op1_suffix_repetition(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Suffix-array repetition counts and verdict of every document."""
     return repetition_quality(_table(spark, sf_dir, "documents"))
+
+
+@_query
+def op2_naive_bayes_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every document, learned from two thirds of them."""
+    docs = _table(spark, sf_dir, "documents")
+    part = F.crc32(F.col("doc_id").cast("string")) % 3
+    model = langid.train(docs.where(part != 1))
+    return langid.predict(docs, model).select("doc_id", (part == 1).alias("held_out"), "lang_pred", "score", "n_grams")
+
+
+@_query
+def op7_trigram_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets of every document, found through segment indexes of trigrams."""
+    found = find_secrets(_table(spark, sf_dir, "documents"))
+    joined = lambda a: F.array_join(F.transform(a, lambda x: F.concat_ws(":", x["kind"], x["start"].cast("string"), x["end"].cast("string"))), ",")
+    base = F.filter("secrets", lambda x: x["rule"] < 3)
+    count = lambda kind: F.size(F.filter("secrets", lambda x: x["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    return found.select("doc_id", count("assign"), count("access"), count("hex"), F.sha2(joined(base), 256).alias("base_sha256"), joined(F.col("secrets")).alias("spans"))
+
+
+@_query
+def op10_suffix_automaton_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Benchmark items that occur in every document."""
+    found = find_contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+    n_hit = F.aggregate("hit_spans", F.lit(0).cast("long"), lambda n, s: n + s["words"])
+    return found.select(
+        "doc_id", "n_words", n_hit.alias("n_hit"), F.size("hit_items").cast("long").alias("n_items"),
+        F.sha2(F.array_join("hit_items", ","), 256).alias("items_sha256"), (n_hit > 0).alias("contaminated"), "longest_match",
+    )
+
+
+_WORDS_10 = "regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
+# longest_match is the automaton's own figure: the longest item string that ends where a window ends
+ORACLE_SQL["op10_suffix_automaton_leaks"] = f"""
+with d as (select doc_id, coalesce({_WORDS_10}, []) w from documents),
+b as (select cast(item_id as varchar) item, {_WORDS_10} w from benchmark),
+i as (select item, w, least(10, len(w)) n from b where len(w) > 0),
+win as (select distinct item, n, array_to_string(w[p:p + n - 1], ' ') s from (select item, w, n, unnest(range(1, len(w) - n + 2)) p from i)),
+pos as (select doc_id, w, unnest(range(1, len(w) + 1)) p from d),
+at as (select doc_id, p, n, array_to_string(w[p:p + n - 1], ' ') s from pos, (select distinct n from win) where p + n - 1 <= len(w)),
+hit as (select doc_id, p, at.n, item from at join win using (s) where at.n = win.n),
+run as (select doc_id, p, max(g) longest_match from (
+  select h.doc_id, h.p, g from (select distinct doc_id, p + n - 1 p, n from hit) h join d using (doc_id), lateral (
+    select max(k) g from (select unnest(range(h.n, h.p + 1)) k) where exists (
+      select 1 from i where contains(' ' || array_to_string(i.w, ' ') || ' ', ' ' || array_to_string(d.w[h.p - k + 1:h.p], ' ') || ' ')))) group by all)
+select d.doc_id, cast(len(d.w) as bigint) n_words,
+  (select count(distinct q) from (select unnest(range(p, p + n)) q from hit where hit.doc_id = d.doc_id)) n_hit,
+  (select count(distinct item) from hit where hit.doc_id = d.doc_id) n_items,
+  sha256(coalesce((select string_agg(item, ',' order by item) from (select distinct item from hit where hit.doc_id = d.doc_id)), '')) items_sha256,
+  exists (select 1 from hit where hit.doc_id = d.doc_id) contaminated,
+  cast(coalesce((select max(longest_match) from run where run.doc_id = d.doc_id), 0) as bigint) longest_match
+from d"""
