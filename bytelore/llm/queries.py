@@ -57,28 +57,21 @@ def op10_suffix_automaton_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
     n_hit = F.aggregate("hit_spans", F.lit(0).cast("long"), lambda n, s: n + s["words"])
     return found.select(
         "doc_id", "n_words", n_hit.alias("n_hit"), F.size("hit_items").cast("long").alias("n_items"),
-        F.sha2(F.array_join("hit_items", ","), 256).alias("items_sha256"), (n_hit > 0).alias("contaminated"), "longest_match",
+        F.sha2(F.array_join("hit_items", ","), 256).alias("items_sha256"), (n_hit > 0).alias("contaminated"),
     )
 
 
 _WORDS_10 = "regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
-# longest_match is the automaton's own figure: the longest item string that ends where a window ends
 ORACLE_SQL["op10_suffix_automaton_leaks"] = f"""
 with d as (select doc_id, coalesce({_WORDS_10}, []) w from documents),
 b as (select cast(item_id as varchar) item, {_WORDS_10} w from benchmark),
 i as (select item, w, least(10, len(w)) n from b where len(w) > 0),
 win as (select distinct item, n, array_to_string(w[p:p + n - 1], ' ') s from (select item, w, n, unnest(range(1, len(w) - n + 2)) p from i)),
 pos as (select doc_id, w, unnest(range(1, len(w) + 1)) p from d),
-at as (select doc_id, p, n, array_to_string(w[p:p + n - 1], ' ') s from pos, (select distinct n from win) where p + n - 1 <= len(w)),
-hit as (select doc_id, p, at.n, item from at join win using (s) where at.n = win.n),
-run as (select doc_id, p, max(g) longest_match from (
-  select h.doc_id, h.p, g from (select distinct doc_id, p + n - 1 p, n from hit) h join d using (doc_id), lateral (
-    select max(k) g from (select unnest(range(h.n, h.p + 1)) k) where exists (
-      select 1 from i where contains(' ' || array_to_string(i.w, ' ') || ' ', ' ' || array_to_string(d.w[h.p - k + 1:h.p], ' ') || ' ')))) group by all)
-select d.doc_id, cast(len(d.w) as bigint) n_words,
-  (select count(distinct q) from (select unnest(range(p, p + n)) q from hit where hit.doc_id = d.doc_id)) n_hit,
-  (select count(distinct item) from hit where hit.doc_id = d.doc_id) n_items,
-  sha256(coalesce((select string_agg(item, ',' order by item) from (select distinct item from hit where hit.doc_id = d.doc_id)), '')) items_sha256,
-  exists (select 1 from hit where hit.doc_id = d.doc_id) contaminated,
-  cast(coalesce((select max(longest_match) from run where run.doc_id = d.doc_id), 0) as bigint) longest_match
-from d"""
+spot as (select doc_id, p, n, array_to_string(w[p:p + n - 1], ' ') s from pos, (select distinct n from win) where p + n - 1 <= len(w)),
+hit as (select doc_id, p, spot.n, item from spot join win on spot.s = win.s and spot.n = win.n),
+words as (select doc_id, count(distinct q) n_hit from (select doc_id, unnest(range(p, p + n)) q from hit) group by doc_id),
+items as (select doc_id, count(*) n_items, string_agg(item, ',' order by item) ids from (select distinct doc_id, item from hit) group by doc_id)
+select d.doc_id, cast(len(d.w) as bigint) n_words, coalesce(n_hit, 0) n_hit, coalesce(n_items, 0) n_items,
+  sha256(coalesce(ids, '')) items_sha256, n_hit is not null contaminated
+from d left join words using (doc_id) left join items using (doc_id)"""
