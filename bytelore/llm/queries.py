@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid
+from . import langid, toxicity
 from .decontam import find_contamination
 from .quality import repetition_quality
 from .secrets import find_secrets
@@ -40,6 +40,16 @@ def op2_naive_bayes_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predict(docs, model).select("doc_id", (part == 1).alias("held_out"), "lang_pred", "score", "n_grams")
 
 
+@_query
+def op5_segment_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every document, learned from four fifths of the labelled ones."""
+    docs, labels = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")
+    held_out = F.crc32(F.col("doc_id").cast("string")) % 5 == 0
+    model = toxicity.train(docs, labels.where(~held_out))
+    scored = toxicity.score_toxicity(docs.select("doc_id", "text"), model)
+    return scored.select("doc_id", held_out.alias("held_out"), F.col("toxicity").alias("score"), (F.col("toxicity") >= 0.5).cast("int").alias("predicted"), F.size("toxic_passages").cast("long").alias("n_passages"))
+
+
 @_query
 def op7_trigram_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Secrets of every document, found through segment indexes of trigrams."""
