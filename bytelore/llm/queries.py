@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from . import langid, toxicity
 from .decontam import find_contamination
+from .neardup import near_duplicates
 from .quality import repetition_quality
 from .secrets import find_secrets
 
@@ -40,6 +41,26 @@ def op2_naive_bayes_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predict(docs, model).select("doc_id", (part == 1).alias("held_out"), "lang_pred", "score", "n_grams")
 
 
+@_query
+def op3_chosen_path_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate class of every document, by sets of four-word shingles."""
+    return near_duplicates(_table(spark, sf_dir, "documents"), shingle=4)
+
+
+_WORDS = "regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+')"
+ORACLE_SQL["op3_chosen_path_duplicates"] = f"""
+with recursive d as (select doc_id, coalesce({_WORDS}, []) w from documents),
+pieces as (select doc_id, unnest(case when len(w) = 0 then [] when len(w) < 4 then [array_to_string(w, ' ')]
+  else list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i:i + 3], ' ')) end) s from d),
+sets as (select distinct doc_id, s from pieces),
+n as (select doc_id, count(*) n from sets group by doc_id),
+pairs as (select a.doc_id x, b.doc_id y, count(*) c from sets a join sets b on a.s = b.s and a.doc_id <> b.doc_id group by all),
+links as (select x, y from pairs join n p on p.doc_id = x join n q on q.doc_id = y where 100 * c >= 80 * (p.n + q.n - c)),
+reach as (select doc_id, doc_id r from d union select reach.doc_id, links.y from reach join links on links.x = reach.r)
+select doc_id, coalesce(n.n, 0) n_shingles, min(r) component_id, doc_id = min(r) kept
+from reach left join n using (doc_id) group by doc_id, n.n"""
+
+
 @_query
 def op5_segment_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Toxicity of every document, learned from four fifths of the labelled ones."""
