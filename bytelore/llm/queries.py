@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from . import langid, toxicity
 from .decontam import find_contamination
 from .neardup import near_duplicates
+from .packing import pack_sequences
 from .quality import repetition_quality
 from .secrets import find_secrets
 
@@ -81,6 +82,15 @@ def op7_trigram_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", count("assign"), count("access"), count("hex"), F.sha2(joined(base), 256).alias("base_sha256"), joined(F.col("secrets")).alias("spans"))
 
 
+@_query
+def op8_order_preserving_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pieces of all documents in sequences of at most 4096 tokens."""
+    import public_tokenizers
+
+    packed = pack_sequences(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), with_ids=False)
+    return packed.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
+
+
 @_query
 def op10_suffix_automaton_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Benchmark items that occur in every document."""
