@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from . import langid, toxicity
 from .decontam import find_contamination
+from .linedup import later_matches
 from .neardup import near_duplicates
 from .packing import pack_sequences
 from .quality import repetition_quality
@@ -72,6 +73,35 @@ def op5_segment_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held_out.alias("held_out"), F.col("toxicity").alias("score"), (F.col("toxicity") >= 0.5).cast("int").alias("predicted"), F.size("toxic_passages").cast("long").alias("n_passages"))
 
 
+@_query
+def op6_line_set_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of every document that an earlier line matches."""
+    docs = _table(spark, sf_dir, "documents")
+    gone = later_matches(docs).groupBy("doc_id").agg(F.sort_array(F.collect_set("line_no")).alias("gone"))
+    lines = docs.select("doc_id", F.coalesce(F.size(F.split("text", "\n")), F.lit(0)).cast("long").alias("n_lines")).withColumn("n_lines", F.greatest("n_lines", F.lit(0)))
+    removed = F.coalesce("gone", F.array().cast("array<int>"))
+    return lines.join(gone, "doc_id", "left").select("doc_id", "n_lines", F.size(removed).cast("long").alias("n_removed"), F.array_join(removed.cast("array<string>"), ",").alias("removed_lines"))
+
+
+ORACLE_SQL["op6_line_set_join"] = """
+with l as (select doc_id, line_no - 1 line_no, lines[line_no] line from
+  (select doc_id, string_split(text, chr(10)) lines, unnest(range(1, len(string_split(text, chr(10))) + 1)) line_no from documents)),
+k as (select doc_id, line_no, list_sort(list_distinct(regexp_extract_all(lower(line), '[^\\x20\\x09-\\x0D]+'))) w from l),
+big as (select *, len(w) n from k where len(w) >= 5),
+sets as (select w, n, min((doc_id, line_no)) p from big group by all),
+words as (select p, n, unnest(w) t from sets),
+freq as (select t, count(*) f from words group by t),
+ordered as (select p, n, t, row_number() over (partition by p order by f, t) i from words join freq using (t)),
+prefix as (select p, n, t from ordered where i <= n - cast(ceil(0.8 * n - 1e-9) as int) + 1),
+near as (select distinct a.p x, b.p y from prefix a join prefix b on a.t = b.t and a.p < b.p and 100 * least(a.n, b.n) >= 80 * greatest(a.n, b.n)),
+hit as (select distinct near.y p from near join sets s on s.p = near.x join sets q on q.p = near.y
+  where 100 * len(list_intersect(s.w, q.w)) >= 80 * (s.n + q.n - len(list_intersect(s.w, q.w)))),
+gone as (select doc_id, line_no from big join sets on big.w = sets.w where (doc_id, line_no) <> p or p in (select p from hit)),
+per as (select doc_id, count(*) n_removed, string_agg(cast(line_no as varchar), ',' order by line_no) removed_lines from gone group by doc_id)
+select doc_id, coalesce(len(string_split(text, chr(10))), 0) n_lines, coalesce(n_removed, 0) n_removed, coalesce(removed_lines, '') removed_lines
+from documents left join per using (doc_id)"""
+
+
 @_query
 def op7_trigram_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Secrets of every document, found through segment indexes of trigrams."""
