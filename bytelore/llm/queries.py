@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from . import langid, toxicity
 from .decontam import find_contamination
 from .linedup import later_matches
+from .maxent import score_texts
 from .neardup import near_duplicates
 from .packing import pack_sequences
 from .quality import repetition_quality
@@ -121,6 +122,15 @@ def op8_order_preserving_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
 
 
+@_query
+def op9_maximum_entropy_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Log probability of every document, learned from six sevenths of them."""
+    docs = _table(spark, sf_dir, "documents")
+    held_out = F.crc32(F.col("doc_id").cast("string")) % 7 == 2
+    scored = score_texts(docs.select("doc_id", "text", (~held_out).alias("train")))
+    return scored.select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 @_query
 def op10_suffix_automaton_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Benchmark items that occur in every document."""
