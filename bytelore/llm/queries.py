@@ -13,6 +13,7 @@ from .linedup import later_matches
 from .maxent import score_texts
 from .neardup import near_duplicates
 from .packing import pack_sequences
+from .pii import pseudonymise
 from .quality import repetition_quality
 from .secrets import find_secrets
 
@@ -64,6 +65,12 @@ select doc_id, coalesce(n.n, 0) n_shingles, min(r) component_id, doc_id = min(r)
 from reach left join n using (doc_id) group by doc_id, n.n"""
 
 
+@_query
+def op4_keyed_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with its personal data replaced by surrogates under a fixed key."""
+    return pseudonymise(_table(spark, sf_dir, "documents").select("doc_id", "text"), b"the key of the test query")
+
+
 @_query
 def op5_segment_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Toxicity of every document, learned from four fifths of the labelled ones."""
