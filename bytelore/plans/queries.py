@@ -319,3 +319,25 @@ def name_issues(spark: SparkSession, sf_dir: str) -> DataFrame:
     double, dot, blank = f.rlike(_DOUBLE), F.left(f, F.lit(1)) == ".", f != F.trim(f)
     bit: Column = F.when(double, 1).otherwise(0).bitwiseOR(F.when(dot, 2).otherwise(0)).bitwiseOR(F.when(blank, 4).otherwise(0))
     return _table(spark, sf_dir, "part").select("p_partkey", F.expr(_FILE).alias("f")).select("p_partkey", double.alias("double_extension"), dot.alias("leading_dot"), blank.alias("outer_blank"), bit.alias("issues"))
+
+
+_EMITTED = [("log", "Low", 6), ("csv", "Low", 0), ("md", "Low", -8), ("json", "Medium", 6), ("xml", "Medium", -4), ("log", "Medium", 2), ("ps1", "High", 3), ("txt", "Low", 0)]
+_GIVEN = lambda i: f"(o_orderkey * {2 * i + 3} + {i}) % {3 + i % 3} = 0"
+_DECLARED = "case o_orderkey % 5 when 0 then 'log' when 1 then 'md' when 2 then 'csv' else '' end"
+
+
+@_query(
+    f"""with e as (select o_orderkey, {_DECLARED} decl, unnest(list_filter([{', '.join(f"case when {_GIVEN(i)} then {{'ext': '{x}', 'conf': '{c}', 'adj': {a}, 'place': {i}}} end" for i, (x, c, a) in enumerate(_EMITTED))}], lambda x: x is not null)) c from orders),
+s as (select o_orderkey, c.ext ext, c.place place, least(case c.conf when 'High' then 100 when 'Medium' then 79 else 59 end, greatest(case c.conf when 'High' then 80 when 'Medium' then 60 else 40 end, case c.conf when 'High' then 90 when 'Medium' then 70 else 50 end + c.adj + case when c.ext = decl then 3 else 0 end)) score from e),
+d as (select *, row_number() over (partition by o_orderkey, ext order by score desc, place) k from s),
+r as (select *, row_number() over (partition by o_orderkey order by score desc, place) n from d where k = 1)
+select o_orderkey, string_agg(ext || ':' || score, ',' order by n) ranking, max(case when n = 1 then ext end) best from r where n <= 5 group by o_orderkey"""
+)
+def ranked_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Candidates of types, scored, one for each type, the best five in order."""
+    from ..operators import rank
+
+    emitted = F.array_compact(F.array(*(F.when(F.expr(_GIVEN(i)), rank.candidate(x, c, a)) for i, (x, c, a) in enumerate(_EMITTED))))
+    found = _table(spark, sf_dir, "orders").select("o_orderkey", F.expr(_DECLARED).alias("decl"), emitted.alias("c")).where(F.size("c") > 0)
+    order = found.select("o_orderkey", F.slice(rank.ranked(F.col("c"), F.col("decl")), 1, 5).alias("r"))
+    return order.select("o_orderkey", F.array_join(F.transform("r", lambda c: F.concat(c["ext"], F.lit(":"), c["score"].cast("string"))), ",").alias("ranking"), F.get("r", F.lit(0))["ext"].alias("best"))
