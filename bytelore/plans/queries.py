@@ -341,3 +341,39 @@ def ranked_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = _table(spark, sf_dir, "orders").select("o_orderkey", F.expr(_DECLARED).alias("decl"), emitted.alias("c")).where(F.size("c") > 0)
     order = found.select("o_orderkey", F.slice(rank.ranked(F.col("c"), F.col("decl")), 1, 5).alias("r"))
     return order.select("o_orderkey", F.array_join(F.transform("r", lambda c: F.concat(c["ext"], F.lit(":"), c["score"].cast("string"))), ",").alias("ranking"), F.get("r", F.lit(0))["ext"].alias("best"))
+
+
+@_query(
+    "select doc_id, case when st >= 2 or (st >= 1 and vb >= 3) then 'Strong' when vb >= 3 or contains(low, '$env:') or contains(low, '$psmodulepath') then 'Weak' else 'None' end powershell from (select doc_id, low, "
+    + DUCK.number(*(DUCK.has("low", x) for x in ("[cmdletbinding", "set-strictmode", "$psversiontable", "import-module", "function ")), DUCK.has("low", "param(", "param ("), f"({DUCK.has('low', '#!/')} and {DUCK.has('low', 'pwsh', 'powershell')})")
+    + " st, " + DUCK.number(*(DUCK.has("low", x) for x in ("get-", "set-", "invoke-", "new-", "remove-", "start-", "stop-", "enable-", "disable-", "update-", "add-"))) + f" vb from (select doc_id, lower(text) low from (select doc_id, {_opened('text', 'doc_id')} as text from documents)))"
+)
+def powershell_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How much every document, behind an opening of another type, looks like PowerShell."""
+    from ..functions.references import powershell_class
+
+    docs = _table(spark, sf_dir, "documents").select("doc_id", F.expr(_opened("text", "doc_id")).alias("text"))
+    return docs.select("doc_id", powershell_class(F.col("text")).alias("powershell"))
+
+
+
+@_query("select doc_id, cast(case when doc_id % 3 = 0 then 1 else 0 end as integer) web_tokens from documents")
+def web_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Signed web tokens of every document, of which a third carry one made of the key."""
+    from ..functions.references import web_tokens
+
+    segment = lambda s: F.translate(F.base64(F.encode(s, "utf-8")), "+/=", "-_")
+    token = F.concat(segment(F.lit('{"alg":"HS256"}')), F.lit("."), segment(F.concat(F.lit('{"sub":"'), F.col("doc_id").cast("string"), F.lit('"}'))), F.lit(".abcdef12"))
+    text = F.concat(F.col("text"), F.lit(" "), F.when(F.col("doc_id") % 3 == 0, token).otherwise(""))
+    return _table(spark, sf_dir, "documents").select("doc_id", web_tokens(text).alias("web_tokens"))
+
+
+_PATH_SQL = "concat(case p_partkey % 8 when 0 then 'C:' || chr(92) || 'Program Files' || chr(92) when 1 then chr(92) || chr(92) || 'srv' || chr(92) when 2 then '%TEMP%' || chr(92) when 3 then 'bin' || chr(92) when 4 then '/tmp/' when 5 then chr(34) || 'C:' || chr(92) || 'a b' || chr(92) else '' end, 'run', p_partkey, '.exe')"
+
+
+@_query(f"select p_partkey, cast(case p_partkey % 8 when 0 then 5 when 1 then 2 when 2 then 16 when 3 then 8 when 4 then 36 when 5 then 4 else 0 end as integer) issues from (select p_partkey, {_PATH_SQL} p from part)")
+def path_issue_bits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is odd in the paths of commands, as a bit mask."""
+    from ..functions.references import path_issues
+
+    return _table(spark, sf_dir, "part").select("p_partkey", path_issues(F.expr(_PATH_SQL)).alias("issues"))
