@@ -33,7 +33,7 @@ def altered(text, n, r):
     return " ".join(w)
 
 
-@pytest.mark.parametrize("join", [neardup.Join(), neardup.Join(small=3), neardup.Join(small=2, depth=1)])
+@pytest.mark.parametrize("join", [neardup.Join(), neardup.Join(small=3), neardup.Join(small=2, depth=1), neardup.Join(small=5, depth=20)])
 def test_near_duplicates_match_brute_force(spark, prose, join):
     r = random.Random(7)
     texts = [None, "", " \n", "a", "A", "a b", "one two three", *(prose(i, r.randint(5, 150)) for i in range(40))]
@@ -102,3 +102,43 @@ def test_lines_of_odd_rows(spark, odd):
     assert out.columns == odd.columns and ids[5] == 0 and ids[4] == 1 and ids[1] == ids[2] == ids[3] == 1 and ids[8] == 2 and ids[None] == 2
     assert [x["text"] for x in rows if x["doc_id"] == 7] == [] or len([x["text"] for x in rows if x["doc_id"] == 7][0]) < 10
     assert linedup.dedup_lines(odd.where("doc_id = -1")).count() == 0
+
+
+def test_pipeline_matches_brute_force(spark, prose, tmp_path):
+    public = pytest.importorskip("public_tokenizers")
+    from tokenizers import Tokenizer
+
+    import corpus_pipeline
+
+    r = random.Random(11)
+    item = prose(500, 14)
+    body = lambda i: "\n".join(prose(1000 * i + k, r.randint(8, 30)) for k in range(5))
+    texts = {i: body(i) for i in range(60)}
+    for i in range(0, 60, 4):
+        texts[i] = f"nasty rude words {texts[i]} rude nasty"
+    texts[61] = texts[1]
+    texts[62] = altered(texts[2].replace("\n", " "), 1, r)
+    texts[63] = f"{prose(900, 30)} {item} {prose(901, 30)}"
+    texts[64], texts[65], texts[66] = item, None, ""
+    spark.createDataFrame([(k, t, "en", "s", 1) for k, t in texts.items()], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(k, 1, int(k % 4 == 0)) for k in range(60)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    seen = []
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, str(tmp_path))
+        assert out.columns == docs.columns
+        out.write.parquet(f"{tmp_path}/{name.replace(' ', '')}")
+        docs = spark.read.parquet(f"{tmp_path}/{name.replace(' ', '')}")
+        seen.append({x["doc_id"]: x["text"] for x in docs.collect()})
+    clean, lines, single, safe = seen
+    assert set(clean) == {k for k in texts if k >= 60 or k % 4} and all(clean[k] == texts[k] for k in clean)
+    gone = brute_lines(clean.items())
+    want = {k: t if t is None else "\n".join(x for i, x in enumerate(t.split("\n")) if (k, i) not in gone) for k, t in clean.items()}
+    assert lines == {k: t for k, t in want.items() if t is None or t.strip() or not clean[k].strip()} and 61 not in lines
+    assert set(single) == {k for k, (_, g) in brute(lines.items(), 5).items() if g == k} and 62 not in single
+    assert 64 not in safe and item not in safe[63] and {k: t for k, t in single.items() if k not in (63, 64)} == {k: t for k, t in safe.items() if k != 63}
+    tokenizer, ids = Tokenizer.from_file(public.path("word_bpe_49k.json")), {}
+    for x in sorted(corpus_pipeline.run(spark, str(tmp_path)).collect(), key=lambda x: (x["doc_id"], x["start"])):
+        ids.setdefault(x["doc_id"], []).extend(x["ids"])
+    assert ids == {k: tokenizer.encode(t or "", add_special_tokens=False).ids + [2] for k, t in safe.items()}
