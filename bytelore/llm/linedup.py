@@ -1,8 +1,10 @@
 """Near-duplicate lines across a corpus: an exact set-similarity join in DataFrame operations alone.
 
 A line is the set of its words, ordered from rare to common.  Two sets as similar as asked share a word in short prefixes
-of that order, so only lines that share a prefix word, and whose sizes and places of that word allow the overlap, are
-verified.  Lines with an earlier match go.
+of that order, so only lines matter that share a prefix word with another, where the sizes, the places of that word and a
+bitmap of the words allow the overlap.  Their words are read again from the texts.  Each is verified against the first
+line of every prefix word's group, which settles most; the others are verified against all of the group by a semi-join.
+No step makes a row for each pair, so large groups of near copies cost no more than their members.
 """
 
 from __future__ import annotations
@@ -13,7 +15,8 @@ from pyspark.sql import functions as F
 from ._scratch import store
 
 #: Hash buckets in which words are counted; a word is as rare as its bucket.
-BUCKETS = 1 << 15
+BUCKETS = 1 << 18
+_RANK_BITS = 18
 _GAP = "[ \\t\\n\\x0B\\f\\r]+"
 _BLANK = " \t\n\x0b\f\r"
 
@@ -24,29 +27,57 @@ def _words(text: Column) -> Column:
 
 
 def _ranks(docs: DataFrame) -> Column:
-    """An array literal: for each bucket its place from rare to common, by the counts of all words.
+    """An array literal: for each bucket its place from rare to common as the high bits of a key, by the counts of all words.
 
     The counts are BUCKETS rows whatever the input, so the driver holds them.
     """
     words = docs.where("_text is not null").select(F.explode(_words(F.col("_text"))).alias("w"))
-    counts = dict(words.groupBy(F.pmod(F.xxhash64("w"), F.lit(BUCKETS)).alias("b")).count().collect())
+    counts = dict(words.groupBy(F.xxhash64("w").bitwiseAND(BUCKETS - 1).alias("b")).count().collect())
     order = sorted(range(BUCKETS), key=lambda b: (counts.get(b, 0), b))
     place = [0] * BUCKETS
     for i, b in enumerate(order):
-        place[b] = i
+        place[b] = i << (63 - _RANK_BITS)
     return F.split(F.lit(",".join(map(str, place))), ",").cast("array<long>")
 
 
 def _keys(line: Column, ranks: Column) -> Column:
     """The line's distinct words as 63-bit numbers that sort from rare to common; empty for a blank line."""
-    key = lambda w: F.shiftleft(F.get(ranks, F.pmod(F.xxhash64(w), F.lit(BUCKETS)).cast("int")), 48).bitwiseOR(F.shiftrightunsigned(F.xxhash64(w), 16))
-    return F.sort_array(F.array_distinct(F.transform(_words(line), key)))
+    hashes = F.transform(_words(line), lambda w: F.xxhash64(w))
+    key = lambda h: F.get(ranks, h.bitwiseAND(BUCKETS - 1).cast("int")).bitwiseOR(F.shiftrightunsigned(h, 1 + _RANK_BITS))
+    return F.sort_array(F.array_distinct(F.transform(hashes, key)))
 
 
 def _at_least(percent: int, n: Column) -> Column:
     return F.ceil(n * percent / F.lit(100.0) - F.lit(1e-9)).cast("int")
 
 
+def _prefix(percent: int) -> Column:
+    """The places and words (31 bits) of the prefix of ``keys``."""
+    return F.transform(F.slice("keys", 1, F.col("n") - _at_least(percent, F.col("n")) + 1), lambda k: k.bitwiseAND(0x7FFFFFFF).cast("int"))
+
+
+def _bitmap(high: bool) -> Column:
+    """One of the two halves of a bitmap of ``keys``."""
+    which = lambda k: F.shiftright(k, 6).bitwiseAND(1).bitwiseXOR(0 if high else 1)
+    one = lambda k: F.call_function("shiftleft", which(k), k.bitwiseAND(63).cast("int"))
+    return F.aggregate("keys", F.lit(0).cast("long"), lambda bits, k: bits.bitwiseOR(one(k)))
+
+
+def _may_match(percent: int) -> Column:
+    """Whether lines l and r, which share the prefix word at places i, can be similar enough."""
+    n = F.col("l.n") + F.col("r.n")
+    sizes = 100 * F.least("l.n", "r.n") >= percent * F.greatest("l.n", "r.n")
+    room = F.least("l.i", "r.i") + F.least(F.col("l.n") - F.col("l.i"), F.col("r.n") - F.col("r.i"))
+    places = room * (100 + percent) >= n * percent
+    apart = sum(F.bit_count(F.col(f"l.{b}").bitwiseXOR(F.col(f"r.{b}"))) for b in ("b1", "b2"))
+    return sizes & places & (apart * (100 + percent) <= n * (100 - percent))
+
+
+def _similar(p: Column, q: Column, percent: int) -> Column:
+    common = F.size(F.array_intersect(p, q))
+    return 100 * common >= percent * (F.size(p) + F.size(q) - common)
+
+
 def later_matches(docs: DataFrame, key: str = "doc_id", text: str = "text", percent: int = 80, least_words: int = 5) -> DataFrame:
     """Lines that an earlier line matches: ``key`` (as a long) and ``line_no`` (from 0), each once.
 
@@ -59,35 +90,42 @@ def later_matches(docs: DataFrame, key: str = "doc_id", text: str = "text", perc
     ranks = _ranks(rows)
     lines = rows.select("doc", F.posexplode(F.split("_text", "\n")).alias("line_no", "line"))
     keyed = lines.select("doc", "line_no", _keys(F.col("line"), ranks).alias("keys")).withColumn("n", F.size("keys")).where(F.col("n") >= least_words)
-    prefix = F.transform(F.slice("keys", 1, F.col("n") - _at_least(percent, F.col("n")) + 1), lambda k: k.bitwiseAND(0x7FFFFFFF).cast("int"))
-    marked = store(keyed.select("doc", "line_no", "n", F.xxhash64("keys").alias("a"), F.xxhash64(F.lit(1), "keys").alias("b"), prefix.alias("prefix")), "lines")
-
-    # equal sets are one, at their first place
-    sets = marked.groupBy("a", "b", "n").agg(F.min(F.struct("doc", "line_no", "prefix")).alias("s")).select("n", "s.*")
-    posted = sets.select("doc", "line_no", "n", F.posexplode("prefix").alias("i", "word"))
-    shared = posted.withColumn("lines", F.count("*").over(Window.partitionBy("word"))).where("lines > 1").drop("lines")
-    shared = store(shared.withColumn("band", F.floor(F.log("n") / F.log(F.lit(100.0 / percent))).cast("int")), "postings")
-    # sizes that can match lie in one band or in neighbouring ones
-    left = shared.withColumn("band", F.explode(F.array("band", F.col("band") + 1))).alias("l")
-    right = shared.alias("r")
-    first = F.struct("l.doc", "l.line_no") < F.struct("r.doc", "r.line_no")
-    same_band = F.floor(F.log("l.n") / F.log(F.lit(100.0 / percent))).cast("int") == F.col("r.band")
-    both = left.join(right, (F.col("l.word") == F.col("r.word")) & (F.col("l.band") == F.col("r.band")))
-    overlap = F.ceil((F.col("l.n") + F.col("r.n")) * percent / F.lit(100.0 + percent) - F.lit(1e-9))
-    room = 1 + F.least(F.col("l.n") - 1 - F.col("l.i"), F.col("r.n") - 1 - F.col("r.i")) + F.least("l.i", "r.i")
-    near = both.where((~same_band | first) & (100 * F.least("l.n", "r.n") >= percent * F.greatest("l.n", "r.n")) & (room >= overlap))
-    x, y = F.struct("l.doc", "l.line_no"), F.struct("r.doc", "r.line_no")
-    pairs = store(near.select(F.least(x, y).alias("x"), F.greatest(x, y).alias("y")).where("x < y").distinct(), "pairs")
-
-    # the words of the lines in question, from their texts
-    wanted = pairs.select(F.explode(F.array("x", "y")).alias("p")).distinct().groupBy("p.doc").agg(F.collect_set("p.line_no").alias("numbers"))
-    asked = rows.join(wanted, "doc").select("doc", F.split("_text", "\n").alias("all"), F.explode("numbers").alias("line_no"))
-    words = store(asked.select(F.struct("doc", "line_no").alias("p"), _keys(F.get("all", F.col("line_no")), ranks).alias("keys")), "words")
-    side = lambda name, keys: words.select(F.col("p").alias(name), F.col("keys").alias(keys))
-    sized = pairs.join(side("y", "q"), "y").join(side("x", "p"), "x").withColumn("common", F.size(F.array_intersect("p", "q")))
-    matched = sized.where(100 * F.col("common") >= percent * (F.size("p") + F.size("q") - F.col("common"))).select("y.doc", "y.line_no").distinct()
-    kept = sets.select("doc", "line_no").join(matched, ["doc", "line_no"], "left_anti")
-    gone = marked.select("doc", "line_no").distinct().join(kept, ["doc", "line_no"], "left_anti")
+    about = ["doc", "line_no", "n", _bitmap(False).alias("b1"), _bitmap(True).alias("b2"), _prefix(percent).alias("prefix")]
+    marked = store(keyed.select(*about, F.xxhash64("keys").alias("a"), F.xxhash64(F.lit(1), "keys").alias("b")), "lines")
+
+    # equal sets are one, at their first place; those that may match another set
+    sets = marked.groupBy("a", "b", "n").agg(F.min(F.struct("doc", "line_no", "b1", "b2", "prefix")).alias("s")).select("n", "s.*")
+    posted = sets.select("doc", "line_no", "n", "b1", "b2", F.posexplode("prefix").alias("i", "word"))
+    place = lambda side: F.struct(f"{side}.doc", f"{side}.line_no")
+    partner = (F.col("l.word") == F.col("r.word")) & (place("l") != place("r")) & _may_match(percent)
+    maybe = store(posted.alias("l").join(posted.alias("r"), partner, "left_semi").select("doc", "line_no").distinct(), "maybe")
+
+    # their words, from the texts
+    numbers = maybe.groupBy("doc").agg(F.collect_set("line_no").alias("numbers"))
+    asked = rows.join(numbers, "doc").select("doc", F.split("_text", "\n").alias("all"), F.explode("numbers").alias("line_no"))
+    words = asked.select("doc", "line_no", _keys(F.get("all", F.col("line_no")), ranks).alias("keys")).withColumn("n", F.size("keys")).where(F.col("n") >= least_words)
+    words = store(words.select(*about, "keys"), "words")
+    few = words.select("doc", "line_no", "n", "b1", "b2", F.posexplode("prefix").alias("i", "word"))
+
+    # against the first line of each group
+    group = few.withColumn("first", F.min(F.struct("doc", "line_no", "n", "b1", "b2", "i")).over(Window.partitionBy("word")))
+    pair = group.select(F.struct("doc", "line_no", "n", "b1", "b2", "i").alias("l"), F.col("first").alias("r")).where((place("r") < place("l")) & _may_match(percent))
+    side = lambda name, keys: words.select(F.struct("doc", "line_no").alias(name), F.col("keys").alias(keys))
+    pairs = pair.select(place("r").alias("x"), place("l").alias("y")).distinct().join(side("y", "q"), "y").join(side("x", "p"), "x")
+    settled = store(pairs.where(_similar(F.col("p"), F.col("q"), percent)).select("y.doc", "y.line_no").distinct(), "settled")
+
+    # the others against all earlier ones of their groups: first which lines that takes, then with their words
+    line = ["doc", "line_no"]
+    earlier = (F.col("l.word") == F.col("r.word")) & (place("r") < place("l")) & _may_match(percent)
+    open_lines = few.join(settled, line, "left_anti")
+    left = store(open_lines.alias("l").join(few.alias("r"), earlier, "left_semi").select(*few.columns), "left")
+    right = few.alias("r").join(left.alias("l"), earlier, "left_semi").select(*few.columns)
+    with_keys = lambda d: d.join(words.select(*line, "keys"), line)
+    others = with_keys(left).alias("l").join(with_keys(right).alias("r"), earlier & _similar(F.col("l.keys"), F.col("r.keys"), percent), "left_semi").select(*line).distinct()
+
+    firsts = marked.groupBy("a", "b", "n").agg(F.min(F.struct("doc", "line_no")).alias("s")).select("s.*")
+    kept = firsts.join(settled.unionByName(others), line, "left_anti")
+    gone = marked.select("doc", "line_no").distinct().join(kept, line, "left_anti")
     return gone.withColumnRenamed("doc", key)
 
 
@@ -98,9 +136,10 @@ def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", percen
     null or empty in them.
     """
     gone = later_matches(docs, key, text, percent, least_words).groupBy(F.col(key).alias("_key")).agg(F.collect_set("line_no").alias("_gone"))
-    joined = docs.join(gone, docs[key].cast("long") == gone["_key"], "left")
-    lines = F.split(docs[text], "\n")
-    body = F.when(F.col("_gone").isNull(), docs[text]).otherwise(F.array_join(F.filter(lines, lambda line, i: ~F.array_contains("_gone", i)), "\n"))
+    whole = docs.select(F.struct(*(docs[c] for c in docs.columns)).alias("_row"))  # so that no other column's name can clash
+    joined = whole.join(gone, F.col("_row")[key].cast("long") == F.col("_key"), "left")
+    old = F.col("_row")[text]
+    body = F.when(F.col("_gone").isNull(), old).otherwise(F.array_join(F.filter(F.split(old, "\n"), lambda line, i: ~F.array_contains("_gone", i)), "\n"))
     if drop_emptied:
         joined = joined.where(F.col("_gone").isNull() | (F.btrim(body, F.lit(_BLANK)) != ""))
-    return joined.select(*(body.alias(c) if c == text else docs[c] for c in docs.columns))
+    return joined.select(*(body.alias(c) if c == text else F.col("_row")[c].alias(c) for c in docs.columns))
