@@ -94,7 +94,8 @@ def later_matches(docs: DataFrame, key: str = "doc_id", text: str = "text", perc
     marked = store(keyed.select(*about, F.xxhash64("keys").alias("a"), F.xxhash64(F.lit(1), "keys").alias("b")), "lines")
 
     # equal sets are one, at their first place; those that may match another set
-    sets = marked.groupBy("a", "b", "n").agg(F.min(F.struct("doc", "line_no", "b1", "b2", "prefix")).alias("s")).select("n", "s.*")
+    sets = marked.groupBy("a", "b", "n").agg(F.min(F.struct("doc", "line_no", "b1", "b2", "prefix")).alias("s"))
+    sets = sets.select("s.doc", "s.line_no", "n", "s.b1", "s.b2", "s.prefix")  # in the order of ``posted``, so that both sides of the join share one shuffle
     posted = sets.select("doc", "line_no", "n", "b1", "b2", F.posexplode("prefix").alias("i", "word"))
     place = lambda side: F.struct(f"{side}.doc", f"{side}.line_no")
     partner = (F.col("l.word") == F.col("r.word")) & (place("l") != place("r")) & _may_match(percent)
