@@ -45,7 +45,7 @@ class Join:
 
     trees: int = 16
     small: int = 512
-    depth: int = 10
+    depth: int = 4
     least: int = 878
     percent: int = 80
 
@@ -182,8 +182,8 @@ def _mixed(nodes: DataFrame, p: Join) -> tuple[DataFrame, DataFrame]:
     return nodes.join(small, "node"), nodes.join(large, "node")
 
 
-def _compared(nodes: DataFrame, p: Join) -> DataFrame:
-    """Pairs (x, y) worth confirming among ``nodes``: of different components, of sizes and signatures close enough.
+def _groups(nodes: DataFrame, p: Join) -> DataFrame:
+    """Rows of (node, i, j): groups that are compared exhaustively.
 
     A node of ``small`` members is one group.  The members of a larger one are dealt into blocks by hash and each pair of
     blocks is a group, so that no group outgrows about two blocks.
@@ -191,20 +191,63 @@ def _compared(nodes: DataFrame, p: Join) -> DataFrame:
     blocks = F.ceil(F.col("size") / p.small).cast("int")
     own = F.pmod(F.xxhash64("rep"), blocks).cast("int")
     part = F.transform(F.sequence(F.lit(0), blocks - 1), lambda j: F.struct(F.least(own, j).alias("i"), F.greatest(own, j).alias("j"), (own > j).alias("side")))
-    dealt = nodes.withColumn("at", F.explode(part)).select("node", "at.i", "at.j", "at.side", "rep", "n", "root", "mark")
+    return nodes.withColumn("at", F.explode(part)).select("node", "at.i", "at.j", "at.side", "rep", "n", "root", "mark")
 
-    def compare(pdf: pd.DataFrame) -> pd.DataFrame:
-        marks = _bits(pdf["mark"].to_list())
-        ids, n, root, side = (pdf[c].to_numpy() for c in ("rep", "n", "root", "side"))
-        agree = np.stack([_agreement(m, marks) for m in marks])
-        low, high = np.minimum(n[:, None], n[None, :]), np.maximum(n[:, None], n[None, :])
-        ok = (agree >= p.least) & (root[:, None] != root[None, :]) & (100 * low >= p.percent * high) & (ids[:, None] < ids[None, :])
-        if pdf["i"].iloc[0] != pdf["j"].iloc[0]:
-            ok &= side[:, None] != side[None, :]
-        x, y = np.nonzero(ok)
-        return pd.DataFrame({"x": ids[x], "y": ids[y]})
 
-    return dealt.groupBy("node", "i", "j").applyInPandas(compare, "x long, y long").distinct()
+def _near(pdf: pd.DataFrame, p: Join) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of a group's rows worth confirming: of different components, of sizes and signatures close enough."""
+    marks = _bits(pdf["mark"].to_list())
+    ids, n, root, side = (pdf[c].to_numpy() for c in ("rep", "n", "root", "side"))
+    out: list[tuple[np.ndarray, np.ndarray]] = []
+    apart = pdf["i"].iloc[0] != pdf["j"].iloc[0]
+    for r in range(len(pdf)):
+        other = np.flatnonzero((root != root[r]) & (ids > ids[r]) & (100 * np.minimum(n, n[r]) >= p.percent * np.maximum(n, n[r])) & ((side != side[r]) | (not apart)))
+        if len(other):
+            other = other[_agreement(marks[r], marks[other]) >= p.least]
+            out.append((np.full(len(other), r), other))
+    return tuple(np.concatenate(x) for x in zip(*out, strict=True)) if out else (np.empty(0, np.int64), np.empty(0, np.int64))
+
+
+def _compared(nodes: DataFrame, docs: DataFrame, size: int, p: Join) -> DataFrame:
+    """Links (x, y) between components among the members of ``nodes``, confirmed on full sets.
+
+    First the signatures tell which members of a group can have a link; these alone get their sets, and within the group
+    every pair is confirmed that doesn't already hang together.  No step makes a row for each pair.
+    """
+    kind = "node long, i int, j int, side boolean, rep long, n long, root long, mark binary"
+
+    def flag(pdf: pd.DataFrame) -> pd.DataFrame:
+        if pdf["root"].nunique() < 2:
+            return pdf.iloc[:0]
+        return pdf.iloc[np.unique(np.concatenate(_near(pdf, p)))]
+
+    def confirm(pdf: pd.DataFrame) -> pd.DataFrame:
+        x, y = _near(pdf, p)
+        sets = [np.asarray(s, np.int64) for s in pdf["items"]]
+        names: dict[int, int] = {}
+        up = [names.setdefault(r, k) for k, r in enumerate(pdf["root"].tolist())]  # a place of each component stands for it
+
+        def top(k: int) -> int:
+            while up[k] != k:
+                up[k] = k = up[up[k]]
+            return k
+
+        ids, links = pdf["rep"].tolist(), []
+        for a, b in zip(x.tolist(), y.tolist(), strict=True):
+            i, j = top(a), top(b)
+            if i != j:
+                common = len(np.intersect1d(sets[a], sets[b], assume_unique=True))
+                if 100 * common >= p.percent * (len(sets[a]) + len(sets[b]) - common):
+                    up[i] = j
+                    links.append((ids[a], ids[b]))
+        return pd.DataFrame(links, columns=["x", "y"], dtype="int64")
+
+    flagged = store(_groups(nodes, p).groupBy("node", "i", "j").applyInPandas(flag, kind), "flagged")
+    wanted = flagged.select(F.col("rep").alias("_id")).distinct()
+    read = _full_sets(docs.join(wanted, "_id", "left_semi"), size)
+    sets = store(read.groupBy("_id").agg(F.max_by("items", F.size("items")).alias("items")), "rest-sets")  # keys can repeat
+    full = flagged.join(sets.select(F.col("_id").alias("rep"), "items"), "rep")
+    return store(full.groupBy("node", "i", "j").applyInPandas(confirm, "x long, y long").distinct(), "rest-links")
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = 5, join: Join = Join()) -> DataFrame:
@@ -261,9 +304,8 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", sh
     for more in todo[1:]:
         every_node = every_node.unionByName(more)
     every_node = every_node.join(reps.select("rep", "mark"), "rep")
-    rest = store(_compared(every_node, p), "rest")
-    if not rest.isEmpty():
-        more = _confirmed(rest, named, shingle, p.percent, "rest")
+    more = _compared(every_node, named, shingle, p)
+    if not more.isEmpty():
         found = components(found.select(F.col("_id").alias("x"), F.col("root").alias("y")).unionByName(more))
 
     out = of_row.join(found.select(F.col("_id").alias("rep"), "root"), "rep", "left")
