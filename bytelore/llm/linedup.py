@@ -15,8 +15,8 @@ from pyspark.sql import functions as F
 from ._scratch import store
 
 #: Hash buckets in which words are counted; a word is as rare as its bucket.
-BUCKETS = 1 << 18
-_RANK_BITS = 18
+BUCKETS = 1 << 16
+_RANK_BITS = 16
 _GAP = "[ \\t\\n\\x0B\\f\\r]+"
 _BLANK = " \t\n\x0b\f\r"
 
