@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import io
+import re
 import struct
 import zipfile
 from collections.abc import Iterator
+from itertools import islice
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -20,6 +22,9 @@ MAX_TAR_ENTRIES = 512
 
 _ENTRY = pa.struct([("name", pa.string()), ("size", pa.int64()), ("encrypted", pa.bool_()), ("symlink", pa.bool_()), ("head", pa.binary())])
 _ENTRY_SQL = "array<struct<name:string,size:long,encrypted:boolean,symlink:boolean,head:binary>>"
+_SAFETY = pa.struct([("traversal", pa.bool_()), ("absolute", pa.bool_()), ("symlink", pa.bool_())])
+_SAFETY_SQL = "struct<traversal:boolean,absolute:boolean,symlink:boolean>"
+_ABSOLUTE = re.compile(r"[A-Za-z]:|[/\\]")
 
 
 def zip_entries(content: bytes, head: int = 64) -> list[dict] | None:
@@ -42,53 +47,87 @@ def zip_entries(content: bytes, head: int = 64) -> list[dict] | None:
         return None
 
 
-def tar_entries(content: bytes, head: int = 64) -> list[dict] | None:
-    """The first entries of a TAR, None if it is none."""
-    if content[257:262] != b"ustar":
-        return None
-    out, at = [], 0
-    while at + 512 <= len(content) and len(out) < MAX_TAR_ENTRIES and content[at : at + 512].strip(b"\0"):
+def _tar_headers(content: bytes) -> Iterator[tuple[int, int, bytes, str]]:
+    """Place, size, kind and name of every entry of a TAR, to its end or the first broken header."""
+    at = 0
+    while at + 512 <= len(content) and content[at : at + 512].strip(b"\0"):
         block = content[at : at + 512]
         try:
             size = int(block[124:136].strip(b" \0") or b"0", 8)
         except ValueError:
             break
+        if size < 0:  # would lead back
+            break
         prefix, name = (x.split(b"\0")[0].decode("utf-8", "replace") for x in (block[345:500], block[:100]))
-        kind = block[156:157]
-        out.append({"name": f"{prefix}/{name}" if prefix else name, "size": size, "encrypted": False, "symlink": kind in b"12" and kind != b"", "head": content[at + 512 : at + 512 + min(size, head)]})
+        yield at, size, block[156:157], f"{prefix}/{name}" if prefix else name
         at += 512 + (size + 511) // 512 * 512
+
+
+def _is_link(kind: bytes) -> bool:
+    return kind in (b"1", b"2")
+
+
+def tar_entries(content: bytes, head: int = 64) -> list[dict] | None:
+    """The first entries of a TAR, None if it is none."""
+    if content[257:262] != b"ustar":
+        return None
+    return [
+        {"name": name, "size": size, "encrypted": False, "symlink": _is_link(kind), "head": content[at + 512 : at + 512 + min(size, head)]}
+        for at, size, kind, name in islice(_tar_headers(content), MAX_TAR_ENTRIES)
+    ]
+
+
+def tar_safety(content: bytes) -> dict | None:
+    """Whether any entry of a TAR, however many it has, leads upwards, is absolute or is a link; None if it is none."""
+    if content[257:262] != b"ustar":
+        return None
+    out = dict.fromkeys(_SAFETY.names, False)
+    for _, _, kind, name in _tar_headers(content):
+        out["traversal"] |= name.startswith("/") or ".." in name.replace("\\", "/").split("/")
+        out["absolute"] |= _ABSOLUTE.match(name) is not None
+        out["symlink"] |= _is_link(kind)
     return out
 
 
 def with_entries(blobs: DataFrame, content: str = "content") -> DataFrame:
-    """``blobs`` with ``entries``: those of ZIP and TAR contents, null for others and for broken ones."""
+    """``blobs`` with ``entries``: those of ZIP and TAR contents, null for others and for broken ones.
+
+    A TAR lists ``MAX_TAR_ENTRIES`` at most, as the original does; ``safety`` tells of all its entries, and is null for others.
+    """
     names = blobs.columns
     at = names.index(content)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            found = []
+            found, safety = [], []
             for x in b.column(at).to_pylist():
-                found.append(None if x is None else zip_entries(x) if x[:2] == b"PK" else tar_entries(x))
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(found, pa.list_(_ENTRY))], [*names, "entries"])
+                zipped = x is None or x[:2] == b"PK"
+                found.append(None if x is None else zip_entries(x) if zipped else tar_entries(x))
+                safety.append(None if zipped else tar_safety(x))
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(found, pa.list_(_ENTRY)), pa.array(safety, _SAFETY)], [*names, "entries", "safety"])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in blobs.schema)
-    return blobs.mapInArrow(run, f"{schema}, entries {_ENTRY_SQL}")
+    return blobs.mapInArrow(run, f"{schema}, entries {_ENTRY_SQL}, safety {_SAFETY_SQL}")
 
 
 def _ext(e: Column) -> Column:
     return F.lower(F.regexp_extract(e["name"], r"\.([^./\\]+)$", 1))
 
 
-def archive_facts(entries: Column) -> Column:
-    """Flags (names as ``assess.FLAGS`` has them), counts, commonest extensions, and the type that the entries tell."""
+def archive_facts(entries: Column, safety: str = "safety") -> Column:
+    """Flags (names as ``assess.FLAGS`` has them), counts, commonest extensions, and the type that the entries tell.
+
+    The column ``safety`` of ``with_entries`` adds what it found beyond the entries listed.
+    """
+    unlisted = lambda flag: F.coalesce(F.col(safety)[flag], F.lit(False))
     any_ext = lambda names: F.exists(entries, lambda e: _ext(e).isin(names))
     name_is = lambda *names: F.exists(entries, lambda e: e["name"].isin(*names))
     parts = lambda e: F.split(F.translate(e["name"], "\\", "/"), "/")
     disguised = F.exists(entries, lambda e: (F.hex(F.substring(e["head"], 1, 2)) == "4D5A") & ~_ext(e).isin([*EXECUTABLE, *INSTALLER]))
     flags = {
-        "archive_path_traversal": F.exists(entries, lambda e: F.array_contains(parts(e), F.lit("..")) | e["name"].startswith("/")), "archive_symlinks": F.exists(entries, lambda e: e["symlink"]),
-        "archive_absolute_paths": F.exists(entries, lambda e: e["name"].rlike(r"^([A-Za-z]:|[/\\])")), "contains_executables": any_ext(EXECUTABLE), "contains_scripts": any_ext(SCRIPT),
+        "archive_path_traversal": F.exists(entries, lambda e: F.array_contains(parts(e), F.lit("..")) | e["name"].startswith("/")) | unlisted("traversal"),
+        "archive_symlinks": F.exists(entries, lambda e: e["symlink"]) | unlisted("symlink"),
+        "archive_absolute_paths": F.exists(entries, lambda e: e["name"].rlike(r"^([A-Za-z]:|[/\\])")) | unlisted("absolute"), "contains_executables": any_ext(EXECUTABLE), "contains_scripts": any_ext(SCRIPT),
         "contains_installers": any_ext(INSTALLER), "contains_archives": any_ext(NESTED), "disguised_executables": disguised, "ooxml_macros": F.exists(entries, lambda e: e["name"].endswith("vbaProject.bin")),
         "archive_encrypted_entries": F.exists(entries, lambda e: e["encrypted"]),
     }

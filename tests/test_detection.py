@@ -136,6 +136,28 @@ def test_archives(spark):
     assert by["broken"]["entries"] is None and by["text"]["entries"] is None and by["none"]["entries"] is None
 
 
+def test_tar_safety_beyond_the_listed_entries(spark):
+    def made(*last):
+        out = io.BytesIO()
+        with tarfile.open(fileobj=out, mode="w", format=tarfile.USTAR_FORMAT) as t:
+            for i in range(archives.MAX_TAR_ENTRIES + 88):
+                t.addfile(tarfile.TarInfo(f"d/{i}.txt"))
+            for name, kind in last:
+                info = tarfile.TarInfo(name)
+                info.type = kind
+                t.addfile(info)
+        return out.getvalue()
+
+    back = bytearray(made())
+    back[124:136] = b"-0000002000\0"  # a size that leads back must not be walked for ever
+    rows = [("clean", made()), ("up", made(("../x", tarfile.REGTYPE))), ("root", made(("/etc/x", tarfile.REGTYPE))), ("link", made(("l", tarfile.SYMTYPE))), ("back", bytes(back))]
+    out = archives.with_entries(spark.createDataFrame(rows, "id string, content binary"))
+    by = {x["id"]: x["f"] for x in out.select("id", archives.archive_facts(F.col("entries")).alias("f")).collect()}
+    assert {k: set(f["flags"]) for k, f in by.items()} == {
+        "clean": set(), "up": {"archive_path_traversal"}, "root": {"archive_path_traversal", "archive_absolute_paths"}, "link": {"archive_symlinks"}, "back": set()}
+    assert by["up"]["entry_count"] == archives.MAX_TAR_ENTRIES and by["back"]["entry_count"] == 0
+
+
 def test_portable_executables(spark):
     head = bytearray(1024)
     head[0:2], head[0x3C:0x40] = b"MZ", struct.pack("<I", 0x80)
