@@ -41,7 +41,7 @@ def _ranks(docs: DataFrame) -> Column:
 
 
 def _keys(line: Column, ranks: Column) -> Column:
-    """The line's distinct words as 63-bit numbers that sort from rare to common; empty for a blank line."""
+    """The line's distinct words as 63-bit numbers that sort from rare to common; a blank line has the empty string alone."""
     hashes = F.transform(_words(line), lambda w: F.xxhash64(w))
     key = lambda h: F.get(ranks, h.bitwiseAND(BUCKETS - 1).cast("int")).bitwiseOR(F.shiftrightunsigned(h, 1 + _RANK_BITS))
     return F.sort_array(F.array_distinct(F.transform(hashes, key)))
@@ -82,13 +82,13 @@ def later_matches(docs: DataFrame, key: str = "doc_id", text: str = "text", perc
     """Lines that an earlier line matches: ``key`` (as a long) and ``line_no`` (from 0), each once.
 
     Lines are split at line feeds, words at ``[ \\\\t-\\\\r]+``, in lower case.  Lines with ``least_words`` distinct words or
-    more take part; two match if their words' Jaccard similarity is at least ``percent`` per cent.  Order is by key, then by
+    more take part, with 1 all that are not blank; two match if their words' Jaccard similarity is at least ``percent`` per cent.  Order is by key, then by
     line; lines at one place (rows that repeat a key) are not later than each other.  Null texts and keys, blank and short
     lines match nothing.
     """
     rows = docs.select(docs[key].cast("long").alias("doc"), docs[text].cast("string").alias("_text")).where("doc is not null")
     ranks = _ranks(rows)
-    lines = rows.select("doc", F.posexplode(F.split("_text", "\n")).alias("line_no", "line"))
+    lines = rows.select("doc", F.posexplode(F.split("_text", "\n")).alias("line_no", "line")).where(F.btrim("line", F.lit(_BLANK)) != "")
     keyed = lines.select("doc", "line_no", _keys(F.col("line"), ranks).alias("keys")).withColumn("n", F.size("keys")).where(F.col("n") >= least_words)
     about = ["doc", "line_no", "n", _bitmap(False).alias("b1"), _bitmap(True).alias("b2"), _prefix(percent).alias("prefix")]
     marked = store(keyed.select(*about, F.xxhash64("keys").alias("a"), F.xxhash64(F.lit(1), "keys").alias("b")), "lines")
@@ -96,7 +96,8 @@ def later_matches(docs: DataFrame, key: str = "doc_id", text: str = "text", perc
     # equal sets are one, at their first place; those that may match another set
     sets = marked.groupBy("a", "b", "n").agg(F.min(F.struct("doc", "line_no", "b1", "b2", "prefix")).alias("s"))
     sets = sets.select("s.doc", "s.line_no", "n", "s.b1", "s.b2", "s.prefix")  # in the order of ``posted``, so that both sides of the join share one shuffle
-    posted = sets.select("doc", "line_no", "n", "b1", "b2", F.posexplode("prefix").alias("i", "word"))
+    # a set too small to match another one (with a word more or less the share of common words is too low) has settled by now
+    posted = sets.where(100 * F.col("n") >= percent * (F.col("n") + 1)).select("doc", "line_no", "n", "b1", "b2", F.posexplode("prefix").alias("i", "word"))
     place = lambda side: F.struct(f"{side}.doc", f"{side}.line_no")
     partner = (F.col("l.word") == F.col("r.word")) & (place("l") != place("r")) & _may_match(percent)
     maybe = store(posted.alias("l").join(posted.alias("r"), partner, "left_semi").select("doc", "line_no").distinct(), "maybe")

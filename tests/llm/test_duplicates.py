@@ -90,6 +90,24 @@ def test_lines_match_brute_force(spark, prose):
         assert out[k] == (None if t is None else "\n".join(x for i, x in enumerate(t.split("\n")) if (k, i) not in gone))
 
 
+def test_pipeline_drops_short_lines_too(spark, prose):
+    import corpus_pipeline
+
+    r = random.Random(4)
+    pool = ["all rights reserved here", "All rights reserved here today", "la la la la la la la la la", "版权所有，未经许可不得转载。", "ok", "one two", "two one", *(prose(i, r.randint(1, 7)) for i in range(20))]
+    rows = [(i, "\n".join([prose(100 + i, 9), *(r.choice(["", " \t", r.choice(pool)]) for _ in range(6))])) for i in range(60)]
+    want, seen = {}, []
+    for k, t in rows:
+        kept = []
+        for line in t.split("\n"):
+            w = frozenset(line.lower().split())
+            if not w or not any(100 * len(w & v) >= 80 * len(w | v) for v in seen):
+                kept.append(line)
+            seen += [w] if w else []
+        want[k] = "\n".join(kept)
+    assert dict(corpus_pipeline.drop_repeated_lines(spark, spark.createDataFrame(rows, "doc_id long, text string"), "").collect()) == want
+
+
 def test_lines_use_no_python(spark, odd, prose):
     plan = linedup.dedup_lines(odd)._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Arrow|Pandas", plan)
