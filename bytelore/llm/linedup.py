@@ -9,7 +9,7 @@ No step makes a row for each pair, so large groups of near copies cost no more t
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ._scratch import store
@@ -110,7 +110,8 @@ def later_matches(docs: DataFrame, key: str = "doc_id", text: str = "text", perc
     few = words.select("doc", "line_no", "n", "b1", "b2", F.posexplode("prefix").alias("i", "word"))
 
     # against the first line of each group
-    group = few.withColumn("first", F.min(F.struct("doc", "line_no", "n", "b1", "b2", "i")).over(Window.partitionBy("word")))
+    firsts_of = few.groupBy("word").agg(F.min(F.struct("doc", "line_no", "n", "b1", "b2", "i")).alias("first"))
+    group = few.join(firsts_of, "word")
     pair = group.select(F.struct("doc", "line_no", "n", "b1", "b2", "i").alias("l"), F.col("first").alias("r")).where((place("r") < place("l")) & _may_match(percent))
     side = lambda name, keys: words.select(F.struct("doc", "line_no").alias(name), F.col("keys").alias(keys))
     pairs = pair.select(place("r").alias("x"), place("l").alias("y")).distinct().join(side("y", "q"), "y").join(side("x", "p"), "x")

@@ -113,6 +113,13 @@ def test_lines_use_no_python(spark, odd, prose):
     assert not re.search("Python|Arrow|Pandas", plan)
 
 
+def test_first_lines_of_words_need_no_window(spark, prose, monkeypatch):
+    plans, store = [], linedup.store
+    monkeypatch.setattr(linedup, "store", lambda df, name: plans.append(df._jdf.queryExecution().optimizedPlan().toString()) or store(df, name))
+    linedup.later_matches(spark.createDataFrame([(i, prose(i % 2, 12)) for i in range(4)], "doc_id long, text string")).collect()
+    assert len(plans) == 5 and not any("Window" in p for p in plans)
+
+
 def test_lines_of_odd_rows(spark, odd):
     out = linedup.dedup_lines(odd)
     rows = out.collect()
