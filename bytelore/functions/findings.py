@@ -25,6 +25,9 @@ TOKENS = {
     "github": (r"github_pat_[A-Za-z0-9_]{50,180}|gh[pousr]_[A-Za-z0-9]{30,80}", False), "gitlab": (r"glpat-[A-Za-z0-9_-]{16,80}", False), "aws-akid": (r"A[KS]IA[A-Z0-9]{16}", False),
     "slack": (r"xox[bpasr]-[A-Za-z0-9-]{16,160}", False), "stripe": (r"[sr]k_live_[A-Za-z0-9]{16,120}", False), "gcp-apikey": (r"AIza[A-Za-z0-9_-]{35}", False), "npm": (r"npm_[A-Za-z0-9]{24,80}", False),
 }
+#: Words that must stand within 64 characters of a token that is no secret by its form alone.
+CONTEXT = ["token", "secret", "api_key", "apikey", "access_key", "accesskey", "authorization", "bearer", "credential", "key=", "password="]
+PLACEHOLDERS = ["example", "sample", "placeholder", "dummy", "changeme", "notreal", "not_real", "replace", "token_here", "secret_here", "key_here", "your_", "yourapikey", "yourtoken", "yoursecret"]
 _BODY = "A-Za-z0-9_-"
 
 
@@ -90,10 +93,36 @@ def private_keys(text: Column) -> Column:
 
 
 def key_patterns(text: Column) -> Column:
-    """Assignments of a long, varied value to key, secret, password or pwd, 32 at most."""
+    """Assignments of a long, varied value to key, secret, password or pwd, and connection strings with a password, 32 at most."""
     values = F.regexp_extract_all(text, F.lit(r"""(?i)(?:key|secret|password|pwd)=[ "']*([A-Za-z0-9+/=_-]{20,})"""), F.lit(1))
     varied = F.filter(values, lambda v: (F.size(F.array_distinct(F.split(v, ""))) >= 4) & ~F.lower(v).rlike("example|sample|placeholder|changeme|xxxx|your_|dummy"))
-    return F.least(F.size(varied), F.lit(32))
+    # the 256 characters from the name on hold the password's name; a look ahead, so that windows may overlap
+    connections = F.regexp_count(text, F.lit(r"(?is)connectionstring=(?=.{0,230}password=|.{0,235}pwd=)"))
+    return F.least(F.size(varied) + connections, F.lit(32))
+
+
+def azure_sas(text: Column) -> Column:
+    """Distinct shared access signatures (``sv=``, ``se=`` or ``sp=``, and a ``sig=`` of 20 to 256 characters) near a word of ``CONTEXT``."""
+    # a run without delimiters that has sig=, with what surrounds it; the run is looked ahead at, so that neighbours may share context
+    runs = F.regexp_extract_all(text, F.lit(r"""(?i)(?<![^\s"'<>()\[\]])(?=[^\s"'<>()\[\]]*sig=)([^\s"'<>()\[\]]+)"""), F.lit(1))
+    token = lambda x: F.regexp_replace(F.regexp_replace(x, r"^[?&]+", ""), r"^[`{},;.]+|[`{},;.]+$", "")
+
+    def near(x: Column) -> Column:
+        """Whether any place of the run has a word of ``CONTEXT`` in it or within 64 characters."""
+        around = F.concat(F.lit(r"(?is)(?:"), F.lit("|".join(CONTEXT)), F.lit(r")"))
+        pieces = F.split(text, F.concat(F.lit(r"\Q"), x, F.lit(r"\E")))
+        beside = F.exists(F.transform(pieces, lambda p, i: F.concat(F.when(i > 0, F.left(p, F.lit(64))).otherwise(""), F.lit("\n"), F.when(i < F.size(pieces) - 1, F.right(p, F.lit(64))).otherwise(""))), lambda p: F.regexp_like(p, around))
+        return F.regexp_like(x, around) | beside
+
+    def is_sas(x: Column) -> Column:
+        t, low = token(x), F.lower(token(x))
+        signature = F.regexp_extract(t, r"(?i)^.*?sig=([^&]*)", 1)
+        return (
+            F.length(t).between(24, 512) & F.contains(low, F.lit("sv=")) & (F.contains(low, F.lit("se=")) | F.contains(low, F.lit("sp=")))
+            & signature.rlike(r"^[\p{L}\p{Nd}%+/=._-]{20,256}$") & ~contains_any(low, PLACEHOLDERS) & near(x)
+        )
+
+    return F.size(F.array_distinct(F.transform(F.filter(runs, is_sas), token)))
 
 
 def tokens(text: Column, family: str) -> Column:

@@ -238,8 +238,8 @@ from (select doc_id, found, cast({_duck_fold(f'list_transform(found, lambda x: {
 def risk_assessment(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Score, decisions and codes of every document's findings."""
     text = F.col("text")
-    secret = _secrets(_carriers(spark, sf_dir))
-    codes = [("private_keys", "secret:privkey"), ("key_patterns", "secret:keypattern"), *((k.replace("-", "_"), f"secret:token:{k}") for k in fd.TOKENS)]
+    secret = _secrets(_carriers(spark, sf_dir)).withColumn("azure_sas", fd.azure_sas(text))
+    codes = [("private_keys", "secret:privkey"), ("key_patterns", "secret:keypattern"), *((k.replace("-", "_"), f"secret:token:{k}") for k in fd.TOKENS), ("azure_sas", "secret:token:azure-sas")]
     found = F.concat(fd.script_findings(text), F.filter(fd.network_findings(text), lambda f: ~f.startswith("net:hosts=")), F.array_compact(F.array(*(F.when(F.col(c) > 0, F.lit(f)) for c, f in codes))))
     judged = secret.select("doc_id", found.alias("found")).withColumn("a", am.assess(am.finding_factors(F.col("found"))))
     return judged.select("doc_id", "a.score", "a.decision", "a.decision_strict", "a.decision_lenient", F.array_join("a.codes", ",").alias("codes"))

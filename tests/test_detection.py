@@ -90,6 +90,19 @@ def test_secrets(spark):
     assert spark.range(1).select(fd.redact(F.lit("abcdefghijkl")).alias("r")).first()["r"] == "abcd****ijkl"
 
 
+def test_signatures_and_connection_strings(spark):
+    sas, other = ("?sv=2022-11-02&sp=r&se=2030-01-01&sig=" + x * 6 + "%3D" for x in ("aB3d", "zY9w"))
+    cases = [
+        (f"token: https://a.blob.core.windows.net/c{sas}", (0, 1)), (f"see https://a.blob.core.windows.net/c{sas}", (0, 0)), (f"secret '{sas}' '{sas}' \"{other}\".", (0, 1)), (f"secret '{sas}' key='{other}'.", (0, 2)),
+        (f"token {sas[:40]}", (0, 0)), (f"token {sas.replace('sv=', 'v=')}", (0, 0)), (f"token your_{sas}", (0, 0)), (f"token {'-' * 80} {sas}", (0, 0)),
+        (f"{sas} {'-' * 50} bearer", (0, 1)), ("ConnectionString=Server=a;Password=b;", (1, 0)), ("connectionstring=Server=a;\nUser=b;PWD=c", (1, 0)), ("connectionstring=Server=a;", (0, 0)),
+        ("connectionstring=" + "x" * 250 + "pwd=b", (0, 0)), ("connectionstring=connectionstring=pwd=a", (2, 0)), ("", (0, 0)),
+    ]
+    t = F.col("t")
+    rows = spark.createDataFrame([(i, x) for i, (x, _) in enumerate(cases)], "i int, t string").select("i", fd.key_patterns(t).alias("k"), fd.azure_sas(t).alias("a")).orderBy("i").collect()
+    assert [(x["k"], x["a"]) for x in rows] == [want for _, want in cases]
+
+
 def test_assessment(spark):
     judge = lambda findings: spark.createDataFrame([(findings,)], "f array<string>").select(assess.assess(assess.finding_factors(F.col("f"))).alias("a")).first()["a"]
     a = judge(["secret:jwt", "secret:keypattern", "secret:token"])
