@@ -48,8 +48,8 @@ _PATTERNS = (
 _TITLED = re.compile(rf"(?<!\w)({'|'.join(sorted((t for x in TITLES.values() for t in x), key=len, reverse=True))})(?:\.\s?|\s)({_NAME}(?: {_NAME}){{0,2}})")
 _GIVEN = re.compile(rf"(?<!\w)({'|'.join(sorted((t for x in GIVEN.values() for t in x), key=len, reverse=True))})((?: {_NAME}){{1,2}})")
 _GENDER = {t: g for table in (TITLES, GIVEN) for g, names in table.items() for t in names}
-#: What any entity holds; texts without it are not looked at further.
-MAYBE = rf"@|\d|\b(?:{'|'.join(sorted(_GENDER, key=len, reverse=True))})\b"
+#: What any entity holds; texts without it are not looked at further.  For Java, where only (?U) makes \d that of Python.
+MAYBE = rf"(?U)@|\d|\b(?:{'|'.join(sorted(_GENDER, key=len, reverse=True))})\b"
 
 
 def _digits(s: str) -> str:

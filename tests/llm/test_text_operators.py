@@ -111,6 +111,13 @@ def test_surrogates_stay_distinct_in_a_crowded_format(spark):
     assert {tuple(x) for x in got} == {tuple(x) for x in pii.assign(spark.createDataFrame(rows[::-1], "kind string, value string"), b"k").collect()}
 
 
+def test_entities_without_ascii_digits_are_replaced(spark):
+    texts = ["هاتف ٠١٢-٣٤٥-٦٧٨٩ هنا", "दूरभाष ०१२-३४५-६७८९ यहाँ", "escribe José García", "nothing at all"]
+    found = [len(pii.detect(t)) > 0 for t in texts]
+    got = {x["doc_id"]: x["text"] for x in pii.pseudonymise(frame(spark, texts), b"k").collect()}
+    assert found == [True, True, True, False] and [got[i] != t for i, t in enumerate(texts)] == found
+
+
 # 5: toxicity
 
 
