@@ -13,11 +13,11 @@ each, which travel with the members, and are then confirmed on the full sets.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -45,8 +45,8 @@ class Join:
     """
 
     trees: int = 10
-    small: int = 512
-    depth: int = 8
+    small: int = 1024
+    depth: int = 4
     least: int = 36
     percent: int = 80
 
@@ -163,12 +163,6 @@ def components(links: DataFrame) -> DataFrame:
     return edges.select(F.col("u").alias("_id"), F.col("v").alias("root")).unionByName(edges.select(F.col("v").alias("_id"), F.col("v").alias("root")).distinct())
 
 
-def _band(percent: int) -> Column:
-    """The bands of size that a member of a large node goes to: similar sets share one of their two."""
-    band = F.floor(F.log("n") / F.log(F.lit(100.0 / percent)) + 1e-9)
-    return F.array(F.xxhash64("node", band), F.xxhash64("node", band + 1))
-
-
 def _children(level: int) -> Column:
     """The children that a member's minwise tokens name; the node chooses the tokens."""
     place = lambda k: F.pmod(F.xxhash64("node", F.lit(level), F.lit(k)), F.lit(TWIGS)).cast("int")
@@ -189,24 +183,55 @@ def _groups(nodes: DataFrame, p: Join) -> DataFrame:
     A node of ``small`` members is one group.  The members of one that is larger after all splits are dealt into blocks by
     hash and each pair of blocks is a group, so that no group outgrows about two blocks.
     """
+    about = ["rep", "n", "root", "twigs"]
+    whole = nodes.where(F.col("size") <= p.small).select("node", F.lit(0).alias("i"), F.lit(0).alias("j"), F.lit(False).alias("side"), *about)
     blocks = F.ceil(F.col("size") / p.small).cast("int")
     own = F.pmod(F.xxhash64("rep"), blocks).cast("int")
     part = F.transform(F.sequence(F.lit(0), blocks - 1), lambda j: F.struct(F.least(own, j).alias("i"), F.greatest(own, j).alias("j"), (own > j).alias("side")))
-    return nodes.withColumn("at", F.explode(part)).select("node", "at.i", "at.j", "at.side", "rep", "n", "root", "twigs")
+    dealt = nodes.where(F.col("size") > p.small).withColumn("at", F.explode(part)).select("node", "at.i", "at.j", "at.side", *about)
+    return whole.unionByName(dealt)
+
 
+#: What tells a group.
+_GROUP = ["node", "i", "j"]
 
-def _near(pdf: pd.DataFrame, p: Join) -> tuple[np.ndarray, np.ndarray]:
+
+def _by_group(rows: DataFrame, work: Callable[[pa.Table], pa.Table], kind: str) -> DataFrame:
+    """``work`` on the rows of every group at once.  Groups are bounded and many, so a task gets them sorted, as one stream."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        open_rows: pa.Table | None = None
+        for batch in chain(batches, [None]):
+            if batch is not None and batch.num_rows:
+                table = pa.Table.from_batches([batch])
+                open_rows = table if open_rows is None else pa.concat_tables([open_rows, table])
+            if open_rows is None or batch is not None and not batch.num_rows:
+                continue
+            keys = np.stack([open_rows.column(k).to_numpy() for k in _GROUP])
+            edges = np.flatnonzero((keys[:, 1:] != keys[:, :-1]).any(0)) + 1
+            bounds = [0, *edges.tolist(), *([open_rows.num_rows] if batch is None else [])]
+            done = [work(open_rows.slice(x, y - x)) for x, y in zip(bounds[:-1], bounds[1:], strict=True) if y - x > 1]
+            open_rows = open_rows.slice(bounds[-1])
+            if some := [d for d in done if d.num_rows]:
+                yield from pa.concat_tables(some).combine_chunks().to_batches()
+
+    return rows.repartition(*_GROUP).sortWithinPartitions(*_GROUP).mapInArrow(run, kind)
+
+
+def _near(rows: pa.Table, p: Join) -> tuple[np.ndarray, np.ndarray]:
     """Pairs of a group's rows worth confirming: of different components, of sizes and tokens close enough."""
-    twigs = _bytes(pdf["twigs"].to_list())
-    ids, n, root, side = (pdf[c].to_numpy() for c in ("rep", "n", "root", "side"))
+    ids, n, root, side = (rows.column(c).to_numpy() for c in ("rep", "n", "root", "side"))
+    none = np.empty(0, np.int64)
+    if (root == root[0]).all():
+        return none, none
+    twigs = _bytes(rows.column("twigs").to_pylist())
     out: list[tuple[np.ndarray, np.ndarray]] = []
-    apart = pdf["i"].iloc[0] != pdf["j"].iloc[0]
-    for r in range(len(pdf)):
+    apart = rows.column("i")[0].as_py() != rows.column("j")[0].as_py()
+    for r in range(len(ids)):
         other = np.flatnonzero((root != root[r]) & (ids > ids[r]) & (100 * np.minimum(n, n[r]) >= p.percent * np.maximum(n, n[r])) & ((side != side[r]) | (not apart)))
-        if len(other):
-            other = other[(twigs[other] == twigs[r]).sum(1) >= p.least]
+        if len(other) and len(other := other[(twigs[other] == twigs[r]).sum(1) >= p.least]):
             out.append((np.full(len(other), r), other))
-    return tuple(np.concatenate(x) for x in zip(*out, strict=True)) if out else (np.empty(0, np.int64), np.empty(0, np.int64))
+    return tuple(np.concatenate(x) for x in zip(*out, strict=True)) if out else (none, none)
 
 
 def _compared(nodes: DataFrame, docs: DataFrame, size: int, p: Join) -> DataFrame:
@@ -217,40 +242,39 @@ def _compared(nodes: DataFrame, docs: DataFrame, size: int, p: Join) -> DataFram
     """
     kind = "node long, i int, j int, side boolean, rep long, n long, root long, twigs binary"
 
-    def flag(pdf: pd.DataFrame) -> pd.DataFrame:
-        if pdf["root"].nunique() < 2:
-            return pdf.iloc[:0]
-        return pdf.iloc[np.unique(np.concatenate(_near(pdf, p)))]
+    def flag(rows: pa.Table) -> pa.Table:
+        return rows.take(pa.array(np.unique(np.concatenate(_near(rows, p)))))
 
-    def confirm(pdf: pd.DataFrame) -> pd.DataFrame:
-        x, y = _near(pdf, p)
-        sets = [np.asarray(s, np.int64) for s in pdf["items"]]
+    def confirm(rows: pa.Table) -> pa.Table:
+        x, y = _near(rows, p)
+        items = rows.column("items").combine_chunks()
+        bounds, values = items.offsets.to_numpy(), items.values.to_numpy()
         names: dict[int, int] = {}
-        up = [names.setdefault(r, k) for k, r in enumerate(pdf["root"].tolist())]  # a place of each component stands for it
+        up = [names.setdefault(r, k) for k, r in enumerate(rows.column("root").to_pylist())]  # a place of each component stands for it
 
         def top(k: int) -> int:
             while up[k] != k:
                 up[k] = k = up[up[k]]
             return k
 
-        ids, links = pdf["rep"].tolist(), []
+        ids, links = rows.column("rep").to_pylist(), []
         for a, b in zip(x.tolist(), y.tolist(), strict=True):
             i, j = top(a), top(b)
             if i != j:
-                common = len(np.intersect1d(sets[a], sets[b], assume_unique=True))
-                if 100 * common >= p.percent * (len(sets[a]) + len(sets[b]) - common):
+                s, u = values[bounds[a] : bounds[a + 1]], values[bounds[b] : bounds[b + 1]]
+                common = len(np.intersect1d(s, u, assume_unique=True))
+                if 100 * common >= p.percent * (len(s) + len(u) - common):
                     up[i] = j
                     links.append((ids[a], ids[b]))
-        return pd.DataFrame(links, columns=["x", "y"], dtype="int64")
+        return pa.table({"x": pa.array([a for a, _ in links], pa.int64()), "y": pa.array([b for _, b in links], pa.int64())})
 
-    group = ["node", "i", "j"]
-    flagged = store(_groups(nodes, p).groupBy(*group).applyInPandas(flag, kind), "flagged")
+    flagged = store(_by_group(_groups(nodes, p), flag, kind), "flagged")
     # of groups left with the same members one is enough
-    once = flagged.groupBy(*group).agg(F.count("*").alias("m"), F.bit_xor(F.xxhash64("rep", "side")).alias("who")).groupBy("m", "who").agg(F.min(F.struct(*group)).alias("g")).select("g.*")
-    kept = store(flagged.join(once, group), "kept")
+    once = flagged.groupBy(*_GROUP).agg(F.count("*").alias("m"), F.bit_xor(F.xxhash64("rep", "side")).alias("who")).groupBy("m", "who").agg(F.min(F.struct(*_GROUP)).alias("g")).select("g.*")
+    kept = store(flagged.join(once, _GROUP), "kept")
     sets = _sets_of(kept.select(F.col("rep").alias("_id")).distinct(), docs, size, "rest")
     full = kept.join(sets.select(F.col("_id").alias("rep"), "items"), "rep")
-    links = store(full.groupBy(*group).applyInPandas(confirm, "x long, y long").distinct(), "rest-links")
+    links = store(_by_group(full, confirm, "x long, y long").distinct(), "rest-links")
     drop(flagged, kept, sets)
     return links
 
@@ -304,14 +328,13 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", sh
     rooted = store(reps.join(found.select(F.col("_id").alias("rep"), "root"), "rep", "left").withColumn("root", F.coalesce("root", "rep")), "rooted")
     nodes = _mixed(rooted.select(token, "rep", "n", "root", "twigs"), p, "nodes")
     drop(rooted)
-    todo, split = [], _band(p.percent)
-    for level in range(1, p.depth + 2):
+    todo = []
+    for level in range(p.depth):
         todo.append(nodes.where(F.col("size") <= p.small))
         nodes = nodes.where(F.col("size") > p.small)
         if nodes.isEmpty():
             break
-        nodes = _mixed(nodes.select(F.explode(split).alias("node"), "rep", "n", "root", "twigs"), p, "nodes")
-        split = _children(level)
+        nodes = _mixed(nodes.select(F.explode(_children(level)).alias("node"), "rep", "n", "root", "twigs"), p, "nodes")
     else:
         todo.append(nodes)
     every_node = todo[0]

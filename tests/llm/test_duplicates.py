@@ -173,3 +173,22 @@ def test_pipeline_matches_brute_force(spark, prose, tmp_path):
     for x in sorted(corpus_pipeline.run(spark, str(tmp_path)).collect(), key=lambda x: (x["doc_id"], x["start"])):
         ids.setdefault(x["doc_id"], []).extend(x["ids"])
     assert ids == {k: tokenizer.encode(t or "", add_special_tokens=False).ids + [2] for k, t in safe.items()}
+
+
+def test_recall_in_a_node_of_thousands(spark, prose):
+    """5,000 documents that differ from one in 1 to 18 of 120 words, with default parameters: who hangs together does so."""
+    import numpy as np
+
+    r = random.Random(5)
+    hub = prose(77, 120)
+    rows = [(i, altered(hub, r.randint(1, 18), r)) for i in range(5000)]
+    shingles = [{tuple(w[i : i + 4]) for i in range(len(w) - 3)} for w in (t.split() for _, t in rows)]
+    base = sorted({tuple(hub.split()[i : i + 4]) for i in range(117)})
+    has = np.array([[b in s for b in base] for s in shingles], np.float32)  # all other shingles are of one document
+    common, n = (has @ has.T).astype(int), np.array([len(s) for s in shingles])
+    linked = 100 * common >= 80 * (n[:, None] + n - common)
+    got = {x[0]: x[2] for x in neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), shingle=4).collect()}
+    root = np.array([got[i] for i in range(5000)])
+    met = linked & (root[:, None] == root)
+    assert met.sum() >= 0.999 * linked.sum()
+    assert all(linked[i].sum() > 1 for i in range(5000) if (root == root[i]).sum() > 1)
