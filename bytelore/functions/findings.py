@@ -128,7 +128,7 @@ def azure_sas(text: Column) -> Column:
 def tokens(text: Column, family: str) -> Column:
     """Distinct tokens of a family that stand apart from other words."""
     pattern, any_case = TOKENS[family]
-    return F.size(F.array_distinct(F.regexp_extract_all(text, F.lit(rf"{'(?i)' if any_case else ''}(?:^|[^{_BODY}])({pattern})(?:$|[^{_BODY}])"), F.lit(1))))
+    return F.size(F.array_distinct(F.regexp_extract_all(text, F.lit(rf"{'(?i)' if any_case else ''}(?<![{_BODY}])(?:{pattern})(?![{_BODY}])"), F.lit(0))))
 
 
 def redact(token: Column, head: int = 4, tail: int = 4) -> Column:

@@ -26,12 +26,18 @@ def _ascii(s: str) -> str:
     return s.encode("latin-1").hex().upper()
 
 
-def _brand(ext: str, mime: str, reason: str, anywhere: str, major: str = "") -> Magic:
-    """An ISO media file with one of the brands, each of four letters, as its own or among the first two it names."""
-    brands = [anywhere[i : i + 4] for i in range(0, len(anywhere), 4)]
-    own = [major[i : i + 4] for i in range(0, len(major), 4)]
-    box = (4, _ascii("ftyp"))
-    return Magic(ext, mime, reason, tuple(_at(box, (8, _ascii(b))) for b in [*own, *brands]) + tuple(_at(box, (o, _ascii(b))) for b in brands for o in (16, 20)))
+# Brands of ISO media files; the first two that a file names beside its own count too, but for ``HEIF_OWN``.
+HEIF_OWN = ["heic", "heif", "hevc"]
+HEIF = ["mif1"]
+MP4 = ["isom", "iso2", "mp41", "mp42", "MSNV"]
+M4A = ["M4A ", "M4B "]
+THREE_GP = ["3gp4", "3g2a"]
+
+
+def _media(ext: str, mime: str, reason: str, brands: list[str], own: list[str] | None = None) -> Magic:
+    """An ISO media file with one of the brands as its own (at byte 8) or among the first two it names, or one of ``own`` as its own."""
+    places = [(8, b) for b in [*(own or []), *brands]] + [(at, b) for b in brands for at in (16, 20)]
+    return Magic(ext, mime, reason, tuple(_at((4, _ascii("ftyp")), (at, _ascii(b))) for at, b in places))
 
 
 # Formats in the order in which they are tried, before the plain prefixes.
@@ -46,10 +52,10 @@ MATCHERS = [
     Magic("edb", "application/x-ese-database", "ese:header", (_at((0, "EFCDAB89")),)),
     Magic("hive", "application/x-windows-registry-hive", "regf", (_at((0, _ascii("regf"))),)),
     Magic("pol", "application/x-group-policy-registry-pol", "gpo:registry-pol", (_at((0, _ascii("PReg") + "01000000")),)),
-    _brand("heic", "image/heic", "ftyp:heif", "mif1", "heicheifhevc"),
-    _brand("mp4", "video/mp4", "ftyp:mp4", "isomiso2mp41mp42MSNV"),
-    _brand("m4a", "audio/mp4", "ftyp:m4a", "M4A M4B "),
-    _brand("3gp", "video/3gpp", "ftyp:3gp", "3gp43g2a"),
+    _media("heic", "image/heic", "ftyp:heif", HEIF, HEIF_OWN),
+    _media("mp4", "video/mp4", "ftyp:mp4", MP4),
+    _media("m4a", "audio/mp4", "ftyp:m4a", M4A),
+    _media("3gp", "video/3gpp", "ftyp:3gp", THREE_GP),
     Magic("mp4", "video/mp4", "ftyp:mp4", (_at((4, _ascii("ftyp"))),)),
     Magic("sqlite", "application/vnd.sqlite3", "sqlite", (_at((0, _ascii("SQLite format 3\0"))),)),
     # a packet tag of the old or new format: also the first byte of a text that begins with a letter such as É

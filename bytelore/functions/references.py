@@ -82,7 +82,7 @@ def merged(*lists: Column) -> Column:
 
 def web_tokens(text: Column) -> Column:
     """How many words are signed web tokens: three parts, of which the first two are JSON objects; 16 at most."""
-    words = F.regexp_extract_all(text, F.lit(r"(?:^|[^A-Za-z0-9_.-])([A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{6,})(?:$|[^A-Za-z0-9_.-])"), F.lit(1))
+    words = F.regexp_extract_all(text, F.lit(r"(?<![A-Za-z0-9_.-])[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{6,}(?![A-Za-z0-9_.-])"), F.lit(0))
 
     def part(word: Column, i: int) -> Column:
         flat = F.translate(F.get(F.split(word, r"\."), F.lit(i)), "-_", "+/")

@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import magic, textual
+from ..functions import containers, magic, textual
 from ..functions.dialect import SPARK
-from ..functions.types import is_dangerous, kind_sql
+from ..functions.portable import portable_facts
+from ..functions.types import is_dangerous, kind_sql, mime_of
+from ..sources.blob import HEAD_BYTES
 
 _FIELDS = ["extension", "mime_type", "confidence", "reason", "kind", "is_dangerous"]
 
@@ -35,22 +37,34 @@ def _finish(found: DataFrame, names: list[str]) -> DataFrame:
 
 
 def detect(blobs: DataFrame, declared: str = "coalesce(declared_ext, '')") -> DataFrame:
-    """Rows of ``sources.blob`` with their types; ``content`` is not read beyond ``head``.
+    """Rows of ``sources.blob`` with their types.
 
-    Bytes that no leading rule knows are taken as text where they are valid UTF-8.  A generic text of low confidence takes
-    a declared text extension; an empty or unknown content has no type.
+    Leading bytes that no rule knows are text where they decode as UTF-8 or UTF-16.  Where they tell a ZIP, an OLE file, an
+    executable or JSON, the ``content`` tells which; unknown ones may be disk images.  A generic text of low confidence
+    takes a declared text extension; an empty or unknown content has no type.
     """
     names = blobs.columns
     header = blobs.withColumn("_hex", F.hex(F.substring("head", 1, magic.HEADER)))
-    ruled = header.withColumn("_magic", F.expr(magic.rule_sql("_hex"))).withColumn("_t", F.when(F.col("_magic").isNull(), F.try_validate_utf8(F.col("head").cast("string"))))
+    ruled = header.withColumn("_magic", F.expr(magic.rule_sql("_hex")))
+    ruled = ruled.withColumn("_disk", F.when(F.col("_magic").isNull(), containers.disk_image(F.col("content"))))
+    ruled = ruled.withColumn("_t", F.when(F.col("_magic").isNull() & F.col("_disk").isNull(), containers.head_text(F.col("head"), HEAD_BYTES)))
     cued = with_steps(ruled, textual.context_sql(SPARK, "_t", declared)).withColumn("_rule", F.expr(textual.number_sql(SPARK)))
-    pick = lambda m, t: F.coalesce(F.get(F.array(*(F.lit(getattr(r, m)) for r in magic.RULES)), F.col("_magic")), F.expr(textual.field_sql("_rule", t)))
-    found = cued.select(
-        *names, "_magic", "decl", pick("ext", "ext").alias("found"), pick("mime", "mime").alias("mime_type"), pick("reason", "reason").alias("reason"),
-        F.coalesce(F.get(F.array(*(F.lit(r.confidence) for r in magic.RULES)), F.col("_magic")), F.expr(textual.confidence_sql(SPARK, "_rule"))).alias("confidence"),
+    of = lambda m: F.get(F.array(*(F.lit(getattr(r, m)) for r in magic.RULES)), F.col("_magic"))
+    first = F.when(F.col("_magic").isNotNull(), F.struct(*(of(m).alias(m) for m in ("ext", "mime", "confidence", "reason"))))
+    text = {"ext": F.expr(textual.field_sql("_rule", "ext")), "mime": F.expr(textual.field_sql("_rule", "mime")), "confidence": F.expr(textual.confidence_sql(SPARK, "_rule")), "reason": F.expr(textual.field_sql("_rule", "reason"))}
+    base = cued.select(*names, "_t", "decl", F.coalesce("_disk", first, F.struct(*(v.alias(k) for k, v in text.items()))).alias("_base"))
+    content, ext = F.col("content"), F.col("_base.ext")
+    executable = containers.type_struct("", "", "High", F.col("_base.reason")).withField("ext", portable_facts(content)["extension"]).withField("mime", F.col("_base.mime"))
+    inner = (
+        F.when(ext == "zip", containers.zip_type(content)).when(ext == "ole2", containers.ole_type(content)).when(ext == "json", containers.gltf_type(F.col("_t")))
+        .when((ext == "exe") & portable_facts(content).isNotNull(), executable)
     )
-    generic = (F.col("found") == "txt") & F.col("decl").isin("log", "cfg", "conf", "ini", "inf", "md", "ps1", "cmd", "bat", "csv", "tsv", "yml", "yaml", "json", "xml")
-    return _finish(found.withColumn("extension", F.when(generic, F.col("decl")).otherwise(F.col("found"))), names)
+    one = base.select(*names, "decl", F.coalesce(inner, F.col("_base")).alias("_type"))
+    generic = (F.col("_type.ext") == "txt") & F.col("decl").isin("log", "cfg", "conf", "ini", "inf", "md", "ps1", "cmd", "bat", "csv", "tsv", "yml", "yaml", "json", "xml")
+    biased = F.when(generic, F.col("decl")).otherwise(F.col("_type.ext"))
+    mime = F.when(generic, F.coalesce(mime_of(F.col("decl")), F.col("_type.mime"))).otherwise(F.col("_type.mime"))
+    reason = F.when(generic, F.concat(F.col("_type.reason"), F.lit(";bias:decl:"), F.col("decl"))).otherwise(F.col("_type.reason"))
+    return _finish(one.select(*names, biased.alias("extension"), mime.alias("mime_type"), F.col("_type.confidence").alias("confidence"), reason.alias("reason")), names)
 
 
 def detect_magic(df: DataFrame, header_hex: str = "header_hex") -> DataFrame:

@@ -218,3 +218,63 @@ def test_stream(spark, tmp_path):
         detect_stream(spark, str(src), str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination()
         assert spark.read.parquet(str(tmp_path / "out")).count() == n
         (src / "b.csv").write_text("a,b\n1,2\n")
+
+
+def _zip(*names, mimetype=None):
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w") as z:
+        if mimetype:
+            z.writestr("mimetype", mimetype)
+        for n in names:
+            z.writestr(n, "x")
+    return out.getvalue()
+
+
+def _pe(characteristics, subsystem):
+    body = bytearray(512)
+    body[:2], body[0x3C:0x40], body[0x40:0x44] = b"MZ", struct.pack("<I", 0x40), b"PE\0\0"
+    struct.pack_into("<HH", body, 0x44, 0x14C, 1)
+    struct.pack_into("<H", body, 0x40 + 22, characteristics)
+    struct.pack_into("<H", body, 0x40 + 24, 0x10B)
+    struct.pack_into("<H", body, 0x40 + 24 + 68, subsystem)
+    return bytes(body)
+
+
+def _disk(*marks):
+    body = bytearray(b"\0" * (2048 * 20))
+    for at, mark in marks:
+        body[at : at + len(mark)] = mark
+    return bytes(body)
+
+
+OLE = bytes.fromhex("D0CF11E0A1B11AE1") + b"\0" * 504
+
+
+def test_contents_tell_more_than_headers(spark):
+    words = "plain words in a row of a line"
+    sector = lambda i: (16 + i) * 2048 + 1
+    made = [
+        (_pe(0x2002, 2), "dll", "High"), (_pe(0x2, 1), "sys", "High"), (_pe(0x2, 3), "exe", "High"),
+        (_zip("[Content_Types].xml", "word/document.xml"), "docx", "High"), (_zip("[Content_Types].xml", "xl/workbook.xml"), "xlsx", "High"), (_zip("[Content_Types].xml", "ppt/presentation.xml"), "pptx", "High"),
+        (_zip("a.txt", "word/document.xml"), "zip", "High"), (_zip("x/META-INF/MANIFEST.MF"), "zip", "High"), (_zip("META-INF/MANIFEST.MF"), "jar", "High"), (_zip("META-INF/MANIFEST.MF", "classes.dex"), "apk", "High"),
+        (_zip("Payload/a.app/Info.plist"), "ipa", "High"), (_zip("AppxManifest.xml"), "appx", "High"), (_zip("AppxManifest.xml", "AppxSignature.p7x"), "msix", "High"),
+        (_zip("content.opf", mimetype="application/epub+zip"), "epub", "High"), (_zip("content.xml", mimetype="application/vnd.oasis.opendocument.spreadsheet"), "ods", "High"),
+        (_zip("doc.kml"), "kmz", "High"), (_zip("extension.vsixmanifest"), "vsix", "High"), (_zip("AppManifest.xaml"), "xap", "High"), (_zip("Pkg.NuSpec"), "nupkg", "High"),
+        (OLE + "WordDocument".encode("utf-16-le"), "doc", "Medium"), (OLE + b"workbook", "xls", "Medium"), (OLE + "PowerPoint Document".encode("utf-16-le"), "ppt", "Medium"), (OLE, "ole2", "High"),
+        (OLE + b"SummaryInformation Property Media Component", "msi", "High"), (OLE + b"SummaryInformation Property Media", "msi", "Medium"),
+        (b'{"asset": {"version": "2.0"}, "nodes": []}', "gltf", "Medium"),
+        (_disk((0x8001, b"CD001")), "iso", "High"), (_disk((sector(0), b"BEA01"), (sector(1), b"NSR02"), (sector(2), b"TEA01")), "udf", "High"), (_disk((sector(1), b"NSR03"), (0x8001, b"CD001")), "udf", "Medium"),
+        (b"\1" * 600 + b"koly" + b"\1" * 508, "dmg", "Medium"),
+        (b"\xff\xfe" + words.encode("utf-16-le"), "txt", None), (b"\xfe\xff" + words.encode("utf-16-be"), "txt", None), (words.encode("utf-16-le"), "txt", None), (words.encode("utf-16-be"), "txt", None), (b"\xef\xbb\xbf" + words.encode(), "txt", None),
+        (b"\xff\xfe" + (words * 100 + "\U0001f600" * 999).encode("utf-16-le") + b"\x00\xd8", "txt", None),
+        ("привет мир ".encode() * 600, "txt", None), ("aпривет мир ".encode() * 600, "txt", None), (b"", None, None), (b"\x00\x01", None, None),
+    ]
+    found = {int(x["id"]): x for x in detect.detect(_rows(spark, [(b, None) for b, _, _ in made])).collect()}
+    for i, (body, ext, confidence) in enumerate(made):
+        assert found[i]["extension"] == ext and confidence in (None, found[i]["confidence"]), (i, ext, found[i]["extension"], found[i]["confidence"], body[:40])
+
+
+def test_declared_bias_changes_type_and_reason(spark):
+    rows = blob.column(spark.createDataFrame([("1", b"some plain words here\n")], "id string, content binary"), "id", "content", F.lit("md"))
+    x = detect.detect(rows).first()
+    assert (x["extension"], x["mime_type"]) == ("md", "text/markdown") and x["reason"].endswith("bias:decl:md")
