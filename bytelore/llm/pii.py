@@ -11,6 +11,7 @@ from __future__ import annotations
 import hmac
 import re
 import unicodedata
+from bisect import bisect_left
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -18,6 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import _text as tx
 from ._scratch import store
 
 # Titles by the gender they tell, and given names that introduce a full name.
@@ -73,12 +75,15 @@ def detect(text: str) -> list[tuple[int, int, str, str]]:
     that a surname alone refers to the same person's; the kind tells given name (by gender) or surname.
     """
     found: list[tuple[int, int, str, str]] = []
-    taken: list[tuple[int, int]] = []
+    starts: list[int] = []  # of what is taken, in order, and the ends
+    ends: list[int] = []
 
     def add(a: int, b: int, kind: str, value: str) -> None:
-        if all(b <= x or y <= a for x, y in taken):
+        i = bisect_left(ends, a + 1)  # the first that ends beyond a
+        if i == len(starts) or b <= starts[i]:
             found.append((a, b, kind, value))
-            taken.append((a, b))
+            starts.insert(i, a)
+            ends.insert(i, b)
 
     for kind, pattern in _PATTERNS:
         for m in pattern.finditer(text):
@@ -127,8 +132,15 @@ class _Stream:
 
 
 def draw(key: bytes, kind: str, value: str, attempt: int = 0) -> str:
-    """The surrogate value of an original; another one for each ``attempt``."""
+    """The surrogate value of an original; another one for each ``attempt``.
+
+    Formats are kept as long as they have room: after four attempts a telephone number may be any of its length, and after
+    eight, numbers get a digit more for every four attempts, names and addresses letters, and IPv4 addresses become IPv6
+    ones of the prefix for documentation.  So the room grows without bound and some attempt finds a free surrogate.
+    """
     r = _Stream(key, kind, value, attempt)
+    extra = max(0, attempt // 4 - 1)
+    digits = lambda n: "".join(pick("0123456789") for _ in range(n))
     pick = lambda s: s[r.below(len(s))]
     like = lambda s: "".join(pick("0123456789") if c.isdigit() else pick("abcdefghijklmnopqrstuvwxyz") if c.isalpha() else c for c in s)
     more = "".join(pick("abcdefghijklmnopqrstuvwxyz") for _ in range(attempt // 4))  # crowded formats grow
@@ -136,21 +148,23 @@ def draw(key: bytes, kind: str, value: str, attempt: int = 0) -> str:
         local, _, domain = value.partition("@")
         host = _Stream(key, "host", domain, 0)  # addresses of one domain stay together
         return f"{like(local)}{more}@{''.join('bcdfghklmnprstvz'[host.below(16)] + 'aeiou'[host.below(5)] for _ in range(5))}.example.{domain.rpartition('.')[2]}"
+    if kind == "ip" and extra:
+        return "2001:db8:" + ":".join(f"{r.below(65536):x}" for _ in range(6))
     if kind == "ip":
         return ".".join(map(str, (240 + r.below(15), r.below(256), r.below(256), r.below(256))))  # never routed
     if kind == "card":
-        body = value[0] + "".join(pick("0123456789") for _ in value[2:])
+        body = value[0] + digits(len(value) - 2 + extra)
         return body + str(-_luhn(body + "0") % 10) if _luhn(value) == 0 else body + pick("0123456789")
     if kind == "ssn":
-        return "9" + "".join(pick("0123456789") for _ in value[1:])  # never issued
+        return "9" + digits(len(value) - 1 + extra)  # never issued
     if kind == "iban":
-        body = "".join(pick("0123456789") if c.isdigit() else pick("ABCDEFGHIJKLMNOPQRSTUVWXYZ") for c in value[4:])
+        body = "".join(pick("0123456789") if c.isdigit() else pick("ABCDEFGHIJKLMNOPQRSTUVWXYZ") for c in value[4:]) + digits(extra)
         check = 98 - int("".join(str(int(c, 36)) for c in body + value[:2] + "00")) % 97
         return f"{value[:2]}{check:02d}{body}"
     if kind == "phone":
-        if len(value) == 10:
-            return pick("23456789") + pick("0123456789") + pick("0123456789") + "555" + "".join(pick("0123456789") for _ in range(4))
-        return value[:2] + "".join(pick("0123456789") for _ in value[2:])
+        if attempt >= 4:
+            return pick("23456789") + digits(len(value) - 1 + extra)
+        return pick("23456789") + digits(2) + "555" + digits(4) if len(value) == 10 else value[:2] + digits(len(value) - 2)
     _, gender, script = kind.split("_")
     consonants, vowels, endings = SOUNDS[script]
     body = "".join(pick(consonants) + pick(vowels) for _ in range(2 + r.below(2) + attempt // 4))
@@ -163,8 +177,8 @@ def render(kind: str, surface: str, surrogate: str) -> str:
     """``surrogate`` in the format of ``surface``: its separators, grouping, prefix and case."""
     if kind in ("card", "ssn", "phone", "iban"):
         n = len(_digits(surface)) if kind != "iban" else len(surface.replace(" ", ""))
-        left = iter(surrogate if n == len(surrogate) else "1" + surrogate)
-        return "".join(next(left) if c.isalnum() else c for c in surface)
+        left = iter(surrogate if n <= len(surrogate) else "1" + surrogate)
+        return "".join(next(left) if c.isalnum() else c for c in surface) + "".join(left)
     if kind.startswith("name_"):
         return surrogate.upper() if surface.isupper() and len(surface) > 1 else surrogate[0].upper() + surrogate[1:]
     return surrogate.upper() if kind == "email" and surface.isupper() else surrogate
@@ -186,7 +200,7 @@ def find_entities(docs: DataFrame, text: str = "text") -> DataFrame:
     """Distinct entities of the texts: digest of the text (k1, k2), start, end (characters), kind, value, surface."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for block in batches:
+        for block, _, _ in tx.blocks(batches, "_text"):
             rows = [(i, *e) for i, t in enumerate(block.column(2).to_pylist()) for e in ((a, b, kind, value, t[a:b]) for a, b, kind, value in detect(t))]
             of, *rest = zip(*rows, strict=True) if rows else [()] * 6
             kinds = (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string())
@@ -231,7 +245,7 @@ def pseudonymise(docs: DataFrame, key: bytes, text: str = "text") -> DataFrame:
 
     The column ``text`` keeps its place; a column ``n_entities`` is replaced; others pass unchanged.  Null, empty and other
     texts without entities stay as they are with 0 entities.  Equal texts get equal results, however often rows or keys
-    repeat.  An empty table gives an empty one.
+    repeat.  An empty table gives an empty one.  Texts of any length are taken whole, in blocks of bounded bytes or one text.
     """
     rest = docs.drop("n_entities")
     found = store(find_entities(rest, text), "entities")
@@ -252,7 +266,7 @@ def pseudonymise(docs: DataFrame, key: bytes, text: str = "text") -> DataFrame:
     at = names.index(text)
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b, _, _ in tx.blocks(batches, text):
             out, n = [], []
             for t, edits in zip(b.column(at).to_pylist(), b.column(len(names)).to_pylist(), strict=True):
                 parts, last = [], 0

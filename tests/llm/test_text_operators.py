@@ -343,3 +343,47 @@ def test_odd_rows_and_empty_tables(spark, odd, name):
 
 def test_digest_of_nothing(spark):
     assert hashlib.sha256(b"").hexdigest() == spark.range(1).selectExpr("sha2('', 256) s").first()["s"]
+
+
+def test_crowded_formats_grow(spark):
+    """All 100,000 numbers of a prefix as originals leave no free surrogate of their format."""
+    numbers = spark.range(100_000).selectExpr("'phone' kind", "format_string('55%05d', id) value")
+    ips = spark.range(50).selectExpr("'ip' kind", "concat('10.0.0.', id) value")
+    got = pii.assign(numbers.unionByName(ips), b"k").collect()
+    assert len({(x["kind"], x["value"]) for x in got}) == len({(x["kind"], x["surrogate"]) for x in got}) == 100_050
+    assert not {x["value"] for x in got} & {x["surrogate"] for x in got}
+    assert pii.render("phone", "55-123 45", "812345678") == "81-234 5678"
+    assert [len(pii.draw(b"k", "ip", "1.2.3.4", a).split(".")) for a in (0, 8)] == [4, 1]
+
+
+def test_surrogates_match_brute_force(spark, prose):
+    r = random.Random(8)
+    people, hosts = ["Mary Jones", "John Smith", "Hans Müller", "Mr. Jones", "Dr Weber"], ["a.example.org", "corp.test"]
+    bit = lambda: r.choice([r.choice(people), f"u{r.randrange(9)}@{r.choice(hosts)}", f"10.0.{r.randrange(3)}.{r.randrange(9)}", f"({r.randrange(200, 204)}) 555-01{r.randrange(10, 14)}", "219-09-9999", prose(r.randrange(99), 3)])
+    texts = [" ; ".join(bit() for _ in range(r.randrange(12))) for _ in range(60)]
+    out = {x["doc_id"]: x for x in pii.pseudonymise(frame(spark, texts), b"k").collect()}
+    entities = sorted({(k, v) for t in texts for _, _, k, v in pii.detect(t)})
+    family = lambda k: k.split("_")[0]
+    originals, chosen, waiting, attempt = {(family(k), v) for k, v in entities}, {}, entities, 0
+    while waiting:
+        drawn, taken, later = {}, {(family(k), s) for (k, _), s in chosen.items()}, []
+        for k, v in waiting:
+            drawn.setdefault((family(k), pii.draw(b"k", k, v, attempt)), []).append((k, v))
+        for (f, s), who in drawn.items():
+            free = (f, s) not in originals | taken
+            chosen |= {min(who): s} if free else {}
+            later += [w for w in who if not free or w != min(who)]
+        waiting, attempt = later, attempt + 1
+    for i, t in enumerate(texts):
+        want, last = "", 0
+        for a, b, k, v in pii.detect(t):
+            want, last = want + t[last:a] + pii.render(k, t[a:b], chosen[k, v]), b
+        assert out[i]["text"] == want + t[last:] and out[i]["n_entities"] == len(pii.detect(t))
+
+
+def test_entities_of_a_long_text_in_seconds():
+    import time
+
+    text = " ".join(f"user{i}@host{i % 7}.example.org wrote" for i in range(60_000))  # 2 MB
+    began = time.perf_counter()
+    assert len(pii.detect(text)) == 60_000 and time.perf_counter() - began < 60
