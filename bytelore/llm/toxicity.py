@@ -188,8 +188,9 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
             grid = np.stack([tx.per_row(np.exp(g * s), bounds) for g in _GRID], 1)
             yield pa.RecordBatch.from_arrays([block.column(1), pa.array(np.diff(bounds), pa.int64()), pa.array(best), pa.array(list(grid), pa.list_(pa.float64()))], ["y", "n", "best", "grid"])
 
-    # at most a fifth of max_training rows, give or take
-    got = rows.where(fold).select("_text", "_toxic").mapInArrow(run, "y int, n long, best double, grid array<double>").toPandas()
+    # at most a fifth of max_training keys, give or take; of rows that repeat a key one
+    held = rows.where(fold).groupBy("_key").agg(F.max("_text").alias("_text"), F.max("_toxic").alias("_toxic"))
+    got = held.select("_text", "_toxic").mapInArrow(run, "y int, n long, best double, grid array<double>").toPandas()
     sent.unpersist()
     if not len(got):
         model.offset = -500.0

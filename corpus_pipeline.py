@@ -22,25 +22,42 @@ Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
 def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose toxicity is under a half; the model learns from the labels of this input."""
+    """Documents whose toxicity is under a half; the model learns from the labels of this input.
+
+    Null, empty and wordless texts are judged by the score of no evidence, rows that repeat a key each by its text.
+    Without labelled rows every score is 0 and nothing goes; an empty table gives an empty one.
+    """
     model = toxicity.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return toxicity.score_toxicity(docs, model).where("toxicity < 0.5").select(docs.columns)
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without the lines that an earlier line matches, however short; those with no line left go."""
+    """Documents without the lines that an earlier line matches, however short; those with no line left go.
+
+    Rows with null keys or texts stay as they are.  Of rows that repeat a key each loses its own lines, by its text; lines
+    at one place are not later than each other.  Other columns pass, whatever their names.
+    """
     return dedup_lines(docs, least_words=1)
 
 
 def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, with the least id, of each group of near duplicates."""
+    """One document, with the least id, of each group of near duplicates.
+
+    Rows that repeat a key are one document: the one with the longest text stays, of equally long ones the last in order of
+    text and then of all columns, so that a lost task's second run keeps the same.  Rows with a null key stay, and so do
+    those whose texts are null or have no words, one for each key.
+    """
     kept = near_duplicates(docs).where("kept").select("doc_id").distinct()
-    same = docs.where("doc_id is not null").join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return same.select(docs.columns).unionByName(docs.where("doc_id is null"))
+    whole = F.struct(F.length("text").alias("_length"), "text", F.struct(*(F.col(c) for c in docs.columns)).alias("_row"))
+    same = docs.where("doc_id is not null").join(kept, "doc_id", "left_semi").groupBy("doc_id").agg(F.max(whole).alias("_one"))
+    return same.select("_one._row.*").select(docs.columns).unionByName(docs.where("doc_id is null"))
 
 
 def cut_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without the passages of benchmark items; those that are half such passages go."""
+    """Documents without the passages of benchmark items; those that are half such passages go.
+
+    Null and empty texts hold no passage and stay; rows that repeat a key are cut each by its text.
+    """
     return remove_contamination(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 

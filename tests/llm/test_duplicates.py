@@ -192,3 +192,14 @@ def test_recall_in_a_node_of_thousands(spark, prose):
     met = linked & (root[:, None] == root)
     assert met.sum() >= 0.999 * linked.sum()
     assert all(linked[i].sum() > 1 for i in range(5000) if (root == root[i]).sum() > 1)
+
+
+def test_pipeline_keeps_the_same_row_of_a_key(spark, prose):
+    import corpus_pipeline
+
+    rows = [(1, prose(1, 30), "b"), (1, prose(2, 40), "a"), (1, prose(2, 40), "c"), (2, prose(2, 40) + " x", None), (3, None, "d"), (3, "", "e"), (None, prose(1, 30), "f"), (4, prose(5, 20), "g")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, _row string")
+    out = corpus_pipeline.keep_one_of_each(spark, docs, "")
+    assert out.columns == docs.columns
+    assert sorted(map(tuple, out.collect()), key=str) == sorted([rows[2], rows[5], rows[6], rows[7]], key=str)
+    assert corpus_pipeline.keep_one_of_each(spark, docs.where("doc_id = -1"), "").count() == 0
