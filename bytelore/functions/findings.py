@@ -28,6 +28,8 @@ TOKENS = {
 #: Words that must stand within 64 characters of a token that is no secret by its form alone.
 CONTEXT = ["token", "secret", "api_key", "apikey", "access_key", "accesskey", "authorization", "bearer", "credential", "key=", "password="]
 PLACEHOLDERS = ["example", "sample", "placeholder", "dummy", "changeme", "notreal", "not_real", "replace", "token_here", "secret_here", "key_here", "your_", "yourapikey", "yourtoken", "yoursecret"]
+# Letters that every token of a family has; texts without them need no expression.
+LITERALS = {"github": ["github_pat_", "ghp_", "gho_", "ghu_", "ghs_", "ghr_"], "gitlab": ["glpat-"], "aws-akid": ["AKIA", "ASIA"], "slack": ["xox"], "stripe": ["k_live_"], "gcp-apikey": ["AIza"], "npm": ["npm_"]}
 _BODY = "A-Za-z0-9_-"
 
 
@@ -122,13 +124,15 @@ def azure_sas(text: Column) -> Column:
             & signature.rlike(r"^[\p{L}\p{Nd}%+/=._-]{20,256}$") & ~contains_any(low, PLACEHOLDERS) & near(x)
         )
 
-    return F.size(F.array_distinct(F.transform(F.filter(runs, is_sas), token)))
+    found = F.size(F.array_distinct(F.transform(F.filter(runs, is_sas), token)))
+    return F.when(text.isNotNull(), F.when(F.contains(F.lower(text), F.lit("sig=")), found).otherwise(0))
 
 
 def tokens(text: Column, family: str) -> Column:
     """Distinct tokens of a family that stand apart from other words."""
     pattern, any_case = TOKENS[family]
-    return F.size(F.array_distinct(F.regexp_extract_all(text, F.lit(rf"{'(?i)' if any_case else ''}(?<![{_BODY}])(?:{pattern})(?![{_BODY}])"), F.lit(0))))
+    found = F.size(F.array_distinct(F.regexp_extract_all(text, F.lit(rf"{'(?i)' if any_case else ''}(?<![{_BODY}])(?:{pattern})(?![{_BODY}])"), F.lit(0))))
+    return F.when(text.isNotNull(), F.when(contains_any(text, LITERALS[family]), found).otherwise(0))
 
 
 def redact(token: Column, head: int = 4, tail: int = 4) -> Column:
