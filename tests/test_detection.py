@@ -220,7 +220,7 @@ def test_stream(spark, tmp_path):
         (src / "b.csv").write_text("a,b\n1,2\n")
 
 
-def _zip(*names, mimetype=None):
+def _zip_of(*names, mimetype=None):
     out = io.BytesIO()
     with zipfile.ZipFile(out, "w") as z:
         if mimetype:
@@ -255,11 +255,11 @@ def test_contents_tell_more_than_headers(spark):
     sector = lambda i: (16 + i) * 2048 + 1
     made = [
         (_pe(0x2002, 2), "dll", "High"), (_pe(0x2, 1), "sys", "High"), (_pe(0x2, 3), "exe", "High"),
-        (_zip("[Content_Types].xml", "word/document.xml"), "docx", "High"), (_zip("[Content_Types].xml", "xl/workbook.xml"), "xlsx", "High"), (_zip("[Content_Types].xml", "ppt/presentation.xml"), "pptx", "High"),
-        (_zip("a.txt", "word/document.xml"), "zip", "High"), (_zip("x/META-INF/MANIFEST.MF"), "zip", "High"), (_zip("META-INF/MANIFEST.MF"), "jar", "High"), (_zip("META-INF/MANIFEST.MF", "classes.dex"), "apk", "High"),
-        (_zip("Payload/a.app/Info.plist"), "ipa", "High"), (_zip("AppxManifest.xml"), "appx", "High"), (_zip("AppxManifest.xml", "AppxSignature.p7x"), "msix", "High"),
-        (_zip("content.opf", mimetype="application/epub+zip"), "epub", "High"), (_zip("content.xml", mimetype="application/vnd.oasis.opendocument.spreadsheet"), "ods", "High"),
-        (_zip("doc.kml"), "kmz", "High"), (_zip("extension.vsixmanifest"), "vsix", "High"), (_zip("AppManifest.xaml"), "xap", "High"), (_zip("Pkg.NuSpec"), "nupkg", "High"),
+        (_zip_of("[Content_Types].xml", "word/document.xml"), "docx", "High"), (_zip_of("[Content_Types].xml", "xl/workbook.xml"), "xlsx", "High"), (_zip_of("[Content_Types].xml", "ppt/presentation.xml"), "pptx", "High"),
+        (_zip_of("a.txt", "word/document.xml"), "zip", "High"), (_zip_of("x/META-INF/MANIFEST.MF"), "zip", "High"), (_zip_of("META-INF/MANIFEST.MF"), "jar", "High"), (_zip_of("META-INF/MANIFEST.MF", "classes.dex"), "apk", "High"),
+        (_zip_of("Payload/a.app/Info.plist"), "ipa", "High"), (_zip_of("AppxManifest.xml"), "appx", "High"), (_zip_of("AppxManifest.xml", "AppxSignature.p7x"), "msix", "High"),
+        (_zip_of("content.opf", mimetype="application/epub+zip"), "epub", "High"), (_zip_of("content.xml", mimetype="application/vnd.oasis.opendocument.spreadsheet"), "ods", "High"),
+        (_zip_of("doc.kml"), "kmz", "High"), (_zip_of("extension.vsixmanifest"), "vsix", "High"), (_zip_of("AppManifest.xaml"), "xap", "High"), (_zip_of("Pkg.NuSpec"), "nupkg", "High"),
         (OLE + "WordDocument".encode("utf-16-le"), "doc", "Medium"), (OLE + b"workbook", "xls", "Medium"), (OLE + "PowerPoint Document".encode("utf-16-le"), "ppt", "Medium"), (OLE, "ole2", "High"),
         (OLE + b"SummaryInformation Property Media Component", "msi", "High"), (OLE + b"SummaryInformation Property Media", "msi", "Medium"),
         (b'{"asset": {"version": "2.0"}, "nodes": []}', "gltf", "Medium"),
