@@ -1,9 +1,11 @@
 """Language-model scores by a hashed maximum-entropy model with a class-factored softmax.
 
-A word's hash gives its class and its member number in the class.  P(class | context) and P(member | class, context) are
-log-linear in hashed features of the context: the word before, the two before, and the one two before (a skip).  P(word |
-member) comes from discounted counts, with one symbol for all unknown words, so the whole is a distribution over the
-training vocabulary and that symbol.
+The last two bytes of a word (its ending) give its class, the hash of all of it its member number in the class.  Words with
+one ending are mostly of one language, script and part of speech, so what stands before tells more of such classes than of
+classes by hash alone.  P(class | context) and P(member | class, context) are log-linear in hashed features of the context:
+the word before, its ending, the endings of the two before, and the ending of the one two before (a skip).  P(word | member)
+comes from discounted counts, with one symbol for all unknown words, so the whole is a distribution over the training
+vocabulary and that symbol.
 
 Word counts are exact: each group of documents sends its distinct words to their counts and gets these back, so neither
 the vocabulary nor a text is ever in one place.  Weights are trained by rounds of distributed gradient updates: every
@@ -26,13 +28,17 @@ from . import _text as tx
 from ._scratch import store
 
 #: Classes, and members of each, as bits of the hash; hashed contexts of each feature, as bits.
-CLASS_BITS, MEMBER_BITS, CONTEXT_BITS = 4, 4, 11
+CLASS_BITS, MEMBER_BITS, CONTEXT_BITS = 6, 2, 11
 CLASSES, MEMBERS, CONTEXTS = 1 << CLASS_BITS, 1 << MEMBER_BITS, 1 << CONTEXT_BITS
-FEATURES = 3
+FEATURES = 4
+#: Low bits of a token that hold its ending, hashed; the others hold the hash of the word.
+ENDING = np.uint64((1 << 12) - 1)
 #: Bytes of text in a group of documents, whose distinct words travel together.
 GROUP_BYTES = 16 << 20
 DISCOUNT = 0.6
 END = np.uint64(0x5851F42D4C957F2D)
+_LOWER = np.arange(256, dtype=np.uint64)
+_LOWER[65:91] += np.uint64(32)
 _SALT = (np.arange(FEATURES, dtype=np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -52,17 +58,19 @@ class Model:
 
 
 def _tokens(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of each row's words and then its end, and the rows' bounds."""
+    """Each row's words and then its end, as hashes with the ending in the low bits, and the rows' bounds."""
     starts, ends, bounds = tx.spans(data, offsets, tx.SPACE)
     h = tx.hash_spans(data, starts, ends, fold=True)
+    last = _LOWER[data[ends - 1]]
+    before = np.where(ends - starts > 1, _LOWER[data[np.maximum(ends - 2, 0)]], np.uint64(0))
+    h = (h & ~ENDING) | (tx.mix(last * np.uint64(256) + before + np.uint64(1)) & ENDING)
     out = np.full(len(h) + len(bounds) - 1, END, np.uint64)
     out[np.arange(len(h)) + tx.rows_of(bounds)] = h
     return out, bounds + np.arange(len(bounds))
 
 
 def _outcome(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    bucket = (tx.mix(h.copy()) >> np.uint64(64 - CLASS_BITS - MEMBER_BITS)).astype(np.int64)
-    return bucket >> MEMBER_BITS, bucket & (MEMBERS - 1)
+    return (tx.mix(h & ENDING) >> np.uint64(64 - CLASS_BITS)).astype(np.int64), (tx.mix(h.copy()) >> np.uint64(64 - MEMBER_BITS)).astype(np.int64)
 
 
 def _contexts(h: np.ndarray, bounds: np.ndarray) -> np.ndarray:
@@ -73,7 +81,8 @@ def _contexts(h: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     one[first] = two[first] = 1
     second = first + 1
     two[second[second < len(h)]] = 1
-    return np.stack([one, one * np.uint64(0xD6E8FEB86659FD93) + two, two ^ np.uint64(0xA5A5A5A5)], 1) + _SALT
+    near, far = one & ENDING, two & ENDING
+    return np.stack([one, near, near * (ENDING + np.uint64(1)) + far, far], 1) + _SALT
 
 
 def _places(keys: np.ndarray, classes: np.ndarray | None = None) -> np.ndarray:
@@ -116,6 +125,21 @@ def _descend(m: Model, parts: Iterator[tuple[np.ndarray, np.ndarray]], rate: flo
     return np.concatenate([(x - b).ravel() for x, b in zip(w, begun, strict=True)]), n
 
 
+def _log10_outcomes(m: Model, h: np.ndarray, bounds: np.ndarray, batch: int = 1 << 15) -> np.ndarray:
+    """The model's log10 P(class, member | context) of each token."""
+    prior, inner = m.priors()
+    classes, members = _outcome(h)
+    keys = _contexts(h, bounds)
+    out = np.empty(len(h))
+    for a in range(0, len(h), batch):
+        c, y, k = classes[a : a + batch], members[a : a + batch], keys[a : a + batch]
+        rows = np.arange(len(c))
+        p = _softmax(m.by_class, _places(k), prior)[rows, c].astype(float)
+        q = _softmax(m.by_member, _places(k, c), inner[c])[rows, y].astype(float)
+        out[a : a + batch] = np.log10(np.maximum(p, 1e-30)) + np.log10(np.maximum(q, 1e-30))
+    return out
+
+
 def _grouped(docs: DataFrame) -> DataFrame:
     """``docs`` (key, train, _text) stored with a group number: rows of a partition in order, GROUP_BYTES at a time."""
 
@@ -145,7 +169,7 @@ def _counted(groups: DataFrame, n_groups: int) -> DataFrame:
             train = np.concatenate([y for _, y in held])
             kinds, which = np.unique(h, return_inverse=True)
             n = np.bincount(which, train, len(kinds)).astype(np.int64)
-            to = (kinds % np.uint64(n_groups)).astype(np.int64)
+            to = (tx.mix(kinds.copy()) % np.uint64(n_groups)).astype(np.int64)
             order = np.argsort(to, kind="stable")
             kinds, n, to = kinds[order], n[order], to[order]
             cut = np.append(np.flatnonzero(np.append(True, to[1:] != to[:-1])), len(to))
@@ -209,7 +233,7 @@ def _train(groups: DataFrame, tokens: np.ndarray, kinds: np.ndarray, n_groups: i
         part = groups.where("train").where(F.pmod(F.xxhash64(F.coalesce("_text", F.lit(""))), F.lit(rounds)) == k)
         # as many rows as there are weights
         got = part.coalesce(shards).mapInArrow(run, "i int, x double").groupBy("i").agg(F.sum("x").alias("x")).toPandas()
-        change = np.zeros(2 * size * CLASSES if CLASSES == MEMBERS else size * (CLASSES + MEMBERS))
+        change = np.zeros(size * (CLASSES + MEMBERS))
         weight = float(got.loc[got["i"] == -1, "x"].sum())
         if weight:
             some = got[got["i"] >= 0]
@@ -220,7 +244,7 @@ def _train(groups: DataFrame, tokens: np.ndarray, kinds: np.ndarray, n_groups: i
     return m
 
 
-def score_texts(docs: DataFrame, train: str = "train", key: str = "doc_id", text: str = "text", rounds: int = 2, rate: float = 0.05, batch: int = 4096) -> DataFrame:
+def score_texts(docs: DataFrame, train: str = "train", key: str = "doc_id", text: str = "text", rounds: int = 2, rate: float = 0.1, batch: int = 4096) -> DataFrame:
     """Log probabilities of the text of every row, learned from the rows whose column ``train`` is true.
 
     Lower-cases A-Z; tokens are the words ``[^\\x20\\x09-\\x0D]+``, then one end.  Returns ``key``, ``n_tokens``,
@@ -248,8 +272,6 @@ def score_texts(docs: DataFrame, train: str = "train", key: str = "doc_id", text
         c = np.concatenate([np.empty(0, np.int64), *(np.frombuffer(x, np.int64) for x in right.column("c").to_pylist())])
         order = np.argsort(h)
         h, c = h[order], c[order]
-        prior, inner = m.priors()
-        log_class = np.log10(np.e)
         out = []
         for block, data, offsets in tx.blocks(iter(left.to_batches()), "_text"):
             t, bounds = _tokens(data, offsets)
@@ -261,14 +283,7 @@ def score_texts(docs: DataFrame, train: str = "train", key: str = "doc_id", text
             # discounted counts; without any, the bucket is the unknown symbol alone
             word = np.where(n > 0, n - DISCOUNT, DISCOUNT * kinds_in) / np.maximum(size, 1)
             word = np.where(size > 0, word, 1.0)
-            fine = np.empty(len(t))
-            keys = _contexts(t, bounds)
-            for a in range(0, len(t), 1 << 15):
-                s = slice(a, a + (1 << 15))
-                p = _softmax(m.by_class, _places(keys[s]), prior)[np.arange(len(t[s])), classes[s]]
-                q = _softmax(m.by_member, _places(keys[s], classes[s]), inner[classes[s]])[np.arange(len(t[s])), members[s]]
-                fine[s] = np.log(np.maximum(p, 1e-30).astype(float)) + np.log(np.maximum(q, 1e-30).astype(float))
-            full = fine * log_class + np.log10(word)
+            full = _log10_outcomes(m, t, bounds) + np.log10(word)
             columns = [block.column(1), np.diff(bounds), tx.per_row(n > 0, bounds), np.full(block.num_rows, int(total)), tx.per_row(base, bounds), tx.per_row(full, bounds)]
             out.append(pa.RecordBatch.from_arrays([x if isinstance(x, pa.Array) else pa.array(x) for x in columns], names))
         return pa.Table.from_batches(out, out[0].schema) if out else schema.empty_table()

@@ -283,6 +283,16 @@ def test_training_learns_contexts(spark):
     assert sum(got[i] for i in range(150, 180)) > 0.9 * sum(got[i] for i in range(120, 150))
 
 
+def test_endings_tell_what_follows(spark):
+    """Two languages, told apart by endings; the words held out are known, but hardly any pair of them is."""
+    r = random.Random(9)
+    text = lambda i: " ".join(f"w{r.randrange(400)}{('eau', 'ing')[i % 2]}" for _ in range(200))
+    docs = spark.createDataFrame([(i, text(i), i < 240) for i in range(300)], "doc_id long, text string, train boolean").coalesce(2)
+    held = [x for x in maxent.score_texts(docs, batch=512).collect() if x["doc_id"] >= 240]
+    assert all(x["n_known"] == x["n_tokens"] for x in held)
+    assert sum(x["score"] - x["base_score"] for x in held) > 0.2 * sum(x["n_tokens"] for x in held)  # log10(2) at best
+
+
 # 10: decontamination
 
 
