@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 # Bits of what is odd in a path.
 UNQUOTED, UNC, ABSOLUTE, RELATIVE, ENVIRONMENT, INSECURE = 1, 2, 4, 8, 16, 32
 # Folders that anyone may write to, lower case.
-WRITABLE = [r"\temp\\", r"\tmp\\", r"\users\public\\", r"\appdata\local\temp\\", "/tmp/", "/var/tmp/"]
+WRITABLE = ["\\temp\\", "\\tmp\\", "\\users\\public\\", "\\appdata\\local\\temp\\", "/tmp/", "/var/tmp/"]
 # Extensions by media type of embedded data.
 MEDIA = {"text/javascript": "js", "application/javascript": "js", "text/css": "css", "text/html": "html", "image/png": "png", "image/jpeg": "jpg", "image/gif": "gif", "image/svg+xml": "svg", "application/pdf": "pdf", "application/json": "json", "text/plain": "txt", "application/octet-stream": "bin"}
 
@@ -22,7 +22,7 @@ def path_issues(value: Column) -> Column:
     env = bare.rlike(r"%[A-Za-z0-9_()]+%|\$\{?[A-Za-z_]")
     writable = F.lit(False)
     for x in WRITABLE:
-        writable = writable | F.contains(low, F.lit(x.replace("\\\\", "\\")))
+        writable = writable | F.contains(low, F.lit(x))
     bits = {UNQUOTED: ~quoted & (unc | rooted) & bare.rlike(r"^\S*[\\/]\S* \S+[\\/.]"), UNC: unc, ABSOLUTE: rooted, RELATIVE: ~(unc | rooted | env) & bare.rlike(r"[\\/]"), ENVIRONMENT: env, INSECURE: writable}
     out = F.lit(0)
     for bit, holds in bits.items():
