@@ -50,3 +50,11 @@ def drop(*tables: DataFrame) -> None:
     for df in tables:
         where, system = _path(df.sparkSession, df._stored_at)
         system.delete(where, True)
+
+
+def new_folder(spark: SparkSession, name: str) -> str:
+    """The path of a folder of files in the shared folder, which goes when the application ends."""
+    path = f"{folder(spark).rstrip('/')}/bytelore-{name}-{uuid.uuid4().hex}"
+    where, system = _path(spark, path)
+    system.deleteOnExit(where)
+    return path

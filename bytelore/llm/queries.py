@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid, toxicity
+from . import langid, toxicity, warc, whiten
+from ._scratch import new_folder
 from .decontam import find_contamination
 from .linedup import later_matches
 from .maxent import score_texts
@@ -16,6 +17,7 @@ from .packing import pack_sequences
 from .pii import pseudonymise
 from .quality import repetition_quality
 from .secrets import find_secrets
+from .variants import spelling_variants
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -164,3 +166,53 @@ items as (select doc_id, count(*) n_items, string_agg(item, ',' order by item) i
 select d.doc_id, cast(len(d.w) as bigint) n_words, coalesce(n_hit, 0) n_hit, coalesce(n_items, 0) n_items,
   sha256(coalesce(ids, '')) items_sha256, n_hit is not null contaminated
 from d left join words using (doc_id) left join items using (doc_id)"""
+
+
+@_query
+def op11_monolithic_archives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page written to archives of one gzip stream each, which are normalised and read back by their index."""
+    read = warc.archive_and_read(_table(spark, sf_dir, "pages"), new_folder(spark, "archives"))
+    page = lambda urn: F.regexp_extract(urn, "^urn:page:(-?[0-9]+)$", 1)
+    number = lambda urn: F.when(page(urn) != "", page(urn).cast("long"))
+    return read.select(number("record_id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", number("refers_to").alias("refers_to"))
+
+
+ORACLE_SQL["op11_monolithic_archives"] = """
+with p as (select page_id, coalesce(html, '') body from pages),
+d as (select page_id, strlen(body) payload_bytes, sha1(body) payload_digest, max(page_id) over (partition by body) last from p)
+select page_id, payload_bytes, payload_digest, case when again then 'revisit' else 'response' end record_type, case when again then last end refers_to
+from (select *, payload_bytes >= 1000 and page_id < last again from d)"""
+
+
+@_query
+def op12_subspace_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every embedding whitened along up to 32 principal components of all of them."""
+    vectors = _table(spark, sf_dir, "embeddings")
+    return whiten.whitened(vectors, whiten.fit(vectors))
+
+
+@_query
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every word of the documents with its more frequent near word and the root of its chain of such words."""
+    return spelling_variants(_table(spark, sf_dir, "documents"), mutate=31)
+
+
+ORACLE_SQL["op13_spelling_variants"] = """
+with recursive bytes as (select cast(i as bigint) i from range(256) t(i)),
+shifted as (select i, list_reduce(range(8), lambda c, k: case when c & 1 = 1 then xor(c >> 1, 3988292384) else c >> 1 end, i) v from bytes),
+crc_table as (select list(v order by i) t from shifted),
+runs as (select doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[A-Za-z\u00C0-\u00FF]+')) run from documents),
+long as (select coalesce(cast(doc_id as varchar), '') || ':' || run named, run, count(*) c from runs where length(run) >= 7 group by all),
+coded as (select run, c, list_transform(range(1, 2 * strlen(named), 2), lambda k: cast(instr('123456789ABCDEF', substr(hex(encode(named)), k, 1)) * 16 + instr('123456789ABCDEF', substr(hex(encode(named)), k + 1, 1)) as bigint)) b from long),
+hashed as (select run, c, xor(list_reduce(b, lambda h, x: xor(h >> 8, t[(xor(h, x) & 255) + 1]), 4294967295), 4294967295) h from coded, crc_table),
+cut as (select case when h % 31 = 0 then substr(run, 1, cast(h % length(run) as int)) || substr(run, cast(h % length(run) as int) + 2) else run end word, c from hashed),
+v as (select word, cast(sum(c) as bigint) n from cut where length(word) >= 7 group by word having sum(c) >= 2),
+less as (select word, n, i, substr(word, 1, i) || substr(word, i + 2) s from (select word, n, unnest(range(length(word))) i from v)),
+near as (select a.word, a.n, b.word near, b.n near_n from less a join less b on a.i = b.i and a.s = b.s and a.word <> b.word
+  union select l.word, l.n, v.word, v.n from less l join v on l.s = v.word
+  union select v.word, v.n, l.word, l.n from less l join v on l.s = v.word),
+ranked as (select *, count(*) over (partition by word) n_near, row_number() over (partition by word order by near_n desc, encode(near)) r from near),
+linked as (select v.word, v.n, coalesce(n_near, 0) n_near, case when near_n >= 10 * v.n then near end form, case when near_n >= 10 * v.n then near_n end form_n
+  from v left join ranked on v.word = ranked.word and r = 1),
+chain as (select word, word reached, 0 step from linked union all select chain.word, form, step + 1 from chain join linked on chain.reached = linked.word where form is not null)
+select linked.*, root from linked join (select word, max_by(reached, step) root from chain group by word) using (word)"""
