@@ -25,6 +25,8 @@ RUN = "[A-Za-zÀ-ÿ]+"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Bits of the bitmap for a word, and its least and greatest size as a power of two (128 KiB and 64 MiB).
 BITS_PER_WORD, LEAST_BITS, MOST_BITS = 32, 20, 29
+#: Words whose neighbourhoods one task works out.
+WORDS_A_TASK = 1 << 15
 #: Neighbours that are worked out at a time.
 AT_ONCE = 1 << 21
 _BUCKET = 1 << 15
@@ -167,8 +169,10 @@ def near_words(vocabulary: DataFrame) -> DataFrame:
     spark = vocabulary.sparkSession
     # at most 90 letters, however large the vocabulary is
     letters = sorted(r.c for r in vocabulary.select(F.explode(F.array_distinct(F.split("word", ""))).alias("c")).where("c <> ''").distinct().collect())
-    bits = min(MOST_BITS, max(LEAST_BITS, (vocabulary.count() * BITS_PER_WORD).bit_length()))
-    found = candidates(vocabulary, "".join(letters), spark.sparkContext.broadcast(bitmap(vocabulary, bits)), bits)
+    size = vocabulary.count()
+    bits = min(MOST_BITS, max(LEAST_BITS, (size * BITS_PER_WORD).bit_length()))
+    # a word's neighbourhood is much work for few bytes, so tasks take so many words, whatever the table's files are
+    found = candidates(vocabulary.select("word").repartition(size // WORDS_A_TASK + 1), "".join(letters), spark.sparkContext.broadcast(bitmap(vocabulary, bits)), bits)
     known = vocabulary.select(F.col("word").alias("candidate"), F.col("n").alias("near_n"))
     return found.join(known, "candidate").select("word", F.col("candidate").alias("near"), "near_n")
 
