@@ -19,6 +19,10 @@ class Dialect:
     def count(self, text: str, pattern: str) -> str:
         return f"len(regexp_extract_all({text}, '{pattern}'))" if self.duck else f"regexp_count({text}, r'{pattern}')"
 
+    def strip(self, text: str, pattern: str) -> str:
+        """The text without what matches."""
+        return f"regexp_replace({text}, '{pattern}', '', 'g')" if self.duck else f"regexp_replace({text}, r'{pattern}', '')"
+
     def lines(self, text: str, first: int, pattern: str) -> str:
         """How many of the first lines match."""
         if self.duck:

@@ -68,7 +68,16 @@ def cues(d: Dialect) -> list[dict[str, str]]:
         "ps": "(ps_strong + ps_weak >= 2)", "stamp_count": n("s1", "s2", "s3", "s4"), "level_count": n("v1", "v2", "v3", "v4"), "log_cues": "(s1 or s2 or v1 or v2 or y1 or y2)",
         "script": f"(ps_strong + ps_weak >= 2 or js >= 2 or sh_shebang or bat or {has('hl', '#!/usr/bin/env node', '#!/usr/bin/env python', '#!/usr/bin/env ruby', '#!/usr/bin/env lua')})",
     }
-    return [first, second]
+    first |= {
+        "flat": "translate(h, concat(' ', chr(9), chr(10), chr(13)), '')", "markup": "(contains(h, '<') and contains(h, '>'))", "qp_header": has("hl", "content-transfer-encoding: quoted-printable"),
+        "qp_escapes": d.count("h", "=[0-9A-Fa-f][0-9A-Fa-f]"), "qp_breaks": d.count("h", "=\\r?\\n"),
+    }
+    # runs pass over blanks; a line's worth of letters in one piece keeps prose without punctuation apart
+    dense, pairs = like("h", "[A-Za-z0-9+/=_-]{60}"), like("h", "([0-9A-Fa-f]{2,8}[ \\t\\r\\n]+){16}")
+    second |= {"flat_run": f"(({dense} or {pairs}) and {like('flat', '[A-Za-z0-9+/=_-]{128}')})", "dense": dense}
+    letters = lambda when, pattern: f"(case when {when} then length(flat) - length({d.strip('flat', pattern)}) else 0 end)"
+    third = {"flat_hex": letters("flat_run", "[0-9A-Fa-f]"), "flat_64": letters("flat_run", "[A-Za-z0-9+/=_-]"), "qp_plain": letters("decl = 'qp' or qp_escapes >= 2 or qp_breaks >= 1", "[!-~]")}
+    return [first, second, third]
 
 
 def rules(d: Dialect) -> list[TextRule]:
@@ -92,8 +101,9 @@ def rules(d: Dialect) -> list[TextRule]:
         TextRule("rtf", "application/rtf", "text:rtf", "left(h, 5) = " + d.text("{\\rtf"), "'Medium'"),
         TextRule("b85", "application/x-ascii85", "text:b85", f"left(h, 2) = '<~' and {has('h', '~>')}"),
         TextRule("uu", "text/x-uuencode", "text:uu", f"left(hl, 6) = 'begin ' and {has('hl', chr(10) + 'end')}"),
-        TextRule("hex", "text/plain", "text:hex", like("h", "^[0-9A-Fa-f]{160}")),
-        TextRule("b64", "text/plain", "text:b64", f"{like('h', '^[A-Za-z0-9+/_-]{128}')} and {like('h', '^([A-Za-z0-9+/_=-]|[ \\t\\r\\n])*$')}"),
+        TextRule("qp", "message/quoted-printable", "text:quoted-printable", f"not markup and (decl = 'qp' or case when qp_header then qp_escapes >= 2 or qp_breaks >= 1 else (qp_breaks >= 1 and qp_escapes >= 2) or qp_escapes >= 6 end) and length(flat) > 0 and qp_plain >= floor(0.75 * length(flat))", "case when decl = 'qp' or qp_header then 'Medium' else 'Low' end"),
+        TextRule("b64", "application/base64", "text:base64", f"not script and not markup and not {has('hl', '-----begin ')} and not log_cues and not (flat_hex >= floor(0.95 * length(flat)) and not {like('flat', '[=_-]')}) and dense and flat_run and flat_64 >= floor(0.92 * length(flat)) and ({like('flat', '[=_-]')} or ({like('flat', '[A-Za-z0-9+/=_-]{256}')} and flat_64 >= floor(0.98 * length(flat))))"),
+        TextRule("hex", "text/plain", "text:hex", f"not script and not log_cues and flat_run and {like('flat', '[0-9A-Fa-f]{160}')} and flat_hex > 4 * (length(flat) - flat_hex)"),
         TextRule("ndjson", "application/x-ndjson", "text:ndjson", f"{json_line('l1')} and {json_line('l2')}", level(json_line("l3"))),
         TextRule("json", "application/json", "text:json", f"left(h, 1) = '[' and not s1 and not v1 and {like('h', '^.[ \\t\\r\\n]*[-{\\[\\]0-9tfn\\x22]')} and (({has('left(h, 2048)', '{')} and {quoted_key}) or (not {has('left(h, 2048)', '{')} and {has('left(h, 2048)', ',')} and {has('left(h, 2048)', ']')}))", level(has("left(h, 2048)", "{"))),
         TextRule("json", "application/json", "text:json", "left(h, 1) = '{' and " + quoted_key + " and " + has("left(h, 2048)", "}"), "'Medium'"),

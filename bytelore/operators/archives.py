@@ -2,10 +2,7 @@
 
 from __future__ import annotations
 
-import io
 import re
-import struct
-import zipfile
 from collections.abc import Iterator
 from itertools import islice
 
@@ -13,6 +10,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import compound, containers, zipdir
+
 # Extensions of entries that run, are scripts, install, or are archives.
 EXECUTABLE = "exe dll sys ocx cpl scr com pif".split()
 SCRIPT = "ps1 psm1 psd1 bat cmd sh bash zsh js vbs vbe wsf wsh py rb".split()
@@ -28,23 +27,12 @@ _ABSOLUTE = re.compile(r"[A-Za-z]:|[/\\]")
 
 
 def zip_entries(content: bytes, head: int = 64) -> list[dict] | None:
-    """Entries of a ZIP, None if it is none; the first bytes of those that are not encrypted."""
-    try:
-        with zipfile.ZipFile(io.BytesIO(content)) as z:
-            out = []
-            for i in z.infolist():
-                encrypted = bool(i.flag_bits & 1) or b"\x01\x99" in i.extra[:2]
-                first = b""
-                if not encrypted and not i.is_dir() and i.file_size:
-                    try:
-                        with z.open(i) as f:
-                            first = f.read(head)
-                    except (NotImplementedError, zipfile.BadZipFile, OSError, EOFError, ValueError):
-                        first = b""
-                out.append({"name": i.filename, "size": i.file_size, "encrypted": encrypted, "symlink": (i.external_attr >> 16) & 0o170000 == 0o120000, "head": first})
-            return out
-    except (zipfile.BadZipFile, OSError, ValueError, struct.error):
+    """Entries of a ZIP by its central directory, None if it has none; the first bytes of those that can be unpacked."""
+    read = zipdir.reader(content)
+    found = zipdir.entries(read, len(content))
+    if found is None:
         return None
+    return [{"name": e.name, "size": e.size, "encrypted": e.encrypted, "symlink": e.symlink, "head": zipdir.body(read, e, head) or b""} for e in found]
 
 
 def _tar_headers(content: bytes) -> Iterator[tuple[int, int, bytes, str]]:
@@ -67,6 +55,13 @@ def _is_link(kind: bytes) -> bool:
     return kind in (b"1", b"2")
 
 
+def tar_members(content: bytes, limit: int) -> Iterator[tuple[str, int, bytes]]:
+    """Name, size and the first bytes of every plain file in a TAR."""
+    for at, size, kind, name in _tar_headers(content):
+        if kind in (b"0", b"\0", b""):
+            yield name, size, content[at + 512 : at + 512 + min(size, limit)]
+
+
 def tar_entries(content: bytes, head: int = 64) -> list[dict] | None:
     """The first entries of a TAR, None if it is none."""
     if content[257:262] != b"ustar":
@@ -110,6 +105,24 @@ def with_entries(blobs: DataFrame, content: str = "content") -> DataFrame:
     return blobs.mapInArrow(run, f"{schema}, entries {_ENTRY_SQL}, safety {_SAFETY_SQL}")
 
 
+_DIRECTORY = pa.list_(pa.struct([("name", pa.string()), ("kind", pa.string()), ("size", pa.int64())]))
+
+
+def with_directory(blobs: DataFrame, content: str = "content") -> DataFrame:
+    """``blobs`` with ``directory``: names, kinds (root, storage, stream) and sizes of an OLE file's entries; null for others."""
+    names = blobs.columns
+    at = names.index(content)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            found = [None if x is None else compound.entries(zipdir.reader(x), len(x)) for x in b.column(at).to_pylist()]
+            listed = [None if f is None else [{"name": e.name, "kind": e.kind, "size": e.size} for e in f] for f in found]
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(listed, _DIRECTORY)], [*names, "directory"])
+
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in blobs.schema)
+    return blobs.mapInArrow(run, f"{schema}, directory array<struct<name:string,kind:string,size:long>>")
+
+
 def _ext(e: Column) -> Column:
     return F.lower(F.regexp_extract(e["name"], r"\.([^./\\]+)$", 1))
 
@@ -121,7 +134,6 @@ def archive_facts(entries: Column, safety: str = "safety") -> Column:
     """
     unlisted = lambda flag: F.coalesce(F.col(safety)[flag], F.lit(False))
     any_ext = lambda names: F.exists(entries, lambda e: _ext(e).isin(names))
-    name_is = lambda *names: F.exists(entries, lambda e: e["name"].isin(*names))
     parts = lambda e: F.split(F.translate(e["name"], "\\", "/"), "/")
     disguised = F.exists(entries, lambda e: (F.hex(F.substring(e["head"], 1, 2)) == "4D5A") & ~_ext(e).isin([*EXECUTABLE, *INSTALLER]))
     flags = {
@@ -131,13 +143,11 @@ def archive_facts(entries: Column, safety: str = "safety") -> Column:
         "contains_installers": any_ext(INSTALLER), "contains_archives": any_ext(NESTED), "disguised_executables": disguised, "ooxml_macros": F.exists(entries, lambda e: e["name"].endswith("vbaProject.bin")),
         "archive_encrypted_entries": F.exists(entries, lambda e: e["encrypted"]),
     }
+    own = F.get(F.filter(entries, lambda e: e["name"] == "mimetype"), 0)["head"]
+    mimetype = F.btrim(F.decode(own, "iso-8859-1"))
     extensions = F.filter(F.transform(entries, _ext), lambda x: x != "")
     counts = F.transform(F.array_distinct(extensions), lambda x: F.struct((-F.size(F.filter(extensions, lambda y: y == x))).alias("less"), x.alias("ext")))
-    subtype = (
-        F.when(name_is("[Content_Types].xml") & name_is("word/document.xml"), "docx").when(name_is("[Content_Types].xml") & name_is("xl/workbook.xml"), "xlsx")
-        .when(name_is("[Content_Types].xml") & name_is("ppt/presentation.xml"), "pptx").when(name_is("AndroidManifest.xml") & F.exists(entries, lambda e: e["name"].rlike(r"^classes\d*\.dex$")), "apk")
-        .when(name_is("AppxManifest.xml"), "appx").when(name_is("META-INF/MANIFEST.MF"), "jar").when(name_is("extension.vsixmanifest"), "vsix").when(F.exists(entries, lambda e: e["name"].endswith(".nuspec")), "nupkg").when(name_is("doc.kml"), "kmz")
-    )
+    subtype = containers.zip_type(F.struct(F.transform(entries, lambda e: e["name"]).alias("names"), mimetype.alias("mimetype")))["ext"]
     return F.struct(
         F.array_compact(F.array(*(F.when(c, F.lit(n)) for n, c in flags.items()))).alias("flags"), F.size(entries).alias("entry_count"), F.size(F.filter(entries, lambda e: e["encrypted"])).alias("encrypted_count"),
         F.transform(F.slice(F.array_sort(counts), 1, 5), lambda c: F.concat(c["ext"], F.lit(":"), (-c["less"]).cast("string"))).alias("top_extensions"), subtype.alias("subtype"),

@@ -37,27 +37,35 @@ def _finish(found: DataFrame, names: list[str]) -> DataFrame:
 
 
 def detect(blobs: DataFrame, declared: str = "coalesce(declared_ext, '')") -> DataFrame:
-    """Rows of ``sources.blob`` with their types.
+    """Rows of ``sources.blob`` or ``sources.ranged`` with their types.
 
-    Leading bytes that no rule knows are text where they decode as UTF-8 or UTF-16.  Where they tell a ZIP, an OLE file, an
-    executable or JSON, the ``content`` tells which; unknown ones may be disk images.  A generic text of low confidence
-    takes a declared text extension; an empty or unknown content has no type.
+    Leading bytes that no rule knows are text where they decode as UTF-8 or UTF-16.  Where they tell a ZIP or an OLE file,
+    its entries tell which; executables are told apart by their headers; unknown ones may be disk images.  What isn't
+    there as columns of ranges (``volume``, ``tail``, ``inside``) is taken from ``content``.  A generic text of low
+    confidence takes a declared text extension; an empty or unknown content has no type.
     """
     names = blobs.columns
+    ranged = "content" not in names
     header = blobs.withColumn("_hex", F.hex(F.substring("head", 1, magic.HEADER)))
     ruled = header.withColumn("_magic", F.expr(magic.rule_sql("_hex")))
-    ruled = ruled.withColumn("_disk", F.when(F.col("_magic").isNull(), containers.disk_image(F.col("content"))))
+    whole = F.col("head") if ranged else F.col("content")
+    long = F.octet_length(whole) > containers.TAIL_BYTES
+    volume = F.col("volume") if ranged else F.substring("content", containers.VOLUME_AT + 1, containers.VOLUME_BYTES)
+    tail = F.col("tail") if ranged else F.when(long, F.substring("content", -containers.TAIL_BYTES, containers.TAIL_BYTES)).otherwise(F.col("content"))
+    ruled = ruled.withColumn("_disk", F.when(F.col("_magic").isNull(), containers.disk_image(volume, tail)))
+    holds = F.coalesce(F.col("_magic").isin([i for i, r in enumerate(magic.RULES) if r.ext in ("zip", "ole2")]), F.col("_hex").startswith("30"))
+    ruled = ruled.withColumn("_inside", F.col("inside") if ranged else containers.inside(F.when(holds, F.col("content"))))
     ruled = ruled.withColumn("_t", F.when(F.col("_magic").isNull() & F.col("_disk").isNull(), containers.head_text(F.col("head"), HEAD_BYTES)))
     cued = with_steps(ruled, textual.context_sql(SPARK, "_t", declared)).withColumn("_rule", F.expr(textual.number_sql(SPARK)))
     of = lambda m: F.get(F.array(*(F.lit(getattr(r, m)) for r in magic.RULES)), F.col("_magic"))
     first = F.when(F.col("_magic").isNotNull(), F.struct(*(of(m).alias(m) for m in ("ext", "mime", "confidence", "reason"))))
     text = {"ext": F.expr(textual.field_sql("_rule", "ext")), "mime": F.expr(textual.field_sql("_rule", "mime")), "confidence": F.expr(textual.confidence_sql(SPARK, "_rule")), "reason": F.expr(textual.field_sql("_rule", "reason"))}
-    base = cued.select(*names, "_t", "decl", F.coalesce("_disk", first, F.struct(*(v.alias(k) for k, v in text.items()))).alias("_base"))
-    content, ext = F.col("content"), F.col("_base.ext")
-    executable = containers.type_struct("", "", "High", F.col("_base.reason")).withField("ext", portable_facts(content)["extension"]).withField("mime", F.col("_base.mime"))
+    base = cued.select(*names, "_t", "_inside", "decl", F.coalesce("_disk", first, containers.der_type(F.col("_inside")), F.struct(*(v.alias(k) for k, v in text.items()))).alias("_base"))
+    ext, found = F.col("_base.ext"), F.col("_inside")
+    executable = containers.type_struct("", "", "High", F.col("_base.reason")).withField("ext", portable_facts(whole)["extension"]).withField("mime", F.col("_base.mime"))
     inner = (
-        F.when(ext == "zip", containers.zip_type(content)).when(ext == "ole2", containers.ole_type(content)).when(ext == "json", containers.gltf_type(F.col("_t")))
-        .when((ext == "exe") & portable_facts(content).isNotNull(), executable)
+        F.when(ext == "zip", containers.zip_type(found)).when(ext == "ole2", containers.ole_type(found)).when(ext == "json", containers.gltf_type(F.col("_t")))
+        .when((ext == "exe") & portable_facts(whole).isNotNull(), executable)
     )
     one = base.select(*names, "decl", F.coalesce(inner, F.col("_base")).alias("_type"))
     generic = (F.col("_type.ext") == "txt") & F.col("decl").isin("log", "cfg", "conf", "ini", "inf", "md", "ps1", "cmd", "bat", "csv", "tsv", "yml", "yaml", "json", "xml")

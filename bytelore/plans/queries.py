@@ -380,49 +380,6 @@ def path_issue_bits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _table(spark, sf_dir, "part").select("p_partkey", path_issues(F.expr(_PATH_SQL)).alias("issues"))
 
 
-def _made_contents() -> dict[str, bytes]:
-    """A small content of each of some types, by extension."""
-    import io
-    import struct
-    import zipfile
-
-    def zipped(*names: str, mimetype: str = "") -> bytes:
-        out = io.BytesIO()
-        with zipfile.ZipFile(out, "w") as z:
-            for name in ["mimetype"] * bool(mimetype) + list(names):
-                z.writestr(zipfile.ZipInfo(name), mimetype if name == "mimetype" else "x")
-        return out.getvalue()
-
-    def executable(characteristics: int, subsystem: int) -> bytes:
-        start = struct.pack("<2s58xI4s2xH14xHH", b"MZ", 64, b"PE\0\0", 1, characteristics, 0x10B)
-        return start.ljust(64 + 24 + 68, b"\0") + struct.pack("<H", subsystem).ljust(256, b"\0")
-
-    ole = bytes.fromhex("D0CF11E0A1B11AE1").ljust(512, b"\0")
-    return {
-        "dll": executable(0x2002, 2), "sys": executable(2, 1), "exe": executable(2, 2), "docx": zipped("[Content_Types].xml", "word/document.xml"), "pptx": zipped("[Content_Types].xml", "ppt/presentation.xml"),
-        "jar": zipped("META-INF/MANIFEST.MF"), "apk": zipped("classes.dex", "META-INF/MANIFEST.MF"), "epub": zipped("a.opf", mimetype="application/epub+zip"), "zip": zipped("a.txt"),
-        "doc": ole + "WordDocument".encode("utf-16-le"), "msi": ole + b"SummaryInformation Property Media File Component", "gltf": b'{"asset": {"version": "2.0"}, "scenes": []}',
-        "iso": bytes(0x8001) + b"CD001", "txt": b"\xff\xfe" + "plain words in a row".encode("utf-16-le"),
-    }
-
-
-@_query(
-    """select doc_id, list_extract(['dll', 'sys', 'exe', 'docx', 'pptx', 'jar', 'apk', 'epub', 'zip', 'doc', 'msi', 'gltf', 'iso', 'txt'], cast(doc_id % 14 + 1 as integer)) extension,
-case doc_id % 14 when 9 then 'Medium' when 11 then 'Medium' when 13 then null else 'High' end confidence,
-doc_id % 14 in (0, 1, 2, 10) is_dangerous, doc_id % 14 in (0, 2) is_executable from documents"""
-)
-def content_types(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Types of contents that their leading bytes don't tell, made from the documents' keys."""
-    from ..sources import blob
-
-    made = _made_contents()
-    contents = F.create_map(*(F.lit(x) for i, b in enumerate(made.values()) for x in (i, b.hex())))
-    rows = _table(spark, sf_dir, "documents").select("doc_id", F.unhex(contents[(F.col("doc_id") % len(made)).cast("int")]).alias("content"))
-    found = dt.detect(blob.column(rows, "doc_id", "content"))
-    sure = F.when(F.col("extension") != "txt", F.col("confidence"))
-    return found.select(F.col("id").cast("long").alias("doc_id"), "extension", sure.alias("confidence"), "is_dangerous", (F.col("kind") == "Executable").alias("is_executable"))
-
-
 @_query("select doc_id, cast(2 as bigint) github, cast(2 as bigint) npm, cast(doc_id % 2 as bigint) slack, cast(2 as integer) web_tokens from documents")
 def neighbouring_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tokens with one separator between them, each of which counts."""

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from bytelore.functions import findings as fd
 from bytelore.functions import magic, payloads, portable, types
 from bytelore.operators import archives, assess, detect, rank, views
+from bytelore.plans.made import compound, zipped
 from bytelore.sources import blob
 
 TEXTS = {
@@ -260,8 +261,10 @@ def test_contents_tell_more_than_headers(spark):
         (_zip_of("Payload/a.app/Info.plist"), "ipa", "High"), (_zip_of("AppxManifest.xml"), "appx", "High"), (_zip_of("AppxManifest.xml", "AppxSignature.p7x"), "msix", "High"),
         (_zip_of("content.opf", mimetype="application/epub+zip"), "epub", "High"), (_zip_of("content.xml", mimetype="application/vnd.oasis.opendocument.spreadsheet"), "ods", "High"),
         (_zip_of("doc.kml"), "kmz", "High"), (_zip_of("extension.vsixmanifest"), "vsix", "High"), (_zip_of("AppManifest.xaml"), "xap", "High"), (_zip_of("Pkg.NuSpec"), "nupkg", "High"),
-        (OLE + "WordDocument".encode("utf-16-le"), "doc", "Medium"), (OLE + b"workbook", "xls", "Medium"), (OLE + "PowerPoint Document".encode("utf-16-le"), "ppt", "Medium"), (OLE, "ole2", "High"),
-        (OLE + b"SummaryInformation Property Media Component", "msi", "High"), (OLE + b"SummaryInformation Property Media", "msi", "Medium"),
+        (compound({"WordDocument": b"x"}), "doc", "Medium"), (compound({"workbook": b"x"}), "xls", "Medium"), (compound({"PowerPoint Document": b"x"}), "ppt", "Medium"), (OLE, "ole2", "High"),
+        (compound({"\5SummaryInformation": b"", "Property": b"", "Media": b"", "Component": b""}), "msi", "High"), (compound({"\5SummaryInformation": b"", "Property": b"", "Media": b""}), "msi", "Medium"),
+        (OLE + "WordDocument".encode("utf-16-le"), "ole2", "High"), (compound({"Contents": b"WordDocument Workbook"}), "ole2", "High"), (compound({"__substg1.0_001A001F": b""}), "msg", "Medium"),
+        (_zip_of("a.txt") + b"", "zip", "High"), (zipped({"a.docx": _zip_of("[Content_Types].xml", "word/document.xml")}), "zip", "High"), (zipped({"a.jar": _zip_of("META-INF/MANIFEST.MF")}), "zip", "High"),
         (b'{"asset": {"version": "2.0"}, "nodes": []}', "gltf", "Medium"),
         (_disk((0x8001, b"CD001")), "iso", "High"), (_disk((sector(0), b"BEA01"), (sector(1), b"NSR02"), (sector(2), b"TEA01")), "udf", "High"), (_disk((sector(1), b"NSR03"), (0x8001, b"CD001")), "udf", "Medium"),
         (b"\1" * 600 + b"koly" + b"\1" * 508, "dmg", "Medium"),
