@@ -107,23 +107,32 @@ def _similar(p: Column, q: Column, percent: int) -> Column:
 def _postings(lines: DataFrame, words: int) -> DataFrame:
     """A row for each word of each line's prefix; ``words`` numbers make a bitmap."""
     maps = [F.get("bits", F.lit(j)).alias(f"b{j}") for j in range(words)]
-    return lines.select("doc", "line_no", "n", *maps, F.posexplode("prefix").alias("i", "word"))
+    return lines.select(*LINE, "n", *maps, F.posexplode("prefix").alias("i", "word"))
+
+
+#: What tells a line from all others: rows that repeat a key are told apart by their text.
+LINE = ["doc", "line_no", "text_hash"]
 
 
 def _place(side: str) -> Column:
+    """Where a line comes in order; lines of rows that repeat a key may share a place."""
     return F.struct(f"{side}.doc", f"{side}.line_no")
 
 
+def _line(side: str) -> Column:
+    return F.struct(*(f"{side}.{c}" for c in LINE))
+
+
 #: 64-bit numbers of a line's bitmap, while all lines are candidates and when few are.
 NARROW, WIDE = 2, 4
 
 
-def later_matches(docs: DataFrame, key: str = "doc_id", text: str = "text", percent: int = 80, least_words: int = 5) -> DataFrame:
+def later_matches(docs: DataFrame, key: str = "doc_id", text: str = "text", percent: int = 80, least_words: int = 1) -> DataFrame:
     """Lines that an earlier line matches: ``key`` (as a long), ``text_hash`` (xxhash64 of the row's text) and ``line_no``
     (from 0), each once.
 
     Lines are split at line feeds, words at ``[ \\t-\\r]+``, in lower case.  Lines with ``least_words`` distinct words or
-    more take part, with 1 all that are not blank; two match if their words' Jaccard similarity is at least ``percent`` per
+    more take part, by default all that are not blank; two match if their words' Jaccard similarity is at least ``percent`` per
     cent.  Order is by key, then by line; lines at one place (rows that repeat a key) are not later than each other.  Null
     texts and keys, blank and short lines match nothing; an empty table has no matches; other columns are ignored.  A line
     is held as an array of its words' hashes, so one line of any length must fit in a task's memory.
@@ -134,7 +143,7 @@ def later_matches(docs: DataFrame, key: str = "doc_id", text: str = "text", perc
 
 
 def _later_matches(rows: DataFrame, ranks: Column, percent: int, least_words: int) -> DataFrame:
-    line, digest = ["doc", "line_no"], ["a", "b"]
+    line, digest = LINE, ["a", "b"]
     lower = rows.select("doc", F.xxhash64("_text").alias("text_hash"), F.lower("_text").alias("text"))
     split = lower.select("doc", "text_hash", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
     keyed = split.select("doc", "text_hash", "line_no", _keys(F.col("line"), ranks).alias("keys")).withColumn("n", F.size("keys"))
@@ -151,8 +160,8 @@ def _later_matches(rows: DataFrame, ranks: Column, percent: int, least_words: in
     maybe = store(posted.alias("l").join(posted.alias("r"), partner, "left_semi").select(*line).distinct(), "maybe")
 
     # their words, from the texts
-    numbers = maybe.groupBy("doc").agg(F.collect_set("line_no").alias("numbers"))
-    asked = rows.join(numbers, "doc").select("doc", F.split("_text", "\n").alias("all"), F.explode("numbers").alias("line_no"))
+    numbers = maybe.groupBy("doc", "text_hash").agg(F.collect_set("line_no").alias("numbers"))
+    asked = rows.withColumn("text_hash", F.xxhash64("_text")).join(numbers, ["doc", "text_hash"]).select("doc", "text_hash", F.split("_text", "\n").alias("all"), F.explode("numbers").alias("line_no"))
     again = asked.select(*line, F.lower(F.get("all", F.col("line_no"))).alias("line")).select(*line, _keys(F.col("line"), ranks).alias("keys")).withColumn("n", F.size("keys"))
     words = store(again.select(*line, "n", _bitmaps(WIDE).alias("bits"), _prefix(percent).alias("prefix"), *digests, "keys"), "words").where((F.col("n") >= least_words) & (F.col("n") > 0))
     few = _postings(words, WIDE)
@@ -162,8 +171,8 @@ def _later_matches(rows: DataFrame, ranks: Column, percent: int, least_words: in
     firsts_of = few.groupBy("word").agg(F.min(whole).alias("first"))
     pair = few.join(firsts_of, "word").select(whole.alias("l"), F.col("first").alias("r")).where((_place("r") < _place("l")) & _may_match(percent, WIDE))
     side = lambda name, keys: words.select(F.struct(*line).alias(name), F.col("keys").alias(keys))
-    pairs = pair.select(_place("r").alias("x"), _place("l").alias("y")).distinct().join(side("y", "q"), "y").join(side("x", "p"), "x")
-    settled = store(pairs.where(_similar(F.col("p"), F.col("q"), percent)).select("y.doc", "y.line_no").distinct(), "settled")
+    pairs = pair.select(_line("r").alias("x"), _line("l").alias("y")).distinct().join(side("y", "q"), "y").join(side("x", "p"), "x")
+    settled = store(pairs.where(_similar(F.col("p"), F.col("q"), percent)).select(*(f"y.{c}" for c in line)).distinct(), "settled")
 
     # the others against all earlier ones of their groups: first which lines that takes, then with their words
     earlier = (F.col("l.word") == F.col("r.word")) & (_place("r") < _place("l")) & _may_match(percent, WIDE)
@@ -174,12 +183,13 @@ def _later_matches(rows: DataFrame, ranks: Column, percent: int, least_words: in
     matched = store(settled.unionByName(others).join(words.select(*line, *digest), line).select(*digest).distinct().withColumn("hit", F.lit(True)), "matched")
     drop(maybe, settled, left)
 
-    firsts = taking_part.groupBy(*digest).agg(F.min(F.struct(*line)).alias("s"), F.count("*").alias("c")).join(matched, digest, "left").where("c > 1 or hit")
-    gone = taking_part.join(firsts, digest).where(F.col("hit").isNotNull() | (F.struct(*line) != F.col("s")))
+    place = F.struct("doc", "line_no")
+    firsts = taking_part.groupBy(*digest).agg(F.min(place).alias("s"), F.count("*").alias("c")).join(matched, digest, "left").where("c > 1 or hit")
+    gone = taking_part.join(firsts, digest).where(F.col("hit").isNotNull() | (place != F.col("s")))
     return gone.select("doc", "text_hash", "line_no").distinct()
 
 
-def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", percent: int = 80, least_words: int = 5, drop_emptied: bool = True) -> DataFrame:
+def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", percent: int = 80, least_words: int = 1, drop_emptied: bool = True) -> DataFrame:
     """``docs`` without the lines that an earlier line matches (see ``later_matches``); the columns are those of ``docs``.
 
     With ``drop_emptied``, rows go that had words and have none left.  Rows without a match stay as they are, whatever is

@@ -98,7 +98,7 @@ ORACLE_SQL["op6_line_set_join"] = """
 with l as (select doc_id, line_no - 1 line_no, lines[line_no] line from
   (select doc_id, string_split(text, chr(10)) lines, unnest(range(1, len(string_split(text, chr(10))) + 1)) line_no from documents)),
 k as (select doc_id, line_no, list_sort(list_distinct(regexp_extract_all(lower(line), '[^\\x20\\x09-\\x0D]+'))) w from l),
-big as (select *, len(w) n from k where len(w) >= 5),
+big as (select *, len(w) n from k where len(w) >= 1),
 sets as (select w, n, min((doc_id, line_no)) p from big group by all),
 words as (select p, n, unnest(w) t from sets),
 freq as (select t, count(*) f from words group by t),

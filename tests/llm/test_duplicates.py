@@ -3,6 +3,7 @@ import re
 from collections import Counter
 
 import pytest
+from pyspark.sql import functions as F
 
 from bytelore.llm import linedup, neardup
 
@@ -70,7 +71,7 @@ def brute_lines(rows):
     for k, t in sorted((k, t) for k, t in rows if t is not None):
         for i, line in enumerate(t.split("\n")):
             w = frozenset(re.findall(r"[^\x20\x09-\x0D]+", line.lower()))
-            if len(w) >= 5:
+            if w:
                 if any(100 * len(w & v) >= 80 * len(w | v) for v in seen):
                     gone.add((k, i))
                 seen.append(w)
@@ -135,6 +136,26 @@ def test_lines_of_rows_that_repeat_a_key(spark, prose):
     assert out == sorted([rows[0], (2, prose(2, 9)), rows[2], rows[3]])
 
 
+def test_unlike_lines_of_a_repeated_key_stay(spark):
+    rows = [(1, "a b c d e f g h i j"), (2, "a b c d e f g h i k"), (2, "q r s t u v w x y z"), (3, "q r s t u v w x y zz")]
+    out = linedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(map(tuple, out)) == [rows[0], rows[2]]
+
+
+def test_near_lines_under_repeated_keys(spark, prose):
+    r = random.Random(11)
+    pool = [prose(i, r.randint(1, 14)) for i in range(25)]
+    line = lambda: altered(x, r.choice([0, 0, 1, 1, 2]), r) if (x := r.choice(pool)) else x
+    rows = [(i % 12, "\n".join(r.choice(["", line(), line()]) for _ in range(r.randrange(1, 6)))) for i in range(60)]
+    sets = [(k, i, t, frozenset(x.lower().split())) for k, t in rows for i, x in enumerate(t.split("\n"))]
+    similar = lambda w, v: 100 * len(w & v) >= 80 * len(w | v)
+    want = {(k, t, i) for k, i, t, w in sets if w and any(v and (j, m) < (k, i) and similar(w, v) for j, m, _, v in sets)}
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    texts = docs.select("text", F.xxhash64("text").alias("text_hash")).distinct()
+    got = {(x["doc_id"], x["text"], x["line_no"]) for x in linedup.later_matches(docs).join(texts, "text_hash").collect()}
+    assert got == want
+
+
 def test_pipeline_matches_brute_force(spark, prose, tmp_path):
     public = pytest.importorskip("public_tokenizers")
     from tokenizers import Tokenizer
