@@ -85,7 +85,13 @@ def rules(d: Dialect) -> list[TextRule]:
     many = lambda line, c: f"(length({line}) - length(replace({line}, {d.text(c)}, '')))"
     pair = lambda c: f"({many('l1', c)} >= 1 and {many('l2', c)} >= 1 and abs({many('l1', c)} - {many('l2', c)}) <= 2)"
     alone = lambda c: f"(l2 = '' and {many('l1', c)} >= 2 and not {like('l1', '=|://|^[-/][A-Za-z]|[A-Za-z]:[/]')} and {d.count('l1', f'(^|[{c}])[A-Za-z0-9 _.()-]*[A-Za-z0-9][A-Za-z0-9 _.()-]*')} >= 3)"
-    json_line = lambda line: like(line, r'^\s*\{.*"[^"]*"\s*:.*\}\s*$')
+    # an object on one line: as many braces open as close, and a colon, both outside quotes; a quote before the first colon, a brace after it
+    bare = lambda line: d.strip(line, '"[^"]*("|$)')
+    first = lambda line, c: f"instr({line}, '{c}')"
+    json_line = lambda line: (
+        f"({like(line, '^[ \\t\\r]*[{]')} and {first(line, ':')} > {first(line, chr(34))} and {first(line, chr(34))} > 0 and length({line}) - instr(reverse({line}), '}}') + 1 > {first(line, ':')} and contains({line}, '}}')"
+        f" and {d.count(bare(line), '[{]')} = {d.count(bare(line), '[}]')} and contains({bare(line)}, ':'))"
+    )
     quoted_key = like("left(h, 2048)", r'"[^"\n\r]*"\s*:')
     yaml_ok = f"not {has('h', 'Log Name:', 'Event ID:', 'Source:', 'Task Category:', 'Level:')} and not (headers >= 2 and headers >= yaml_keys) and (yaml_keys >= 2 or yaml_items >= 3 or (yaml_keys >= 1 and yaml_items >= 1) or not ps)"
     headings = f"(left(hl, 2) = '# ' or {has('hl', chr(10) + '# ')})"

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -36,6 +38,11 @@ ARCHIVE = "zip 7z rar tar gz bz2 xz iso".split()
 KINDS = {"Executable": "elf exe dll macho".split(), "Document": "docx xlsx pptx pdf rtf eml".split(), "Model": "gltf glb".split(), "Database": ["sqlite"]}
 
 
+def let(value: Column, f: Callable[[Column], Column]) -> Column:
+    """``f`` of a value that is worked out once, however often ``f`` names it."""
+    return F.get(F.transform(F.array(value), f), 0)
+
+
 def normalise_extension(ext: Column) -> Column:
     """Lower case without leading dots; null if nothing is left."""
     return F.nullif(F.lower(F.ltrim(F.trim(ext), F.lit("."))), F.lit(""))

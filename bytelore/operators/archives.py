@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import compound, containers, zipdir
+from ..functions import compound, containers, packed, zipdir
 
 # Extensions of entries that run, are scripts, install, or are archives.
 EXECUTABLE = "exe dll sys ocx cpl scr com pif".split()
@@ -84,10 +84,21 @@ def tar_safety(content: bytes) -> dict | None:
     return out
 
 
+def packed_entries(content: bytes) -> list[dict] | None:
+    """Entries of a RAR or 7z by its headers, None if it is neither."""
+    found = packed.listing(zipdir.reader(content), len(content))
+    if found is None:
+        return None
+    listed = [("", 0, True)] if found.encrypted_headers else found.entries
+    return [{"name": name, "size": size, "encrypted": hidden, "symlink": False, "head": b""} for name, size, hidden in listed]
+
+
 def with_entries(blobs: DataFrame, content: str = "content") -> DataFrame:
-    """``blobs`` with ``entries``: those of ZIP and TAR contents, null for others and for broken ones.
+    """``blobs`` with ``entries``: those of ZIP, TAR, RAR and 7z contents, null for others and for broken ones.
 
-    A TAR lists ``MAX_TAR_ENTRIES`` at most, as the original does; ``safety`` tells of all its entries, and is null for others.
+    A TAR lists ``MAX_TAR_ENTRIES`` at most, as the original does; ``safety`` tells of all its entries, and is null for
+    others.  A RAR or 7z whose very headers are encrypted has one entry without a name, which is encrypted; of a 7z no
+    sizes are told.
     """
     names = blobs.columns
     at = names.index(content)
@@ -97,7 +108,7 @@ def with_entries(blobs: DataFrame, content: str = "content") -> DataFrame:
             found, safety = [], []
             for x in b.column(at).to_pylist():
                 zipped = x is None or x[:2] == b"PK"
-                found.append(None if x is None else zip_entries(x) if zipped else tar_entries(x))
+                found.append(None if x is None else zip_entries(x) if zipped else tar_entries(x) if x[257:262] == b"ustar" else packed_entries(x))
                 safety.append(None if zipped else tar_safety(x))
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(found, pa.list_(_ENTRY)), pa.array(safety, _SAFETY)], [*names, "entries", "safety"])
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import io
+import lzma
 import struct
 import tarfile
 import zipfile
@@ -112,6 +113,72 @@ def key_store(body: bytes) -> bytes:
     return tlv(0x30, tlv(0x02, b"\3"), tlv(0x30, oid("1.2.840.113549.1.7.1"), tlv(0xA0, tlv(0x04, body))), tlv(0x30))
 
 
+def rar5(names: dict[str, bytes], encrypted: bool = False, hidden: bool = False) -> bytes:
+    vint = lambda n: bytes([*((n >> 7 * i & 0x7F) | 0x80 for i in range((max(1, n.bit_length()) - 1) // 7)), n >> 7 * ((max(1, n.bit_length()) - 1) // 7)])
+
+    def block(kind, flags, body, data=b"", extra=b""):
+        inner = vint(kind) + vint(flags) + (vint(len(extra)) if flags & 1 else b"") + (vint(len(data)) if flags & 2 else b"") + body + extra
+        return b"\0\0\0\0" + vint(len(inner)) + inner + data
+
+    if hidden:
+        return b"Rar!\x1a\x07\x01\x00" + block(4, 0, vint(0) * 2 + b"\x0f" + b"s" * 16)
+    record = vint(3) + vint(1) + b"\0\0"
+    files = [block(2, 2 | encrypted, vint(4) + vint(len(d)) + vint(0) + b"crc!" + vint(0) + vint(0) + vint(len(n.encode())) + n.encode(), d, record if encrypted else b"") for n, d in names.items()]
+    return b"Rar!\x1a\x07\x01\x00" + block(1, 0, vint(0)) + b"".join(files) + block(5, 0, vint(0))
+
+
+def rar4(names: dict[str, bytes], encrypted: bool = False, hidden: bool = False) -> bytes:
+    block = lambda kind, flags, body, data=b"": struct.pack("<HBHH", 0, kind, flags, 7 + len(body)) + body + data
+    main = block(0x73, 0x80 * hidden, bytes(6))
+    files = [block(0x74, 0x8000 | 4 * encrypted, struct.pack("<IIBIIBBHI", len(d), len(d), 0, 0, 0, 29, 0x30, len(n), 0) + n.encode(), d) for n, d in names.items()]
+    return b"Rar!\x1a\x07\x00" + main + b"".join(files) + block(0x7B, 0, b"")
+
+
+def seven(names: dict[str, bytes], packed: bool = False, aes: bool = False) -> bytes:
+    def number(n: int) -> bytes:
+        size = max(0, (n.bit_length() - 1) // 7)
+        return bytes([0xFF & ~(0xFF >> size) | n >> 8 * size]) + (n & (1 << 8 * size) - 1).to_bytes(size, "little")
+
+    body = b"".join(names.values())
+    raw = b"\0" + "".join(n + "\0" for n in names).encode("utf-16-le")
+    coder = b"\x24\x06\xf1\x07\x01\x01\x00" if aes else b"\x01\x00"
+    streams = b"\x06" + number(0) + number(1) + b"\x09" + number(len(body)) + b"\0" + b"\x07\x0b" + number(1) + b"\0" + number(1) + coder + b"\x0c" + number(len(body)) + b"\x0a\x01" + b"crc!" + b"\0" + b"\x08\x0d" + number(len(names)) + b"\x09" + b"".join(number(len(d)) for d in list(names.values())[:-1]) + b"\0\0"
+    header = b"\x01\x04" + streams + b"\x05" + number(len(names)) + b"\x11" + number(len(raw)) + raw + b"\0\0"
+    if packed:
+        small = lzma.compress(header, lzma.FORMAT_RAW, filters=[{"id": lzma.FILTER_LZMA1, "dict_size": 1 << 16}])
+        info = b"\x06" + number(len(body)) + number(1) + b"\x09" + number(len(small)) + b"\0" + b"\x07\x0b" + number(1) + b"\0" + number(1) + b"\x23\x03\x01\x01\x05\x5d" + struct.pack("<I", 1 << 16) + b"\x0c" + number(len(header)) + b"\0\0"
+        body, header = body + small, b"\x17" + info
+    return b"7z\xbc\xaf\x27\x1c\0\4crc!" + struct.pack("<QQ", len(body), len(header)) + b"crc!" + body + header
+
+
+def image(exports: list[str], version: dict[str, str], body: bytes = b"", dll: bool = True) -> bytes:
+    """An executable of two sections, ``.text`` with ``body`` and ``.rsrc`` with exports and a version resource."""
+    text_at, data_at = 0x400, 0x400 + -(-max(1, len(body)) // 512) * 512
+    start = 0x1000 + -(-max(1, len(body)) // 4096) * 4096  # the address of the second section
+    names = b"".join(e.encode() + b"\0" for e in exports)
+    first = start + 40 + 4 * len(exports)
+    places, at = [], first
+    for e in exports:
+        places.append(at)
+        at += len(e) + 1
+    table = bytes(24) + struct.pack("<IIII", len(exports), 0, start + 40, 0) + struct.pack(f"<{len(places)}I", *places) + names
+    table += b"\0" * (-len(table) % 4)
+    strings = "".join(f"{k}\0{chr(0) * (len(k) % 2)}{v}\0\0" for k, v in version.items()).encode("utf-16-le")
+    root = len(table)
+    directory = lambda ident, offset: struct.pack("<12xHHII", 0, 1, ident, offset)
+    leaf = root + 72 + 16
+    tree = directory(16, 0x80000000 | 24) + directory(1, 0x80000000 | 48) + directory(1033, 72) + struct.pack("<IIII", start + leaf, len(strings), 0, 0)
+    data = table + tree + strings
+    optional = bytearray(0xE0)
+    struct.pack_into("<H", optional, 0, 0x10B)
+    struct.pack_into("<HH", optional, 68, 2, 0x4140)
+    struct.pack_into("<II", optional, 96, start, len(table) if exports else 0)
+    struct.pack_into("<II", optional, 96 + 16, start + root, len(tree) + len(strings))
+    sections = struct.pack("<8sIIII16x", b".text", len(body), 0x1000, data_at - text_at, text_at) + struct.pack("<8sIIII16x", b".rsrc", len(data), start, len(data), data_at)
+    head = struct.pack("<2s58xI4sHH12xHH", b"MZ", 64, b"PE\0\0", 0x14C, 2, len(optional), 0x2002 if dll else 2) + bytes(optional) + sections
+    return head.ljust(text_at, b"\0") + body.ljust(data_at - text_at, b"\0") + data
+
+
 def contents(docs: DataFrame, make: Callable[[int, bytes], bytes]) -> DataFrame:
     """``doc_id`` and ``content``: ``make`` of each document's key and its text as bytes."""
 

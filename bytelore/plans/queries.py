@@ -250,13 +250,27 @@ _FLAG_NAMES = list(am.FLAGS)
 _HELD = lambda i: f"(o_orderkey * {2 * i + 3} + {i}) % {7 + i % 5} = 0"
 
 
+# Code and weight of each flag, in order, as rows of SQL.
+_FLAG_ROWS = """(values ('archive_path_traversal', 'Archive.PathTraversal', 40), ('archive_symlinks', 'Archive.Symlink', 20), ('archive_absolute_paths', 'Archive.AbsolutePath', 15), ('contains_executables', 'Archive.ContainsExecutables', 25),
+('contains_scripts', 'Archive.ContainsScripts', 20), ('contains_installers', 'Archive.ContainsInstallers', 25), ('contains_archives', 'Archive.ContainsArchives', 15), ('disguised_executables', 'Archive.DisguisedExecutables', 25),
+('ooxml_macros', 'Office.Macros', 30), ('pdf_javascript', 'Pdf.JavaScript', 20), ('pdf_open_action', 'Pdf.OpenAction', 15), ('pdf_launch', 'Pdf.Launch', 20), ('pdf_names_tree', 'Pdf.NamesTree', 10), ('pdf_xfa', 'Pdf.Xfa', 10),
+('pdf_encrypted', 'Pdf.Encrypted', 10), ('archive_encrypted_entries', 'Archive.EncryptedEntries', 10), ('ooxml_encrypted', 'Office.Encrypted', 15), ('pdf_many_updates', 'Pdf.ManyUpdates', 5), ('office_external_links', 'Office.ExternalLinks', 5),
+('html_external_links', 'Html.ExternalLinks', 5), ('office_remote_template', 'Office.RemoteTemplate', 25), ('office_possible_dde', 'Office.PossibleDde', 15), ('pe_packed', 'PE.PackerSuspect', 20), ('pe_no_aslr', 'PE.NoASLR', 15),
+('pe_no_nx', 'PE.NoNX', 20), ('pe_no_cfg', 'PE.NoCFG', 15), ('pe_no_high_entropy', 'PE.NoHighEntropyVA', 5), ('strong_name', 'DotNet.StrongName', -5), ('no_strong_name', 'DotNet.NoStrongName', 5)) r(flag, code, weight)"""
+
+
 @_query(
-    f"select o_orderkey, cast({_duck_fold('w')} as integer) score, array_to_string(c, ',') codes from (select o_orderkey, list_filter([{', '.join(f'case when {_HELD(i)} then {am.FLAGS[n][1]} end' for i, n in enumerate(_FLAG_NAMES))}], lambda x: x is not null) w, list_filter([{', '.join(f'case when {_HELD(i)} then {chr(39)}{am.FLAGS[n][0]}{chr(39)} end' for i, n in enumerate(_FLAG_NAMES))}], lambda x: x is not null) c from orders)"
+    f"""with f as (select flag, code, weight, row_number() over () - 1 i from {_FLAG_ROWS}),
+held as (select o_orderkey, flag, code, weight, i, o_orderkey % 4 = 3 package from orders, f where (o_orderkey * (2 * i + 3) + i) % (7 + i % 5) = 0),
+k as (select o_orderkey, bool_or(flag = 'disguised_executables' or flag = 'contains_installers') other from held group by o_orderkey),
+left_ as (select held.* from held join k using (o_orderkey) where not (flag = 'contains_executables' and (other or package)) and not (flag = 'contains_scripts' and package)),
+g as (select o_orderkey, list(weight order by i) w, string_agg(code, ',' order by i) c from left_ group by o_orderkey)
+select o_orderkey, cast(coalesce(least(100, list_reduce(list_prepend(0, w), lambda s, x: case when x < 0 then greatest(0, s + x) else s + x end)), 0) as integer) score, coalesce(c, '') codes from orders left join g using (o_orderkey)"""
 )
 def flag_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The fold of flag weights, negative ones clamped, over made combinations of flags."""
     flags = F.array_compact(F.array(*(F.expr(f"case when {_HELD(i)} then '{n}' end") for i, n in enumerate(_FLAG_NAMES))))
-    factors = _table(spark, sf_dir, "orders").select("o_orderkey", am.flag_factors(flags).alias("f"))
+    factors = _table(spark, sf_dir, "orders").select("o_orderkey", am.flag_factors(flags, F.expr("case when o_orderkey % 4 = 3 then 'msix' end")).alias("f"))
     return factors.select("o_orderkey", am.score(F.col("f")).alias("score"), F.array_join(F.transform("f", lambda x: x["code"]), ",").alias("codes"))
 
 

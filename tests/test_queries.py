@@ -4,7 +4,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
-from bytelore.plans import queries, structures  # noqa: F401  fill the registry
+from bytelore.plans import queries, rankings, records, structures  # noqa: F401  fill the registry
 from bytelore.plans.registry import ORACLE_SQL, QUERIES
 
 SF = "/root/testdata/sf0.001"

@@ -351,3 +351,101 @@ def test_a_stream_of_files(spark, tmp_path):
         got = spark.read.parquet(str(out)).collect()
         assert sorted(r.name for r in got) == [f"{j}.bin" for j in range(i + 1)]
     json.dumps([r.name for r in got])
+
+
+# JSON lines
+
+
+def test_json_lines(spark):
+    good, cut, noise = '{"a": {"b": [1, {"c": "}{"}]}, "d": ":"}', '{"a": {"b": 1}', "{a: b}"
+    rows = [(f"{good}\n{good}", "ndjson"), (f"  {good} \r\n\t{good}\r\n{good}", "ndjson"), (f"{good}\n{cut}", "json"), (f"{cut}\n{good}", "json"), (f"{good}\n{noise}", "json"), ('{"a:b"}\n{"a:b"}', None), ("{:\"\"}\n{:\"\"}", None)]
+    got = detect.classify_text(spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "i int, text string, want string")).orderBy("i").collect()
+    assert [r.extension if r.want else r.extension != "ndjson" for r in got] == [r.want or True for r in got]
+    assert [r.confidence for r in got[:2]] == ["Low", "Medium"]
+
+
+# strings of scripts
+
+START, REST = "data:text/x-powe", "rshell,Start-Sleep%201"
+FOLDED = [
+    f"const p = '{START}{REST}';", f"const p = '{START}' + \"{REST}\";", f'const p = "data:text/" + ("x-powe" + "{REST}");', f'const p = "data:text/".concat("x-powe", "{REST}");', f"const p = `data:text/${{'x-powe' + '{REST}'}}`;",
+    f"const p = `data:text/${{'x-powe'.concat('{REST}')}}`;", f'const p = "data:text/" + ["x-powe", "{REST}"].join("");', f'const p = `data:text/${{["x-powe", "{REST}"].join("")}}`;', f'const p = "data:text/" + (["x-powe", "{REST}"].join(""));',
+    f'const p = `data:text/${{(["x-powe", "{REST}"].join(""))}}`;', f'const p = "data:text/" + ["x-powe"].join("").concat("{REST}");', f'const p = `data:text/${{["x-powe"].join("").concat("{REST}")}}`;', f"f(('{START}'), x); g('{START}' + /* why */ '{REST}' + tail)",
+]
+UNFOLDED = [
+    f'const p = "data:text/" + ["x-powe", "{REST}"].join("-");', f'const p = "data:text/" + ["x-powe", "{REST}"].join(String());', f'const p = "data:text/" + ["x-powe", "{REST}"].join();', f'const e = "Sample: {START}{REST}";',
+    f"// \"{START}{REST}\"\n/* '{START}{REST}' */", "const p = 'data:' + name;", "'data:", "`data:${`", "(" * 5000 + "'data:x,y'", "data:text/plain,x", "",
+]
+
+
+def test_strings_are_put_together(spark):
+    from bytelore.functions import scripts
+
+    df = spark.createDataFrame([(i, t) for i, t in enumerate([*FOLDED, *UNFOLDED, None])], "i int, t string")
+    got = df.select("i", scripts.script_data_uris(F.col("t")).alias("u")).withColumn("f", scripts.data_findings(F.col("u"), "script")).orderBy("i").collect()
+    for r in got[: len(FOLDED)]:
+        assert r.u == [START + REST] and r.f == ["script:data-uri=1", "script:data-exts=ps1:1"], r
+    assert [r.u for r in got[len(FOLDED) :]] == [[]] * len(UNFOLDED) + [None]
+    page = f"""<img src="data:image/gif;base64,R0lGODlhAQAB"><a href=data:text/css,x>x</a> <style>b {{ background: url(\n "data:text/css,body%7B%7D"\n) }} /* url(data:text/plain,no) */ .e {{ content: "data:text/plain,no" }}</style>data:text/plain,no <!-- <img src="data:text/plain,no"> -->"""
+    one = spark.createDataFrame([(page,)], "t string").select(scripts.html_data_uris(F.col("t")).alias("u")).select("u", scripts.data_findings(F.col("u"), "html").alias("f"), F.transform("u", scripts.data_payload).alias("p")).first()
+    assert one.u == ["data:image/gif;base64,R0lGODlhAQAB", "data:text/css,x", "data:text/css,body%7B%7D"] and one.f == ["html:data-uri=3", "html:data-exts=css:2,gif:1"] and [bytes(p) for p in one.p] == [b"GIF89a\1\0\1", b"x", b"body{}"]
+
+
+# RAR and 7z
+
+
+rar4, rar5, seven = made.rar4, made.rar5, made.seven
+
+
+def test_rar_and_7z():
+    from bytelore.functions import packed
+
+    files = {"a.exe": b"MZ" * 30, "d/b.txt": b"hello", "c.ps1": b"x" * 300}
+    told = lambda data: packed.listing(zipdir.reader(data), len(data))
+    for make in (rar4, rar5):
+        assert told(make(files)).entries == [(n, len(d), False) for n, d in files.items()] and not told(make(files)).encrypted_headers
+        assert [e[2] for e in told(make(files, encrypted=True)).entries] == [True] * 3
+        assert told(make(files, hidden=True)).encrypted_headers and told(make(files, hidden=True)).entries == []
+        assert [e[0] for e in told(make(files)[:-320]).entries][:2] == ["a.exe", "d/b.txt"]
+    for is_packed in (False, True):
+        assert told(seven(files, is_packed)).entries == [(n, 0, False) for n in files] and told(seven(files, is_packed, aes=True)).entries == [(n, 0, True) for n in files]
+    assert told(b"PK") is None and told(b"7z\xbc\xaf\x27\x1c").entries == [] and told(b"Rar!\x1a\x07\x00").entries == [] and told(b"Rar!\x1a\x07\x01\x00" + b"\xff" * 50).entries == []
+    for seed in range(300):
+        r = random.Random(seed)
+        noisy = bytearray(r.choice([rar4, rar5, seven])(files))
+        for _ in range(3):
+            noisy[r.randrange(8, len(noisy))] = r.randrange(256)
+        told(bytes(noisy))
+
+
+def test_facts_of_packed_archives(spark):
+    from bytelore.operators import archives
+
+    files = {"a.exe": b"MZ" * 30, "d/b.txt": b"hello", "../c.ps1": b"x" * 300}
+    made_ = [rar5(files), seven(files, True), rar4(files, encrypted=True), rar5(files, hidden=True), b"no archive", None]
+    rows = blob.column(spark.createDataFrame([(str(i), c) for i, c in enumerate(made_)], "id string, content binary"), "id", "content")
+    got = archives.with_entries(rows).select("id", archives.archive_facts(F.col("entries")).alias("f"), "entries").orderBy("id").collect()
+    assert all({"contains_executables", "contains_scripts", "archive_path_traversal"} <= set(r.f.flags) and r.f.entry_count == 3 for r in got[:3]) and got[2].f.encrypted_count == 3
+    assert got[3].f.flags == ["archive_encrypted_entries"] and got[4].entries is None and got[5].entries is None
+
+
+# Office links
+
+
+def test_office_links(spark):
+    from bytelore.operators import office
+
+    rel = lambda *targets: "<Relationships>" + "".join(f'<Relationship Target="{t}"/>' for t in targets) + "</Relationships>"
+    book = made.zipped(
+        {
+            "[Content_Types].xml": b"", "xl/workbook.xml": b"", "xl/externalLinks/externalLink1.xml": b"", "xl/_rels/workbook.xml.rels": rel("externalLinks/externalLink1.xml", "http://ok.example.com/a", "https://bad.example.org:80/x").encode(),
+            "xl/externalLinks/_rels/externalLink1.xml.rels": rel("\\\\srv\\share\\b.xlsx", "file:///c:/x", "//cdn.example.org/y", "http://").encode(), "other/_rels/x.rels": rel("http://not.example.net").encode(),
+        },
+        stored=False,
+    )
+    word = made.zipped({"word/_rels/document.xml.rels": b'<R Type="x/attachedTemplate" Target="http://t.example" TargetMode="External"/>', "word/document.xml": b"<w> DDEAUTO c:\\\\x </w>"})
+    rows = blob.column(spark.createDataFrame([("0", book), ("1", word), ("2", made.zipped({"a": b""})), ("3", None), ("4", b"PKno")], "id string, content binary"), "id", "content")
+    got = [r.f for r in office.with_parts(rows).select("id", office.link_facts(F.col("entry_names"), F.col("parts"), ["*.example.com"]).alias("f")).orderBy("id").collect()]
+    assert (got[0].external_links, got[0].allowed, got[0].disallowed, got[0].unc) == (2, 1, 2, 2) and got[0].hosts == ["ok.example.com", "bad.example.org", "cdn.example.org"] and got[0].flags == ["office_external_links"]
+    assert got[0].findings == ["ooxml:ext-links=2", "ooxml:ext-allowed=1", "ooxml:ext-disallowed=2", "ooxml:unc=2", "ooxml:hosts=ok.example.com,bad.example.org,cdn.example.org"]
+    assert got[1].flags == ["office_remote_template", "office_possible_dde"] and got[1].findings == [] and got[2].flags == []
