@@ -6,6 +6,7 @@ in a row instead of failing.  All else is expressions over what that step and th
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -76,6 +77,14 @@ def _with_facts(rows: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, f"{schema}, _facts {_FACTS_SQL}")
 
 
+def _settled(df: DataFrame) -> DataFrame:
+    """``df`` as a step of its own: filters on what it works out are not put in the place of what they name, over and over.
+
+    An observed count is such a step, without leaving the engine or writing anything.
+    """
+    return df.observe(f"analyze-{uuid.uuid4().hex}", F.count(F.lit(1)).alias("rows"))
+
+
 def _none() -> Column:
     return F.array().cast("array<string>")
 
@@ -108,7 +117,7 @@ def analyze(blobs: DataFrame, allowed_domains: list[str] = (), allowed_vendors:
     kind = F.when(ext.isin([*payloads.ENCODED]), ext)
     inner = payloads.payload(F.col("_text"), kind)
     number = F.expr(magic.rule_sql("_inner_hex"))
-    held = chosen.select("*", listed.alias("_archive"), linked.alias("_office"), kind.alias("_encoded"), F.hex(F.substring(inner, 1, magic.HEADER)).alias("_inner_hex")).withColumn("_inner", F.get(F.array(*(F.lit(r.ext) for r in magic.RULES)), number))
+    held = _settled(chosen).select("*", listed.alias("_archive"), linked.alias("_office"), kind.alias("_encoded"), F.hex(F.substring(inner, 1, magic.HEADER)).alias("_inner_hex")).withColumn("_inner", F.get(F.array(*(F.lit(r.ext) for r in magic.RULES)), number))
     program = portable_facts(F.col("content"))
     packed = F.exists(facts["sections"], lambda s: F.upper(s).startswith("UPX"))
     macros = ext.isin("doc", "xls", "ppt") & F.coalesce(containers.has_macros(F.struct(facts["ole"].alias("names"))), F.lit(False))
@@ -142,7 +151,7 @@ def analyze(blobs: DataFrame, allowed_domains: list[str] = (), allowed_vendors:
     base_name = F.lower(F.coalesce("name", F.lit("")))
     double = base_name.rlike(r"\.(pdf|docx?|xlsx?|pptx?|jpe?g|png|txt|zip)\.(exe|dll|scr|js|vbs|bat|cmd|ps1|lnk|hta|msi|com|pif)$")
     issues = F.array_compact(F.array(F.when(double, "double_extension"), F.when(F.col("name").rlike("[\\u202A-\\u202E\\u2066-\\u2069]"), "bidi"), F.when(compared["mismatch"], "mismatch")))
-    known = stepped.select("*", told.alias("_found"), compared.alias("_compared"), issues.alias("_issues"))
+    known = _settled(stepped).select("*", told.alias("_found"), compared.alias("_compared"), issues.alias("_issues"))
 
     first = F.get(F.filter("candidates", lambda c: c["ext"] == ext), 0)
     rivals = F.slice(F.filter("candidates", lambda c: ~F.coalesce(c["ext"] == ext, F.lit(False))), 1, 5)
@@ -159,8 +168,8 @@ def analyze(blobs: DataFrame, allowed_domains: list[str] = (), allowed_vendors:
         assess.package_factors(F.col("_facts.version")["CompanyName"], ext.isin("msi", "msix", "appx"), F.lit(None).cast("string"), F.col("_found"), allowed=list(allowed_vendors)),
     )
     changed = ~F.coalesce(ext == F.col("_ext"), F.lit(False))
-    known = known.withColumn("_factors", factors)  # a column, as the fold reads it many times
-    return known.select(
+    judged = _settled(known.withColumn("_factors", factors))  # a column, as the fold reads it many times
+    record = judged.select(
         "id", "name", "declared_ext", "length", F.sha2("content", 256).alias("sha256"), F.hex(F.substring("content", 1, 16)).alias("header_hex"),
         F.struct(ext.alias("extension"), F.when(changed, mime_of(ext, F.lit(None).cast("string"))).otherwise(F.col("_mime")).alias("mime_type"), confidence.alias("confidence"), F.col("_p.reason").alias("reason"), F.col("_kind").alias("kind"), is_dangerous(ext).alias("is_dangerous"), first["score"].alias("score")).alias("detection"),
         rivals.alias("alternatives"), F.struct("_compared.mismatch", "_compared.reason", "_compared.dangerous_alternatives").alias("declared"), F.col("_flags").alias("flags"), F.col("_found").alias("findings"), F.col("_secrets").alias("secrets"),
@@ -169,6 +178,7 @@ def analyze(blobs: DataFrame, allowed_domains: list[str] = (), allowed_vendors:
         F.struct(F.col("_encoded").alias("kind"), F.col("_inner").alias("inner_extension")).alias("encoded"), F.col("_links").alias("links"), F.col("_issues").alias("name_issues"),
         F.when(F.col("_text").isNotNull(), F.regexp_count(text, F.lit("\n")) + 1).alias("line_count"), assess.assess(F.col("_factors")).alias("assessment"), F.col("_facts.error").alias("error"),
     )
+    return _settled(record)
 
 
 def first_key_wins(*maps: Column) -> Column:
