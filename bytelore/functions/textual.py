@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+from . import logs
 from .dialect import Dialect
 
 HEAD = 4096
@@ -126,8 +127,9 @@ def rules(d: Dialect) -> list[TextRule]:
         TextRule("toml", "application/toml", "text:toml", f"{d.lines('h', 20, '^\\[\\[?[A-Za-z0-9_-]+([.][A-Za-z0-9_-]+)+\\]\\]?[ ]*$')} >= 1 and {d.lines('h', 20, '^[A-Za-z0-9_-]+ *= *([0-9tf{]|\\[|[^A-Za-z0-9 ])')} >= 1 and {d.lines('h', 20, '^;')} = 0"),
         TextRule("eml", "message/rfc822", "text:eml", f"{d.lines('h', 20, '^(From|To|Subject|Date|Message-ID|MIME-Version|Content-Type|Received|Return-Path|Reply-To|Cc):')} >= 2 and {d.lines('h', 20, '^(From|To|Subject|Message-ID):')} >= 1 and {d.lines('h', 40, '^.?$')} >= 1"),
         TextRule("msg", "application/vnd.ms-outlook", "text:msg-marker", has("h", "__substg1.0_")),
-        TextRule("log", "text/plain", "text:log-dns", has("hl", "dns server log file creation", "message logging key (for packets"), "'Medium'"),
-        TextRule("log", "text/plain", "text:log-powershell-transcript", f"{has('hl', 'windows powershell transcript start', 'powershell transcript start')}", "'Medium'"),
+        TextRule("log", "text/plain", "text:log-dns", f"{has('hl', 'dns server log')} and {has('hl', 'log file created at', 'packet')}", "'Medium'"),
+        TextRule("log", "text/plain", "text:log-powershell-transcript", f"{has('hl', 'windows powershell transcript start')} and {has('hl', 'start time:', 'username:', 'machine:')}", "'Medium'"),
+        TextRule("log", "text/plain", "text:log-path-errors", f"decl = 'log' and not script and {logs.path_errors(d)}"),
         TextRule("log", "text/plain", "text:log-syslog", f"not script and y1 and y2", "'Medium'"),
         TextRule("log", "text/plain", "text:log-levels", f"not script and stamp_count >= 3 and level_count >= 2", "'Medium'"),
         TextRule("log", "text/plain", "text:log", f"not script and s1 and s2 and level_count = 0"),
@@ -142,8 +144,7 @@ def rules(d: Dialect) -> list[TextRule]:
         TextRule("csv", "text/csv", "text:csv", f"not log_cues and not script and ({alone(',')} or {alone(';')})"),
         TextRule("ini", "text/plain", "text:ini", f"not ps and js < 2 and not sh_shebang and not bat and {d.lines('h', 8, '^[ ]*\\[[A-Za-z0-9 _.-]+\\][ ]*($|[;#])')} >= 1 and {d.lines('h', 8, '^[^;#=][^=]*=')} >= 1"),
         TextRule("md", "text/markdown", "text:md", f"({headings} or {has('hl', '```', '](')}) and not log_cues and ({md_cues} >= 2 or ({md_cues} = 1 and (decl = 'md' or trim(l2) <> ''))) and (not script or decl = 'md' or {headings} or {has('hl', '```')})"),
-        TextRule("log", "text/plain", "text:log-firewall", f"{has('hl', '#fields:')} and {has('hl', 'src-ip', 'src_ip')} and {has('hl', 'dst-ip', 'dst_ip')}"),
-        TextRule("log", "text/plain", "text:event-txt", f"{has('hl', 'log name:')} and {has('hl', 'event id:')} and {has('hl', 'source:')}"),
+        *(TextRule("log", "text/plain", reason, f"not script and {holds}", f"'{confidence}'") for reason, holds, confidence in logs.families(d)),
         TextRule("ps1", "text/x-powershell", "text:ps1-shebang", has("hl", "#!/usr/bin/env pwsh", "#!/usr/bin/pwsh", "#!/usr/bin/env powershell", "#!/usr/bin/powershell"), "'Medium'"),
         TextRule("psm1", "text/x-powershell", "text:psm1", f"decl = 'psm1' and ({has('hl', 'export-modulemember', 'functionstoexport', 'rootmodule')} or verb_noun)", "'High'"),
         TextRule("psd1", "text/x-powershell", "text:psd1", f"decl = 'psd1' and (left(h, 2) = '@{{' or {has('hl', 'export-modulemember', 'functionstoexport', 'rootmodule')})"),

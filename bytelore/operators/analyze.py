@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import compound, containers, der, findings, image, magic, payloads, references, scripts, zipdir
+from ..functions import compound, containers, der, findings, image, magic, metrics, payloads, references, scripts, zipdir
 from ..functions.portable import portable_facts
 from ..functions.types import is_dangerous, mime_of
 from ..sources.blob import HEAD_BYTES
@@ -95,7 +95,7 @@ def analyze(blobs: DataFrame, allowed_domains: list[str] = (), allowed_vendors:
     ``id, name, declared_ext, length, sha256, header_hex, detection`` (type, confidence, reason, kind, danger, score),
     ``alternatives, declared`` (mismatch and reason), ``flags, findings, secrets`` (counts by kind), ``container`` (entries,
     encrypted ones, commonest extensions, subtype), ``office, certificate, executable, encoded, links, name_issues,
-    line_count, assessment, error``.
+    line_count, is_minified, has_service, assessment, error``.
 
     Null and empty contents have no type, no findings and a score of 0.  A row whose structures can't be read has the reason
     in ``error`` and all else that is known.  An empty table gives no rows; rows that repeat an id are analysed each.
@@ -122,7 +122,7 @@ def analyze(blobs: DataFrame, allowed_domains: list[str] = (), allowed_vendors:
     packed = F.exists(facts["sections"], lambda s: F.upper(s).startswith("UPX"))
     macros = ext.isin("doc", "xls", "ppt") & F.coalesce(containers.has_macros(F.struct(facts["ole"].alias("names"))), F.lit(False))
     flags = F.array_distinct(F.concat(
-        F.coalesce("_archive.flags", _none()), F.coalesce("_office.flags", _none()), F.coalesce(program["flags"], _none()),
+        F.coalesce("_archive.flags", _none()), F.coalesce("_office.flags", _none()), F.coalesce(program["flags"], _none()), F.when(ext == "pdf", metrics.pdf_flags(F.col("content"))).otherwise(_none()),
         F.array_compact(F.array(F.when(macros, "ole_macros"), F.when(packed, "pe_packed"), F.when(F.col("_encoded").isNotNull(), F.concat(F.lit("encoded_"), "_encoded")))),
     ))
 
@@ -148,10 +148,8 @@ def analyze(blobs: DataFrame, allowed_domains: list[str] = (), allowed_vendors:
         F.col("_data"), F.coalesce(encoded_found, _none()), F.when(macros, F.array(F.lit("office:vba"))).otherwise(_none()), F.coalesce(exported, _none()), secret_codes,
     ))
     compared = declared.compare_in_detail(F.col("declared_ext"), ext, F.col("candidates"), F.col("_archive.subtype"))
-    base_name = F.lower(F.coalesce("name", F.lit("")))
-    double = base_name.rlike(r"\.(pdf|docx?|xlsx?|pptx?|jpe?g|png|txt|zip)\.(exe|dll|scr|js|vbs|bat|cmd|ps1|lnk|hta|msi|com|pif)$")
-    issues = F.array_compact(F.array(F.when(double, "double_extension"), F.when(F.col("name").rlike("[\\u202A-\\u202E\\u2066-\\u2069]"), "bidi"), F.when(compared["mismatch"], "mismatch")))
-    known = _settled(stepped).select("*", told.alias("_found"), compared.alias("_compared"), issues.alias("_issues"))
+    issues = metrics.name_issues(F.col("name"), F.col("_compared.mismatch"))
+    known = _settled(stepped).select("*", told.alias("_found"), compared.alias("_compared")).withColumn("_issues", issues)
 
     first = F.get(F.filter("candidates", lambda c: c["ext"] == ext), 0)
     rivals = F.slice(F.filter("candidates", lambda c: ~F.coalesce(c["ext"] == ext, F.lit(False))), 1, 5)
@@ -176,7 +174,7 @@ def analyze(blobs: DataFrame, allowed_domains: list[str] = (), allowed_vendors:
         F.struct("_archive.entry_count", "_archive.encrypted_count", "_archive.top_extensions", "_archive.subtype").alias("container"), F.struct("_office.external_links", "_office.hosts").alias("office"),
         F.struct("_facts.subject", "_facts.issuer", "_facts.bundle").alias("certificate"), F.struct("_program.machine", "_program.subsystem", "_facts.sections", "_facts.version", F.size("_facts.exports").alias("n_exports")).alias("executable"),
         F.struct(F.col("_encoded").alias("kind"), F.col("_inner").alias("inner_extension")).alias("encoded"), F.col("_links").alias("links"), F.col("_issues").alias("name_issues"),
-        F.when(F.col("_text").isNotNull(), F.regexp_count(text, F.lit("\n")) + 1).alias("line_count"), assess.assess(F.col("_factors")).alias("assessment"), F.col("_facts.error").alias("error"),
+        F.when(F.col("_text").isNotNull(), metrics.line_estimate(F.col("content"), F.col("length"))).alias("line_count"), (ext.isin("js") & metrics.is_minified(F.col("_text"))).alias("is_minified"), metrics.has_service_marker(F.col("content")).alias("has_service"), assess.assess(F.col("_factors")).alias("assessment"), F.col("_facts.error").alias("error"),
     )
     return _settled(record)
 

@@ -208,7 +208,10 @@ def _duck_token(family: str) -> str:
 
 
 _KEYS = r"""list_filter(regexp_extract_all(text, '(?i)(?:key|secret|password|pwd)=[ "\x27]*([A-Za-z0-9+/=_-]{20,})', 1), lambda v: len(list_distinct(string_split(v, ''))) >= 4 and not regexp_matches(lower(v), 'example|sample|placeholder|changeme|xxxx|your_|dummy'))"""
-_SECRET_COLUMNS = f"least(32, len(regexp_extract_all(lower(text), '-----begin ({'|'.join(fd.KEY_BLOCKS)})-----'))) private_keys, least(32, len({_KEYS})) key_patterns, " + ", ".join(f"{_duck_token(k)} {k.replace('-', '_')}" for k in fd.TOKENS)
+# connection strings with a password within the 256 characters from their name on
+_PIECES = "string_split(lower(text), 'connectionstring=')"
+_CONNECTIONS = f"len(list_filter(range(1, len({_PIECES})), lambda i: regexp_matches(left(array_to_string({_PIECES}[i + 1:], 'connectionstring='), 239), 'password=|pwd=')))"
+_SECRET_COLUMNS = f"least(32, len(regexp_extract_all(lower(text), '-----begin ({'|'.join(fd.KEY_BLOCKS)})-----'))) private_keys, least(32, len({_KEYS}) + {_CONNECTIONS}) key_patterns, " + ", ".join(f"{_duck_token(k)} {k.replace('-', '_')}" for k in fd.TOKENS)
 
 
 def _secrets(df: DataFrame) -> DataFrame:

@@ -130,3 +130,17 @@ def analyzed_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     record = an.analyze(blob.column(docs, "doc_id", "text")).where("error is null and assessment.score between 0 and 100")
     return record.select(F.col("id").cast("long").alias("doc_id"), "length", "sha256", "header_hex", F.col("detection.extension").isNull().alias("empty"))
+
+
+@_query(
+    """select unnest(['benchmark', 'conversations', 'customer', 'documents', 'embeddings', 'events', 'labels', 'lineitem', 'nation', 'orders', 'pages', 'part', 'region', 'supplier']) || '.parquet' "name", 'parquet' extension, 'application/vnd.apache.parquet' mime_type,
+'High' confidence, true both_ends, 4096 + 512 <= 65536 + 4608 little_read"""
+)
+def table_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Types of the tables' own files, of which only heads, tails and the place of volume descriptors are read."""
+    from ..operators.detect import detect
+    from ..sources import ranged
+
+    files = detect(ranged.files(spark, sf_dir, glob="*.parquet")).where("error is null")
+    read = F.octet_length("head") + F.octet_length("tail") + F.octet_length("volume")
+    return files.select("name", "extension", "mime_type", "confidence", (F.substring("head", 1, 4) == F.substring("tail", -4, 4)).alias("both_ends"), (read <= 4096 + 512 + 65536).alias("little_read"))
