@@ -138,6 +138,17 @@ def has_macros(found: Column) -> Column:
     return F.coalesce(F.exists(found["names"], lambda n: F.lower(n).contains("vba") | (F.lower(n) == "dir")), F.lit(False))
 
 
+def trace_log(head: Column) -> Column:
+    """An event trace by its magic, which is that of event logs cut short, or by the fields of its first buffer's header."""
+    digits = F.hex(F.substring(head, 1, 64))
+    number = lambda at: F.conv(F.concat(*(F.substring(digits, 2 * (at + i) + 1, 2) for i in (3, 2, 1, 0))), 16, 10).cast("long")
+    zeros = F.size(F.filter(F.regexp_extract_all(F.substring(digits, 17, 80), F.lit("(..)"), F.lit(1)), lambda b: b == "00"))
+    size, version = number(0), number(4)
+    structured = (F.length(digits) == 128) & size.between(1024, 1 << 20) & (size % 1024 == 0) & version.between(0x100, 0x400) & (number(0x30) != 0) & (zeros >= 28)
+    magic = digits.startswith("456C6646") & ~digits.startswith("456C6646696C6500")
+    return F.when(magic | structured, type_struct("etl", "application/octet-stream", "Medium", "etl:magic"))
+
+
 def gltf_type(text: Column) -> Column:
     """A glTF scene in JSON; null for other JSON."""
     head = F.lower(F.substring(text, 1, 8192))

@@ -60,7 +60,7 @@ def detect(blobs: DataFrame, declared: str = "coalesce(declared_ext, '')") -> Da
     of = lambda m: F.get(F.array(*(F.lit(getattr(r, m)) for r in magic.RULES)), F.col("_magic"))
     first = F.when(F.col("_magic").isNotNull(), F.struct(*(of(m).alias(m) for m in ("ext", "mime", "confidence", "reason"))))
     text = {"ext": F.expr(textual.field_sql("_rule", "ext")), "mime": F.expr(textual.field_sql("_rule", "mime")), "confidence": F.expr(textual.confidence_sql(SPARK, "_rule")), "reason": F.expr(textual.field_sql("_rule", "reason"))}
-    base = cued.select(*names, "_t", "_inside", "decl", F.coalesce("_disk", first, containers.der_type(F.col("_inside")), F.struct(*(v.alias(k) for k, v in text.items()))).alias("_base"))
+    base = cued.select(*names, "_t", "_inside", "decl", F.coalesce("_disk", containers.trace_log(F.col("head")), first, containers.der_type(F.col("_inside")), F.struct(*(v.alias(k) for k, v in text.items()))).alias("_base"))
     ext, found = F.col("_base.ext"), F.col("_inside")
     executable = containers.type_struct("", "", "High", F.col("_base.reason")).withField("ext", portable_facts(whole)["extension"]).withField("mime", F.col("_base.mime"))
     inner = (

@@ -50,3 +50,34 @@ def markdown(title: Column, sections: dict[str, Column]) -> Column:
     """A title and a line for each section that is neither null nor empty."""
     lines = [F.when(F.coalesce(c.cast("string"), F.lit("")) != "", F.concat(F.lit(f"- **{k}**: "), c.cast("string"))) for k, c in sections.items()]
     return F.concat_ws("\n", F.concat(F.lit("# "), title), F.lit(""), *lines)
+
+
+def candidates_display(candidates: Column, primary: Column) -> Column:
+    """The first five candidates as ``*.ps1 High 90; .txt Low 50``, the primary one marked; null where there are none."""
+    told = F.transform(F.filter(candidates, lambda c: c["ext"] != ""), lambda c: F.concat(F.when(c["ext"] == primary, "*.").otherwise("."), F.concat_ws(" ", c["ext"], c["confidence"], c["score"].cast("string"))))
+    return F.nullif(F.array_join(F.slice(told, 1, 5), "; "), F.lit(""))
+
+
+def _csv(names: str) -> Column:
+    return F.array_join(names, ",")
+
+
+def view(record: DataFrame, which: str) -> DataFrame:
+    """One of the flat views of records of ``analyze``: summary, detection, analysis, assessment, certificate, executable."""
+    fields = {
+        "summary": {"kind": F.col("detection.kind"), "extension": F.col("detection.extension"), "mime_type": F.col("detection.mime_type"), "confidence": F.col("detection.confidence"), "reason": F.col("detection.reason"), "flags": _csv("flags")},
+        "detection": {
+            "extension": F.col("detection.extension"), "mime_type": F.col("detection.mime_type"), "confidence": F.col("detection.confidence"), "reason": F.col("detection.reason"), "score": F.col("detection.score"), "is_dangerous": F.col("detection.is_dangerous"),
+            "alternatives": candidates_display(F.col("alternatives"), F.lit("")), "sha256": F.col("sha256"), "header_hex": F.col("header_hex"),
+        },
+        "analysis": {
+            "extension": F.col("detection.extension"), "kind": F.col("detection.kind"), "flags": _csv("flags"), "container_subtype": F.col("container.subtype"), "container_entry_count": F.col("container.entry_count"), "container_top_extensions": _csv("container.top_extensions"),
+            "estimated_line_count": F.col("line_count"), "findings": _csv("findings"), "pe_machine": F.col("executable.machine"), "pe_subsystem": F.col("executable.subsystem"),
+        },
+        "assessment": {"score": F.col("assessment.score"), "decision": F.col("assessment.decision"), "decision_strict": F.col("assessment.decision_strict"), "decision_lenient": F.col("assessment.decision_lenient"), "codes": _csv("assessment.codes")},
+        "certificate": {"subject": F.col("certificate.subject"), "issuer": F.col("certificate.issuer"), "bundle_count": F.when(F.col("certificate.bundle").isNotNull(), F.size("certificate.bundle"))},
+        "executable": {"machine": F.col("executable.machine"), "subsystem": F.col("executable.subsystem"), "sections": _csv("executable.sections"), "n_exports": F.col("executable.n_exports"), "company": F.col("executable.version")["CompanyName"], "version": F.col("executable.version")["FileVersion"]},
+    }
+    if which not in fields:
+        raise ValueError(f"views are {', '.join(fields)}")
+    return record.select("id", "name", *(c.alias(k) for k, c in fields[which].items()))

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from bytelore.functions import image, zipdir
-from bytelore.operators import analyze, assess, candidates, declared
+from bytelore.operators import analyze, assess, candidates, declared, views
 from bytelore.plans import made
 from bytelore.sources import blob
 
@@ -187,6 +187,11 @@ def test_the_whole_record(spark, monkeypatch):
     report = {r.id: r.m for r in record.select("id", analyze.summary_map(F.create_map(F.lit("kind"), F.lit("mine"), F.lit("more"), F.lit("x"))).alias("m")).where("id in ('zip', 'none')").collect()}
     assert report["zip"]["extension"] == "zip" and report["zip"]["kind"] == "Archive" and report["zip"]["more"] == "x" and report["none"]["score"] == "0" and "extension" not in report["none"]
     assert analyze.analyze(files.where("id = 'nothing'")).collect() == []
+    views_of = {w: {r.id: r for r in views.view(record, w).where("name is null or name <> 'twice'").collect()} for w in ("summary", "detection", "analysis", "assessment", "certificate", "executable")}
+    assert views_of["summary"]["zip"].flags == "contains_executables,contains_scripts" and views_of["assessment"]["zip"].decision == "Warn" and views_of["executable"]["exe"].company == "Acme"
+    assert views_of["analysis"]["zip"].container_entry_count == 2 and ".txt Low" in views_of["detection"]["ps1"].alternatives and views_of["certificate"]["zip"].bundle_count is None
+    with pytest.raises(ValueError, match="views are"):
+        views.view(record, "none")
 
 
 def test_a_row_that_fails_is_told(monkeypatch):
@@ -259,3 +264,20 @@ def test_measures(spark):
     small = lambda t: one(spark, metrics.is_minified(F.lit(t)))
     assert small("x=1;" * 400) and not small("x=1;" * 100) and not small("x = 1;\n" * 400) and not small("x  " * 600) and small(None) is False
     assert one(spark, metrics.has_service_marker(F.lit(b"..ServiceMain.."))) and not one(spark, metrics.has_service_marker(F.lit(bytes(300_000) + b"ServiceMain")))
+
+
+def test_trace_logs(spark):
+    import struct
+
+    from bytelore.operators import detect
+
+    buffer = lambda size, version, zeros, provider: struct.pack("<II", size, version) + bytes(zeros) + b"x" * (40 - zeros) + struct.pack("<I", provider) + bytes(200)
+    rows = [(b"ElfF" + b"x" * 100, "etl"), (b"ElfFile\0" + bytes(100), "evtx"), (buffer(65536, 0x102, 30, 7), "etl"), (buffer(65537, 0x102, 30, 7), None), (buffer(1 << 21, 0x102, 30, 7), None), (buffer(4096, 0x500, 30, 7), None), (buffer(4096, 0x200, 20, 7), None), (buffer(4096, 0x200, 40, 0), None)]
+    files = blob.column(spark.createDataFrame([(str(i), b) for i, (b, _) in enumerate(rows)], "id string, content binary"), "id", "content")
+    got = {r.id: r.extension for r in detect.detect(files).collect()}
+    assert [got[str(i)] == "etl" for i in range(len(rows))] == [w == "etl" for _, w in rows] and got["1"] == "evtx"
+
+
+def test_candidates_display(spark):
+    c = F.array(*(F.struct(F.lit(e).alias("ext"), F.lit("Low").alias("confidence"), F.lit(n).alias("score")) for n, e in enumerate(["md", "txt", "", "csv", "ini", "log", "js"])))
+    assert one(spark, views.candidates_display(c, F.lit("txt"))) == ".md Low 0; *.txt Low 1; .csv Low 3; .ini Low 4; .log Low 5" and one(spark, views.candidates_display(F.slice(c, 3, 1), F.lit("x"))) is None
