@@ -101,7 +101,7 @@ def analyze(blobs: DataFrame, allowed_domains: list[str] = (), allowed_vendors:
     in ``error`` and all else that is known.  An empty table gives no rows; rows that repeat an id are analysed each.
     """
     base = detect(blobs).select("id", "name", "declared_ext", "length", "content", "head", F.col("extension").alias("_ext"), F.col("mime_type").alias("_mime"), F.col("confidence").alias("_conf"), F.col("reason").alias("_reason"), F.col("kind").alias("_kind"))
-    textual = F.col("_kind").isin("Text") | F.col("_ext").isin(candidates.ELIGIBLE)
+    textual = F.col("_kind").isin("Text") | F.coalesce(F.col("_reason").startswith("text:"), F.lit(False))
     whole = F.try_validate_utf8(F.substring("content", 1, TEXT_CHARS).cast("string"))
     texts = base.withColumn("_text", F.when(textual, F.coalesce(whole, containers.head_text(F.col("head"), HEAD_BYTES))))
     said = "coalesce(declared_ext, '')"

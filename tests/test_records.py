@@ -245,7 +245,7 @@ def test_names(spark):
     from bytelore.functions import metrics
 
     rows = {
-        "a.pdf.exe": ["double_extension"], "Foo.Bar_1.2.3_x64.msi": ["double_extension"], "Foo_1.2.3_x64.msi": [], "setup.2024.exe": [], "a.docx.2.exe": ["double_extension"], "app.exe.1234.dmp": [], "app.exe.1234.protected.dmp": [], "app.txt.1234.dmp": ["double_extension"],
+        "a.pdf.exe": ["double_extension"], "Foo.Bar_1.2.3_x64.msi": [], "Foo_1.2.3_x64.msi": [], "setup.2024.exe": [], "a.docx.2.exe": ["double_extension"], "app.exe.1234.dmp": [], "app.exe.1234.protected.dmp": [], "app.txt.1234.dmp": ["double_extension"],
         ".bashrc": ["hidden"], "..": [], " a.txt": ["blanks"], "a  b.txt": ["blanks"], "a.txt ": ["blanks"], "ab‮gpj.exe": ["bidi"], "plain.txt": [], "": [], "noext": [], "tar.gz.": [], ".a.b": ["hidden"],
     }
     df = spark.createDataFrame([(n, w) for n, w in rows.items()] + [(None, [])], "n string, want array<string>")

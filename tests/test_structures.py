@@ -374,7 +374,7 @@ FOLDED = [
 ]
 UNFOLDED = [
     f'const p = "data:text/" + ["x-powe", "{REST}"].join("-");', f'const p = "data:text/" + ["x-powe", "{REST}"].join(String());', f'const p = "data:text/" + ["x-powe", "{REST}"].join();', f'const e = "Sample: {START}{REST}";',
-    f"// \"{START}{REST}\"\n/* '{START}{REST}' */", "const p = 'data:' + name;", "'data:", "`data:${`", "(" * 5000 + "'data:x,y'", "data:text/plain,x", "",
+    f"// \"{START}{REST}\"\n/* '{START}{REST}' */", "const p = 'data:' + name;", "'data:", "`data:${`", "(" * 5000 + "'datum:x,y'", "data:text/plain,x", "",
 ]
 
 
