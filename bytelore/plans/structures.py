@@ -109,7 +109,7 @@ def certificate_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _packed(key: int, text: bytes) -> bytes:
-    program = made.executable(2, 2, bytes(range(256)) + text[:400]) * 2
+    program = made.executable(2, 2, bytes(range(128, 256)) + text[:400].replace(b"<", b" ")) * 2
     makers = [
         lambda: base64.b64encode(program), lambda: base64.encodebytes(gzip.compress(program, 0)), lambda: binascii.hexlify(program), lambda: base64.a85encode(program, adobe=True),
         lambda: b"begin 644 a.exe\n" + b"".join(binascii.b2a_uu(program[i : i + 45]) for i in range(0, len(program), 45)) + b"`\nend\n",
