@@ -281,3 +281,15 @@ def test_trace_logs(spark):
 def test_candidates_display(spark):
     c = F.array(*(F.struct(F.lit(e).alias("ext"), F.lit("Low").alias("confidence"), F.lit(n).alias("score")) for n, e in enumerate(["md", "txt", "", "csv", "ini", "log", "js"])))
     assert one(spark, views.candidates_display(c, F.lit("txt"))) == ".md Low 0; *.txt Low 1; .csv Low 3; .ini Low 4; .log Low 5" and one(spark, views.candidates_display(F.slice(c, 3, 1), F.lit("x"))) is None
+
+
+def test_tables_that_are_folders(spark, tmp_path):
+    from bytelore.plans.records import table_files
+
+    spark.range(4, numPartitions=1).coalesce(1).write.parquet(f"{tmp_path}/a")
+    next((tmp_path / "a").glob("*.parquet")).rename(tmp_path / "one.parquet")
+    spark.range(40).repartition(3).write.parquet(f"{tmp_path}/many.parquet")
+    kind = ("parquet", "application/vnd.apache.parquet", "High", True, True)
+    assert sorted(map(tuple, table_files(spark, str(tmp_path)).collect())) == [("many.parquet", *kind), ("one.parquet", *kind)]
+    (tmp_path / "many.parquet" / "odd.parquet").write_bytes(b"no table")
+    assert sorted((r.name, r.extension) for r in table_files(spark, f"{tmp_path}/").collect()) == [("many.parquet", "parquet"), ("many.parquet", "txt"), ("one.parquet", "parquet")]
