@@ -293,3 +293,17 @@ def test_tables_that_are_folders(spark, tmp_path):
     assert sorted(map(tuple, table_files(spark, str(tmp_path)).collect())) == [("many.parquet", *kind), ("one.parquet", *kind)]
     (tmp_path / "many.parquet" / "odd.parquet").write_bytes(b"no table")
     assert sorted((r.name, r.extension) for r in table_files(spark, f"{tmp_path}/").collect()) == [("many.parquet", "parquet"), ("many.parquet", "txt"), ("one.parquet", "parquet")]
+
+
+def test_batches_are_bounded_by_bytes(spark):
+    docs = spark.range(400, numPartitions=1).select(F.col("id").alias("doc_id"), F.repeat(F.lit("x"), 65536).alias("text"))
+    files = blob.column(made.contents(docs, lambda key, text: text * 2), "doc_id", "content")
+
+    def sizes(batches):
+        import pyarrow as pa
+
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([b.nbytes]), pa.array([b.num_rows])], ["bytes", "rows"])
+
+    got = files.select("content").mapInArrow(sizes, "bytes long, rows long").collect()
+    assert sum(r.rows for r in got) == 400 and max(r.bytes for r in got) <= blob.BATCH_BYTES + (1 << 18)
