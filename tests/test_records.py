@@ -307,3 +307,10 @@ def test_batches_are_bounded_by_bytes(spark):
 
     got = files.select("content").mapInArrow(sizes, "bytes long, rows long").collect()
     assert sum(r.rows for r in got) == 400 and max(r.bytes for r in got) <= blob.BATCH_BYTES + (1 << 18)
+
+
+def test_flags_are_worked_out_once(spark):
+    from bytelore.plans.queries import flag_scores
+
+    plan = flag_scores(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("THEN disguised_executables") <= 1
