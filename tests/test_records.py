@@ -283,6 +283,15 @@ def test_candidates_display(spark):
     assert one(spark, views.candidates_display(c, F.lit("txt"))) == ".md Low 0; *.txt Low 1; .csv Low 3; .ini Low 4; .log Low 5" and one(spark, views.candidates_display(F.slice(c, 3, 1), F.lit("x"))) is None
 
 
+def test_short_texts_are_not_empty(spark, tmp_path):
+    from bytelore.plans.records import analyzed_documents
+
+    texts = [None, "", "A.", "Re.", " \n", "\x01\x02", "some words"]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: r.empty for r in analyzed_documents(spark, str(tmp_path)).collect()}
+    assert got == {i: not t for i, t in enumerate(texts)}
+
+
 def test_tables_that_are_folders(spark, tmp_path):
     from bytelore.plans.records import table_files
 
