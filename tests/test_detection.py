@@ -281,3 +281,22 @@ def test_declared_bias_changes_type_and_reason(spark):
     rows = blob.column(spark.createDataFrame([("1", b"some plain words here\n")], "id string, content binary"), "id", "content", F.lit("md"))
     x = detect.detect(rows).first()
     assert (x["extension"], x["mime_type"]) == ("md", "text/markdown") and x["reason"].endswith("bias:decl:md")
+
+
+def test_patterns_for_java_match_as_those_of_the_sql(spark):
+    import re
+
+    from bytelore.functions import textual
+    from bytelore.functions.dialect import DUCK, SPARK
+
+    assert not re.search(r"\[[^\]]*(A-Z|a-z|0-9)", textual.number_sql(SPARK)) and "A-Z" in textual.number_sql(DUCK)
+    texts = ["Get-Item", "x Get-Item", "xGet-Item", "-Get-Item", "Get-item", "Get-I", "Get-It", "9New-Ab", "a--Set-Ab", "Reset-Ab Out-Xy", "\nWhere-Object", "", None, " $a = 1", "x\n$b=", "x$b=", "$", "-----BEGIN CERTIFICATE-----", "x\n-----BEGIN CERTIFICATE-----", "x-----BEGIN CERTIFICATE-----"]
+    asked = {"verb": next(v["verb_noun"] for v in textual.cues(SPARK) if "verb_noun" in v), "weak": next(v["ps_weak"] for v in textual.cues(SPARK) if "ps_weak" in v), "pem": next(r.when for r in textual.rules(SPARK) if r.reason == "text:pem-cert")}
+    df = spark.createDataFrame([(t,) for t in texts], "h string").selectExpr("h", "lower(h) as hl").selectExpr("h", *(f"{v} as {k}" for k, v in asked.items()))
+    verbs = "Get|Set|New|Remove|Add|Invoke|Start|Stop|Import|Export|Write|Test|Enable|Disable|Update|Select|Where|Out|Clear|Copy|Move|Join|Split"
+    for r in df.collect():
+        if r.h is None:
+            assert r.verb is None and r.pem is None
+            continue
+        assert r.verb == bool(re.search(rf"(^|[^A-Za-z-])({verbs})-[A-Z][A-Za-z]+", r.h)) and r.pem == bool(re.search(r"(^|\n)-----BEGIN CERTIFICATE-----", r.h)), r
+        assert (r.weak > 0) == bool(re.search(r"(^|\n)\s*\$[A-Za-z_][A-Za-z0-9_]*\s*=", r.h) or re.search("get-|set-", r.h.lower())), r
