@@ -25,6 +25,9 @@ from pyspark.sql import functions as F
 from . import _text as tx
 from ._scratch import drop, store
 
+#: Rows of edges that a task takes at least, unless that would leave cores idle: few edges make few tasks, however many
+#: partitions the session has.
+TASK_EDGES = 100_000
 #: Minwise tokens of four bytes, one for the root of each tree; tokens of a byte, for splits and for the estimate.
 HEADS, TWIGS = 12, 64
 _rng = np.random.default_rng(77)
@@ -145,18 +148,21 @@ def components(links: DataFrame) -> DataFrame:
     """The least id that each linked id reaches: ``_id``, ``root``.  ``links``: x, y.
 
     Alternates two steps until nothing changes: every id's larger neighbours are tied to its least neighbour, then its
-    smaller ones are.  Each is a grouping and a join; rounds grow with the log of the longest chain.
+    smaller ones are.  Each is a grouping and a join; rounds grow with the log of the longest chain.  Tasks are as many as the
+    edges need (``TASK_EDGES``).
     """
     edges = store(links.where("x <> y").select(F.greatest("x", "y").alias("u"), F.least("x", "y").alias("v")).distinct(), "edges")
     digest = lambda e: e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first()
     was = digest(edges)
     while was[0]:
+        tasks = max(edges.sparkSession.sparkContext.defaultParallelism, -(-was[0] // TASK_EDGES))
+        edges = edges.coalesce(tasks)
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u > v").distinct()
+        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u > v").coalesce(tasks).distinct().coalesce(tasks)
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         tied = F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v"))))
-        edges = store(large.join(low, "u").select(tied.alias("e")).select("e.u", "e.v").where("u > v").distinct(), "edges")
+        edges = store(large.join(low, "u").select(tied.alias("e")).select("e.u", "e.v").where("u > v").coalesce(tasks).distinct().coalesce(tasks), "edges")
         now = digest(edges)
         if now == was:
             break
@@ -250,23 +256,26 @@ def _compared(nodes: DataFrame, docs: DataFrame, size: int, p: Join) -> DataFram
         x, y = _near(rows, p)
         items = rows.column("items").combine_chunks()
         bounds, values = items.offsets.to_numpy(), items.values.to_numpy()
-        names: dict[int, int] = {}
-        up = [names.setdefault(r, k) for k, r in enumerate(rows.column("root").to_pylist())]  # a place of each component stands for it
-
-        def top(k: int) -> int:
-            while up[k] != k:
-                up[k] = k = up[up[k]]
-            return k
+        part = np.unique(rows.column("root").to_numpy(), return_inverse=True)[1]
+        values = np.unique(values[bounds[0] : bounds[-1]], return_inverse=True)[1]  # items as numbers from 0, for a mark on each
+        bounds = bounds - bounds[0]
+        n, marked = np.diff(bounds), np.zeros(len(values), bool)
 
         ids, links = rows.column("rep").to_pylist(), []
-        for a, b in zip(x.tolist(), y.tolist(), strict=True):
-            i, j = top(a), top(b)
-            if i != j:
-                s, u = values[bounds[a] : bounds[a + 1]], values[bounds[b] : bounds[b + 1]]
-                common = len(np.intersect1d(s, u, assume_unique=True))
-                if 100 * common >= p.percent * (len(s) + len(u) - common):
-                    up[i] = j
-                    links.append((ids[a], ids[b]))
+        firsts = np.flatnonzero(np.diff(x, prepend=-1))
+        for r, others in zip(x[firsts].tolist(), np.split(y, firsts[1:]) if len(x) else [], strict=True):
+            others = others[part[others] != part[r]]
+            if not len(others):
+                continue
+            own = values[bounds[r] : bounds[r + 1]]
+            marked[own] = True
+            held = marked[np.concatenate([values[bounds[k] : bounds[k + 1]] for k in others])]
+            marked[own] = False
+            common = np.add.reduceat(held, np.cumsum(n[others]) - n[others], dtype=np.int64)
+            for k in others[100 * common >= p.percent * (n[r] + n[others] - common)].tolist():
+                if part[k] != part[r]:
+                    part[part == part[k]] = part[r]
+                    links.append((ids[r], ids[k]))
         return pa.table({"x": pa.array([a for a, _ in links], pa.int64()), "y": pa.array([b for _, b in links], pa.int64())})
 
     flagged = store(_by_group(_groups(nodes, p), flag, kind), "flagged")

@@ -56,6 +56,26 @@ def test_components_follow_long_chains(spark):
     assert got == {k: v for k, v in groups(edges, {x for e in edges for x in e}).items()}
 
 
+def test_components_of_few_edges_take_few_tasks(spark):
+    held = {"spark.sql.shuffle.partitions": "64", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    was = {k: spark.conf.get(k) for k in held}
+    context = spark.sparkContext
+    try:
+        for k, v in held.items():
+            spark.conf.set(k, v)
+        context.setJobGroup("few edges", "")
+        got = dict(neardup.components(spark.createDataFrame([(i, i + 1) for i in range(40)], "x long, y long")).collect())
+    finally:
+        context.setLocalProperty("spark.jobGroup.id", None)
+        for k, v in was.items():
+            spark.conf.set(k, v)
+    tracker = context.statusTracker()
+    stages = {s for j in tracker.getJobIdsForGroup("few edges") for s in tracker.getJobInfo(j).stageIds}
+    tasks = [x.numTasks for s in stages if (x := tracker.getStageInfo(s))]
+    assert got == {i: 0 for i in range(41)}
+    assert sum(n >= 64 for n in tasks) <= 1  # the first distinct alone
+
+
 def test_near_duplicates_of_odd_rows(spark, odd):
     rows = neardup.near_duplicates(odd).collect()
     assert Counter(x[0] for x in rows) == Counter(x["doc_id"] for x in odd.collect())
