@@ -156,7 +156,8 @@ def _later_matches(rows: DataFrame, ranks: Column, percent: int, least_words: in
     sets = taking_part.groupBy(*digest).agg(F.min(F.struct(*line, "n", "bits", "prefix")).alias("s")).select("s.*")
     # a set too small to match another one (with a word more or less the share of common words is too low) has settled by now
     posted = _postings(sets.where(100 * F.col("n") >= percent * (F.col("n") + 1)), NARROW)
-    partner = (F.col("l.word") == F.col("r.word")) & (_place("l") != _place("r")) & _may_match(percent, NARROW)
+    # both sides have the same columns (so the whole line, not its place alone), and so are shuffled once
+    partner = (F.col("l.word") == F.col("r.word")) & (_line("l") != _line("r")) & _may_match(percent, NARROW)
     maybe = store(posted.alias("l").join(posted.alias("r"), partner, "left_semi").select(*line).distinct(), "maybe")
 
     # their words, from the texts

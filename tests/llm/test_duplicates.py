@@ -141,6 +141,15 @@ def test_first_lines_of_words_need_no_window(spark, prose, monkeypatch):
     assert plans and not any("Window" in p for p in plans)
 
 
+def test_prefixes_of_lines_are_shuffled_once(spark, prose, monkeypatch):
+    plans, store = {}, linedup.store
+    monkeypatch.setattr(linedup, "store", lambda df, name: plans.update({name: df._jdf.queryExecution().executedPlan().toString()}) or store(df, name))
+    linedup.later_matches(spark.createDataFrame([(i, prose(i % 2, 12)) for i in range(4)], "doc_id long, text string")).collect()
+    initial = plans["maybe"]
+    sides = re.findall(r"Generate posexplode\(prefix#\d+\), \[([^\]]*)\]", initial)
+    assert len(sides) == 2 and re.sub(r"#\d+L?", "", sides[0]) == re.sub(r"#\d+L?", "", sides[1])
+
+
 def test_lines_of_odd_rows(spark, odd):
     out = linedup.dedup_lines(odd)
     rows = out.collect()
