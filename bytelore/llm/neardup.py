@@ -28,6 +28,8 @@ from ._scratch import drop, store
 #: Rows of edges that a task takes at least, unless that would leave cores idle: few edges make few tasks, however many
 #: partitions the session has.
 TASK_EDGES = 100_000
+#: Bits of a bitmap for an id, and its least and greatest size as a power of two (128 KiB and 64 MiB).
+BITS_PER_ID, LEAST_BITS, MOST_BITS = 16, 20, 29
 #: Minwise tokens of four bytes, one for the root of each tree; tokens of a byte, for splits and for the estimate.
 HEADS, TWIGS = 12, 64
 _rng = np.random.default_rng(77)
@@ -109,13 +111,39 @@ def _bytes(twigs: list[bytes]) -> np.ndarray:
     return np.frombuffer(b"".join(twigs), np.uint8).reshape(-1, TWIGS)
 
 
-def _full_sets(docs: DataFrame, size: int) -> DataFrame:
+def _place(bits: int) -> Column:
+    """The place of ``_id`` in a bitmap of ``2 ** bits`` bits."""
+    return F.pmod(F.xxhash64("_id"), F.lit(1 << bits))
+
+
+def _bitmap(ids: DataFrame, bits: int) -> np.ndarray:
+    """The bitmap of ``_id``: built by Spark in pieces of 32,768 bits, of which the driver gathers at most ``2 ** (bits - 15)``."""
+    at = _place(bits) + 1  # pieces and the places in them are counted from 1
+    pieces = ids.groupBy(F.bitmap_bucket_number(at).alias("piece")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(at)).alias("held"))
+    out = np.zeros(1 << (bits - 3), np.uint8)
+    for piece, held in pieces.collect():
+        out[(piece - 1) * 4096 : (piece - 1) * 4096 + len(held)] = np.frombuffer(held, np.uint8)
+    return out
+
+
+def _full_sets(docs: DataFrame, ids: DataFrame, size: int) -> DataFrame:
+    """The sets of rows with one of ``ids`` and of a few others that a bitmap of the ids takes for such; no text is shuffled."""
+    bits = min(MOST_BITS, max(LEAST_BITS, (ids.count() * BITS_PER_ID).bit_length()))
+    wanted = docs.sparkSession.sparkContext.broadcast(_bitmap(ids, bits))
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for block, data, offsets in tx.blocks(batches, "_text"):
+        held = wanted.value
+
+        def kept() -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                at = batch.column(2).to_numpy()
+                yield batch.filter(pa.array((held[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool)))
+
+        for block, data, offsets in tx.blocks(kept(), "_text"):
             sets = [s.view(np.int64) for s in shingle_sets(data, offsets, size)]
             yield pa.RecordBatch.from_arrays([block.column(0), pa.array(sets, pa.list_(pa.int64()))], ["_id", "items"])
 
-    return docs.mapInArrow(run, "_id long, items array<long>")
+    return docs.select("_id", "_text", _place(bits).alias("_at")).mapInArrow(run, "_id long, items array<long>")
 
 
 def _agreeing(pairs: DataFrame, least: int) -> DataFrame:
@@ -133,8 +161,9 @@ def _agreeing(pairs: DataFrame, least: int) -> DataFrame:
 
 def _sets_of(ids: DataFrame, docs: DataFrame, size: int, name: str) -> DataFrame:
     """The sets of the documents ``ids`` (_id, each once); of rows that repeat a key the largest."""
-    sets = _full_sets(docs.join(ids, "_id", "left_semi"), size)
-    return store(sets.groupBy("_id").agg(F.max_by("items", F.size("items")).alias("items")), f"{name}-sets")
+    ids = store(ids, "ids")
+    sets = _full_sets(docs, ids, size).groupBy("_id").agg(F.max_by("items", F.size("items")).alias("items"))
+    return store(sets.join(ids, "_id", "left_semi"), f"{name}-sets")
 
 
 def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int, name: str) -> DataFrame:

@@ -57,23 +57,30 @@ def test_components_follow_long_chains(spark):
 
 
 def test_components_of_few_edges_take_few_tasks(spark):
-    held = {"spark.sql.shuffle.partitions": "64", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    held = {"spark.sql.shuffle.partitions": "32", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
     was = {k: spark.conf.get(k) for k in held}
-    context = spark.sparkContext
     try:
         for k, v in held.items():
             spark.conf.set(k, v)
-        context.setJobGroup("few edges", "")
-        got = dict(neardup.components(spark.createDataFrame([(i, i + 1) for i in range(40)], "x long, y long")).collect())
+        found = neardup.components(spark.createDataFrame([(0, i) for i in range(1, 400)], "x long, y long"))
     finally:
-        context.setLocalProperty("spark.jobGroup.id", None)
         for k, v in was.items():
             spark.conf.set(k, v)
-    tracker = context.statusTracker()
-    stages = {s for j in tracker.getJobIdsForGroup("few edges") for s in tracker.getJobInfo(j).stageIds}
-    tasks = [x.numTasks for s in stages if (x := tracker.getStageInfo(s))]
-    assert got == {i: 0 for i in range(41)}
-    assert sum(n >= 64 for n in tasks) <= 1  # the first distinct alone
+    assert dict(found.collect()) == dict.fromkeys(range(400), 0)
+    assert len(found.inputFiles()) <= spark.sparkContext.defaultParallelism  # each task wrote a file
+
+
+@pytest.mark.parametrize("most", [neardup.MOST_BITS, 15])
+def test_sets_of_ids_shuffle_no_texts(spark, prose, monkeypatch, most):
+    monkeypatch.setattr(neardup, "LEAST_BITS", 15)
+    monkeypatch.setattr(neardup, "MOST_BITS", most)
+    plans, store = [], neardup.store
+    monkeypatch.setattr(neardup, "store", lambda df, name: plans.append(df._jdf.queryExecution().optimizedPlan().toString()) or store(df, name))
+    docs = spark.createDataFrame([(i, prose(i, 9)) for i in [*range(6000), 5999]] + [(5999, prose(1, 20)), (-7, "a b c"), (7001, None)], "_id long, _text string")
+    ids = spark.createDataFrame([(i,) for i in [*range(0, 6000, 7), 5999, -7]], "_id long").distinct()
+    got = {x["_id"]: len(x["items"]) for x in neardup._sets_of(ids, docs, 4, "some").collect()}
+    assert got == {**{i: 6 for i in range(0, 6000, 7)}, 5999: 17, -7: 1}
+    assert plans[-1].index("Join LeftSemi") < plans[-1].index("MapInArrow")  # texts became sets before the join
 
 
 def test_near_duplicates_of_odd_rows(spark, odd):
