@@ -9,6 +9,7 @@ high; a logistic curve over the best segment's extreme-value score gives the doc
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -123,14 +124,15 @@ def _counts(labelled: DataFrame) -> ToxicityModel:
         total = np.zeros(2 << _BLOCK, np.int64)
         for at, n in zip(pdf["at"], pdf["n"], strict=True):
             total[np.frombuffer(at, np.uint32)] += np.frombuffer(n, np.uint32)
-        return pd.DataFrame({"part": [pdf["part"].iloc[0]], "total": [total.astype(np.float32).tobytes()]})
+        # most buckets of most inputs are empty, and one task may hold all parts
+        return pd.DataFrame({"part": [pdf["part"].iloc[0]], "total": [zlib.compress(total.astype(np.float32).tobytes(), 1)]})
 
     # the groups are blocks of buckets: their rows are bounded by MAX_TRAINING
     sums = labelled.mapInArrow(run, "part long, at binary, n binary").groupBy("part").applyInPandas(add, "part long, total binary")
     toxic, words = (np.zeros((len(LEVELS), 1 << BITS), np.float32) for _ in range(2))
     for part, total in sums.toLocalIterator():
         k, lo = part >> 16, (part & 0xFFFF) << _BLOCK
-        pair = np.frombuffer(total, np.float32).reshape(-1, 2)
+        pair = np.frombuffer(zlib.decompress(total), np.float32).reshape(-1, 2)
         toxic[k, lo : lo + (1 << _BLOCK)] = pair[:, 1]
         words[k, lo : lo + (1 << _BLOCK)] = pair.sum(1)
     all_words = float(words[-1].sum())
@@ -186,11 +188,11 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
             total = np.concatenate([[0.0], np.cumsum(s)])
             best = np.array([(total[a : b + 1] - np.minimum.accumulate(total[a : b + 1])).max() for a, b in zip(bounds[:-1], bounds[1:], strict=True)])
             grid = np.stack([tx.per_row(np.exp(g * s), bounds) for g in _GRID], 1)
-            yield pa.RecordBatch.from_arrays([block.column(1), pa.array(np.diff(bounds), pa.int64()), pa.array(best), pa.array(list(grid), pa.list_(pa.float64()))], ["y", "n", "best", "grid"])
+            yield pa.RecordBatch.from_arrays([block.column(1), pa.array(np.diff(bounds), pa.int64()), pa.array(best), pa.array([g.tobytes() for g in grid], pa.binary())], ["y", "n", "best", "grid"])
 
     # at most a fifth of max_training keys, give or take; of rows that repeat a key one
     held = rows.where(fold).groupBy("_key").agg(F.max("_text").alias("_text"), F.max("_toxic").alias("_toxic"))
-    got = held.select("_text", "_toxic").mapInArrow(run, "y int, n long, best double, grid array<double>").toPandas()
+    got = held.select("_text", "_toxic").mapInArrow(run, "y int, n long, best double, grid binary").toPandas()
     sent.unpersist()
     if not len(got):
         model.offset = -500.0
@@ -198,7 +200,7 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
     y, n, best = got["y"].to_numpy(float), got["n"].to_numpy(float), got["best"].to_numpy()
     clean = (y == 0) & (n > 0)
     if clean.any():
-        mean = np.log(np.maximum(np.stack(got["grid"][clean].to_list()).sum(0) / n[clean].sum(), 1e-300))
+        mean = np.log(np.maximum(np.frombuffer(b"".join(got["grid"][clean]), np.float64).reshape(-1, len(_GRID)).sum(0) / n[clean].sum(), 1e-300))
         above = np.flatnonzero(mean > 0)
         model.rate = float(_GRID[above[0]]) if len(above) else float(_GRID[-1])
         model.size = float((model.rate * best[clean] - np.log(n[clean])).mean() - _EULER)

@@ -160,6 +160,22 @@ def test_toxicity_finds_passages(spark, prose):
     assert {x["toxicity"] for x in toxicity.score_toxicity(docs, none).collect()} == {0.0} or max(x["toxicity"] for x in toxicity.score_toxicity(docs, none).collect()) < 1e-6
 
 
+def test_toxicity_of_few_words_sends_little_to_the_driver(spark, prose, monkeypatch):
+    from pyspark.sql.classic.dataframe import DataFrame
+
+    docs = spark.createDataFrame([(i, prose(i, 30) + (" nasty" if i % 3 == 0 else "")) for i in range(60)], "doc_id long, text string")
+    marks = spark.createDataFrame([(i, int(i % 3 == 0)) for i in range(60)], "doc_id long, toxic int")
+    sent, rows = [], DataFrame.toLocalIterator
+    monkeypatch.setattr(DataFrame, "toLocalIterator", lambda self, *a, **b: (sent.append(len(x["total"])) or x for x in rows(self, *a, **b)))
+    model = toxicity.train(docs, marks)
+    assert len(sent) > 5 and sum(sent) < 1e6
+    counted = docs.where("pmod(xxhash64(text), 5L) <> 0").join(marks, "doc_id").collect()
+    n = lambda rows: sum(len(re.findall("[a-z0-9]+", x["text"])) for x in rows)
+    assert model.words.sum(1).tolist() == [n(counted)] * len(toxicity.LEVELS)
+    assert model.toxic.sum(1).tolist() == [n(x for x in counted if x["toxic"])] * len(toxicity.LEVELS)
+
+
+
 # 7: secrets
 
 
