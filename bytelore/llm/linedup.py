@@ -2,7 +2,8 @@
 
 A line is the set of its words, ordered from rare to common.  Two sets as similar as asked share a word in short prefixes
 of that order, so only lines matter that share a prefix word with another, where the sizes, the places of that word and a
-bitmap of the words allow the overlap.  Their words are read again from the texts.  Each is verified against the first
+sketch of the words allow the overlap.  Their words are worked out again where the texts are, behind a bitmap of such lines,
+so texts are not shuffled.  Each is verified against the first
 line of every prefix word's group, which settles most; the others are verified against all of the group by a semi-join.
 No step makes a row for each pair, so large groups of near copies cost no more than their members.
 """
@@ -10,6 +11,7 @@ No step makes a row for each pair, so large groups of near copies cost no more t
 from __future__ import annotations
 
 import uuid
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -22,14 +24,17 @@ _GAP = "[ \\t\\n\\x0B\\f\\r]+"
 _BLANK = " \t\n\x0b\f\r"
 
 
-def _words(line: Column) -> Column:
+def _words(line: Column, odd_edges: bool = True) -> Column:
     """The words of a line in lower case; a blank line gives one empty string.
 
     A split at one character needs no regular expression, so lines go by that where blanks are single spaces within.
+    Without ``odd_edges`` there may be empty strings among the words.
     """
-    odd = line.startswith(" ") | line.endswith(" ")
-    for blank in ("  ", "\t", "\x0b", "\f", "\r"):
+    odd = F.lit(False)
+    for blank in ("\t", "\x0b", "\f", "\r"):
         odd = odd | line.contains(blank)
+    if odd_edges:
+        odd = odd | line.startswith(" ") | line.endswith(" ") | line.contains("  ")
     return F.when(odd, F.split(F.btrim(line, F.lit(_BLANK)), _GAP)).otherwise(F.split(line, " "))
 
 
@@ -38,14 +43,35 @@ def _ranks(rows: DataFrame) -> DataFrame:
 
     It counts all words of ``_text``.  The array has 2 ** BUCKET_BITS bytes whatever the input.
     """
-    lines = rows.select(F.lower("_text").alias("text")).select(F.explode(F.split("text", "\n")).alias("line"))
+    text = rows.select(F.replace(F.lower("_text"), F.lit("\n"), F.lit(" ")).alias("text"))
     bucket = F.xxhash64("w").bitwiseAND((1 << BUCKET_BITS) - 1)
-    counts = lines.select(F.explode(_words(F.col("line"))).alias("w")).groupBy(bucket.alias("id")).agg(F.count("*").alias("c"))
+    counts = text.select(F.explode(_words(F.col("text"), odd_edges=False)).alias("w")).groupBy(bucket.alias("id")).agg(F.count("*").alias("c"))
     level = F.least(F.floor(F.log2(F.coalesce("c", F.lit(0)) + 1) * 4), F.lit(127)).cast("tinyint")
-    low = BUCKET_BITS // 2
-    parts = rows.sparkSession.range(1 << BUCKET_BITS).join(counts, "id", "left").select(F.shiftright("id", low).alias("part"), F.struct("id", level.alias("level")).alias("at"))
-    inner = parts.groupBy("part").agg(F.transform(F.array_sort(F.collect_list("at")), lambda x: x["level"]).alias("levels"))
-    return inner.agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("part", "levels"))), lambda x: x["levels"])).alias("ranks"))
+    return _array(counts.select("id", level.alias("cell")), BUCKET_BITS, F.lit(0).cast("tinyint"))
+
+
+def _array(cells: DataFrame, bits: int, empty: Column) -> DataFrame:
+    """One row with one array of 2 ** ``bits`` elements: each ``cell`` at its ``id``, elsewhere ``empty``."""
+    all_cells = cells.sparkSession.range(1 << bits).join(cells, "id", "left")
+    parts = all_cells.select(F.shiftright("id", bits // 2).alias("part"), F.struct("id", F.coalesce("cell", empty).alias("cell")).alias("at"))
+    inner = parts.groupBy("part").agg(F.transform(F.array_sort(F.collect_list("at")), lambda x: x["cell"]).alias("cells"))
+    return inner.agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("part", "cells"))), lambda x: x["cells"])).alias("all"))
+
+
+def _spot(bits: int) -> Column:
+    """Where a line is in a bitmap of 2 ** ``bits`` bits."""
+    return F.xxhash64(*LINE).bitwiseAND((1 << bits) - 1)
+
+
+def _bitmap(lines: DataFrame, bits: int) -> DataFrame:
+    """One row with a bitmap of ``lines``, as an array of 64-bit numbers."""
+    at = lines.select(_spot(bits).alias("spot")).select(F.shiftright("spot", 6).alias("id"), _bit(F.col("spot")).alias("bit"))
+    return _array(at.groupBy("id").agg(F.bit_or("bit").alias("cell")), bits - 6, F.lit(0).cast("long"))
+
+
+def _bit(number: Column) -> Column:
+    """A 64-bit number with one bit, by the last six bits of ``number``."""
+    return F.call_function("shiftleft", F.lit(1).cast("long"), number.bitwiseAND(63).cast("int"))
 
 
 class _Variable:
@@ -67,9 +93,10 @@ class _Variable:
 
 def _keys(line: Column, ranks: Column) -> Column:
     """The distinct words of a line in lower case as 63-bit numbers that sort from rare to common; null for a blank line."""
-    hashes = F.transform(F.when(F.btrim(line, F.lit(_BLANK)) != "", _words(line)), lambda w: F.xxhash64(w))
-    rank = lambda h: F.get(ranks, h.bitwiseAND((1 << BUCKET_BITS) - 1).cast("int")).cast("long")
-    return F.sort_array(F.array_distinct(F.transform(hashes, lambda h: F.shiftleft(rank(h), 56).bitwiseOR(F.shiftrightunsigned(h, 8)))))
+    hashes = F.array_distinct(F.transform(F.when(F.btrim(line, F.lit(_BLANK)) != "", _words(line)), lambda w: F.xxhash64(w)))
+    # never null, so that arrays are of plain numbers and sort fast
+    rank = lambda h: F.coalesce(F.get(ranks, h.bitwiseAND((1 << BUCKET_BITS) - 1).cast("int")).cast("long"), F.lit(0).cast("long"))
+    return F.sort_array(F.transform(hashes, lambda h: F.shiftleft(rank(h), 56).bitwiseOR(F.shiftrightunsigned(h, 8))))
 
 
 def _at_least(percent: int, n: Column) -> Column:
@@ -81,11 +108,19 @@ def _prefix(percent: int) -> Column:
     return F.transform(F.slice("keys", 1, F.col("n") - _at_least(percent, F.col("n")) + 1), lambda k: k.bitwiseAND(0x7FFFFFFF).cast("int"))
 
 
-def _bitmaps(words: int) -> Column:
-    """A bitmap of ``keys`` as an array of ``words`` (a power of two) 64-bit numbers."""
-    one = lambda k: F.call_function("shiftleft", F.lit(1).cast("long"), k.bitwiseAND(63).cast("int"))
-    bit = lambda k, j: F.when(F.shiftright(k, 6).bitwiseAND(words - 1) == j, one(k)).otherwise(F.lit(0).cast("long"))
-    number = lambda j: F.aggregate("keys", F.lit(0).cast("long"), lambda bits, k: bits.bitwiseOR(bit(k, j)))
+def _sketches(words: int) -> Column:
+    """``words`` (a power of two) 64-bit numbers of ``keys``, as an array: each word turns over one bit, at the same place, of
+    all numbers whose index has only bits that the word has too.  ``_postings`` takes them apart."""
+
+    def number(j: int) -> Column:
+        def turn(bits: Column, k: Column) -> Column:
+            mine, t = F.lit(1).cast("long"), 0
+            while 1 << t < words:
+                mine, t = F.shiftright(k, 6 + t).bitwiseAND(mine) if j >> t & 1 else mine, t + 1
+            return bits.bitwiseXOR(F.call_function("shiftleft", mine, k.bitwiseAND(63).cast("int")))
+
+        return F.aggregate("keys", F.lit(0).cast("long"), turn)
+
     return F.array(*(number(j) for j in range(words)))
 
 
@@ -104,10 +139,12 @@ def _similar(p: Column, q: Column, percent: int) -> Column:
     return 100 * common >= percent * (F.size(p) + F.size(q) - common)
 
 
-def _postings(lines: DataFrame, words: int) -> DataFrame:
-    """A row for each word of each line's prefix; ``words`` numbers make a bitmap."""
-    maps = [F.get("bits", F.lit(j)).alias(f"b{j}") for j in range(words)]
-    return lines.select(*LINE, "n", *maps, F.posexplode("prefix").alias("i", "word"))
+def _postings(lines: DataFrame, who: list[str], words: int) -> DataFrame:
+    """A row for each word of each line's prefix, with the columns ``who``; ``words`` numbers make a sketch.  A word turned
+    over one bit of one of them, so sets differ in at least as many words as their sketches do in bits."""
+    number = lambda j: reduce(Column.bitwiseXOR, (F.get("bits", F.lit(k)) for k in range(words) if k & j == j))
+    maps = [number(j).alias(f"b{j}") for j in range(words)]
+    return lines.select(*who, "n", *maps, F.posexplode("prefix").alias("i", "word"))
 
 
 #: What tells a line from all others: rows that repeat a key are told apart by their text.
@@ -123,8 +160,10 @@ def _line(side: str) -> Column:
     return F.struct(*(f"{side}.{c}" for c in LINE))
 
 
-#: 64-bit numbers of a line's bitmap, while all lines are candidates and when few are.
+#: 64-bit numbers of a line's sketch, while all lines are candidates and when few are.
 NARROW, WIDE = 2, 4
+#: Bits of the bitmap for a candidate line, and its least and greatest size as a power of two (8 KiB and 8 MiB).
+BITS_PER_LINE, LEAST_BITS, MOST_BITS = 16, 16, 26
 
 
 def later_matches(docs: DataFrame, key: str = "doc_id", text: str = "text", percent: int = 80, least_words: int = 1) -> DataFrame:
@@ -149,23 +188,27 @@ def _later_matches(rows: DataFrame, ranks: Column, percent: int, least_words: in
     keyed = split.select("doc", "text_hash", "line_no", _keys(F.col("line"), ranks).alias("keys")).withColumn("n", F.size("keys"))
     digests = [F.xxhash64("keys").alias("a"), F.xxhash64(F.lit(1), "keys").alias("b")]
     # blank and short lines are left out when the table is read: a filter before would work the keys out a second time
-    marked = store(keyed.select("doc", "text_hash", "line_no", "n", _bitmaps(NARROW).alias("bits"), _prefix(percent).alias("prefix"), *digests), "lines")
+    numbered = keyed.select(F.monotonically_increasing_id().alias("id"), *line, "n", _sketches(NARROW).alias("bits"), _prefix(percent).alias("prefix"), *digests)
+    marked = store(numbered, "lines")
     taking_part = marked.where((F.col("n") >= least_words) & (F.col("n") > 0))
 
-    # equal sets are one, at their first place; those that may match another set
-    sets = taking_part.groupBy(*digest).agg(F.min(F.struct(*line, "n", "bits", "prefix")).alias("s")).select("s.*")
+    # equal sets are one, at their first place; those that may match another set, by the number that the table gave a line
+    sets = taking_part.groupBy(*digest).agg(F.min(F.struct(*line, "id", "n", "bits", "prefix")).alias("s")).select("s.*")
     # a set too small to match another one (with a word more or less the share of common words is too low) has settled by now
-    posted = _postings(sets.where(100 * F.col("n") >= percent * (F.col("n") + 1)), NARROW)
-    # both sides have the same columns (so the whole line, not its place alone), and so are shuffled once
-    partner = (F.col("l.word") == F.col("r.word")) & (_line("l") != _line("r")) & _may_match(percent, NARROW)
-    maybe = store(posted.alias("l").join(posted.alias("r"), partner, "left_semi").select(*line).distinct(), "maybe")
-
-    # their words, from the texts
-    numbers = maybe.groupBy("doc", "text_hash").agg(F.collect_set("line_no").alias("numbers"))
-    asked = rows.withColumn("text_hash", F.xxhash64("_text")).join(numbers, ["doc", "text_hash"]).select("doc", "text_hash", F.split("_text", "\n").alias("all"), F.explode("numbers").alias("line_no"))
-    again = asked.select(*line, F.lower(F.get("all", F.col("line_no"))).alias("line")).select(*line, _keys(F.col("line"), ranks).alias("keys")).withColumn("n", F.size("keys"))
-    words = store(again.select(*line, "n", _bitmaps(WIDE).alias("bits"), _prefix(percent).alias("prefix"), *digests, "keys"), "words").where((F.col("n") >= least_words) & (F.col("n") > 0))
-    few = _postings(words, WIDE)
+    posted = _postings(sets.where(100 * F.col("n") >= percent * (F.col("n") + 1)), ["id"], NARROW)
+    # both sides have the same columns, and so are shuffled once
+    partner = (F.col("l.word") == F.col("r.word")) & (F.col("l.id") != F.col("r.id")) & _may_match(percent, NARROW)
+    maybe = store(posted.alias("l").join(posted.alias("r"), partner, "left_semi").select("id").distinct(), "maybe")
+    named = store(taking_part.join(maybe, "id", "left_semi").select(*line), "named")
+    drop(maybe)
+
+    # their words, where the texts are: a bitmap lets few other lines through, the join none
+    bits = min(MOST_BITS, max(LEAST_BITS, (named.count() * BITS_PER_LINE).bit_length()))
+    with _Variable(store(_bitmap(named, bits), "bitmap")) as bitmap:
+        there = F.get(bitmap, F.shiftright(_spot(bits), 6).cast("int")).bitwiseAND(_bit(_spot(bits))) != 0
+        again = split.where(there).select(*line, _keys(F.col("line"), ranks).alias("keys")).join(named, line, "left_semi").withColumn("n", F.size("keys"))
+        words = store(again.select(*line, "n", _sketches(WIDE).alias("bits"), _prefix(percent).alias("prefix"), *digests, "keys"), "words").where((F.col("n") >= least_words) & (F.col("n") > 0))
+    few = _postings(words, line, WIDE)
 
     # against the first line of each group
     whole = F.struct(*few.drop("word").columns)
@@ -182,7 +225,7 @@ def _later_matches(rows: DataFrame, ranks: Column, percent: int, least_words: in
     with_keys = lambda d: d.join(words.select(*line, "keys"), line)
     others = with_keys(left).alias("l").join(with_keys(right).alias("r"), earlier & _similar(F.col("l.keys"), F.col("r.keys"), percent), "left_semi").select(*line).distinct()
     matched = store(settled.unionByName(others).join(words.select(*line, *digest), line).select(*digest).distinct().withColumn("hit", F.lit(True)), "matched")
-    drop(maybe, settled, left)
+    drop(named, settled, left)
 
     place = F.struct("doc", "line_no")
     firsts = taking_part.groupBy(*digest).agg(F.min(place).alias("s"), F.count("*").alias("c")).join(matched, digest, "left").where("c > 1 or hit")

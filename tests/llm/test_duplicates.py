@@ -157,6 +157,19 @@ def test_prefixes_of_lines_are_shuffled_once(spark, prose, monkeypatch):
     assert len(sides) == 2 and re.sub(r"#\d+L?", "", sides[0]) == re.sub(r"#\d+L?", "", sides[1])
 
 
+@pytest.mark.parametrize("most", [linedup.MOST_BITS, 8])
+def test_words_of_candidate_lines_shuffle_no_texts(spark, prose, monkeypatch, most):
+    monkeypatch.setattr(linedup, "LEAST_BITS", 8)
+    monkeypatch.setattr(linedup, "MOST_BITS", most)
+    plans, store = {}, linedup.store
+    monkeypatch.setattr(linedup, "store", lambda df, name: plans.update({name: df._jdf.queryExecution().optimizedPlan().toString()}) or store(df, name))
+    r = random.Random(8)
+    rows = [(i, "\n".join([prose(i, 20), altered(prose(r.randrange(60), r.choice([3, 9, 20, 400])), r.randrange(4), r)])) for i in range(200)]
+    got = linedup.later_matches(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {(x["doc_id"], x["line_no"]) for x in got} == brute_lines(rows)
+    assert plans["words"].index("Join LeftSemi") < plans["words"].index("Generate posexplode(split(")  # lines, not texts, meet the candidates
+
+
 def test_lines_of_odd_rows(spark, odd):
     out = linedup.dedup_lines(odd)
     rows = out.collect()
