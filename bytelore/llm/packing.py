@@ -13,17 +13,20 @@ import zlib
 from collections import deque
 from collections.abc import Iterator
 from dataclasses import dataclass
-from itertools import chain
+from itertools import chain, pairwise
 
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
+from ..sources.blob import bound_batches
 from . import _text as tx
 
 #: Distinct pieces whose ids a worker remembers (about 50 bytes each).
 CACHE = 1_000_000
+#: Pieces that the tokenizer encodes, places whose cuts are looked up, and tokens that go into an output batch, at a time.
+ENCODED_AT_ONCE, PLACES_AT_ONCE, TOKENS_AT_ONCE = 1 << 12, 1 << 12, 1 << 18
 
 
 @dataclass(frozen=True)
@@ -61,10 +64,14 @@ class Encoder:
         """Encode ``pieces``, whose hashes ``keys`` are sorted and new."""
         if len(self.keys) + len(keys) > CACHE and len(self.keys):
             raise MemoryError
-        got = [e.ids for e in self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)]
-        size = np.fromiter(map(len, got), np.int64, len(got))
+        sizes, ids = [], [self.ids]
+        for first in range(0, len(pieces), ENCODED_AT_ONCE):  # the tokenizer's results are much larger than the ids
+            got = [e.ids for e in self.tokenizer.encode_batch_fast(pieces[first : first + ENCODED_AT_ONCE], add_special_tokens=False)]
+            sizes.append(np.fromiter(map(len, got), np.int64, len(got)))
+            ids.append(np.fromiter(chain.from_iterable(got), np.uint32, int(sizes[-1].sum())))
+        size = np.concatenate(sizes)
         begin = len(self.ids) + np.append(0, np.cumsum(size))[:-1]
-        self.ids = np.concatenate([self.ids, np.fromiter(chain.from_iterable(got), np.uint32, int(size.sum()))])
+        self.ids = np.concatenate(ids)
         keys = np.concatenate([self.keys, keys])
         order = np.argsort(keys, kind="stable")
         self.keys, self.begin, self.size = keys[order], np.concatenate([self.begin, begin])[order], np.concatenate([self.size, size])[order]
@@ -134,20 +141,25 @@ def best_cuts(total: int, document_ends: np.ndarray, sentence_ends: np.ndarray,
     allowed[0] = True
     places = np.flatnonzero(allowed)
     places_list, cost_list = places.tolist(), cost[places].tolist()
+    del cost, allowed
     best = [0.0] * len(places_list)
     back = [0] * len(places_list)
     powers = [1 << k for k in range(p.length.bit_length()) if 1 << k < p.length]
-    # for each power, the index of the place that far before, or -1
-    earlier = []
-    for w in powers:
-        i = np.searchsorted(places, places - w)
-        earlier.append(np.where((places >= w) & (places[np.minimum(i, len(places) - 1)] == places - w), i, -1))
-    before = np.stack(earlier, 1).tolist()
+
+    def earlier(some: np.ndarray) -> list[list[int]]:
+        """For each place and each power, the index of the place that far before, or -1."""
+        wanted = some[:, None] - np.array(powers, np.int64)
+        i = np.searchsorted(places, wanted)
+        return np.where(places[np.minimum(i, len(places) - 1)] == wanted, i, -1).tolist()
+
     # best[j] = cost[j] + length - place[j] + min(best[i] + place[i]) over the window of places i
     queue: deque[tuple[float, int]] = deque()
     low = 0
     length = p.length
     for j in range(1, len(places_list)):
+        if j % PLACES_AT_ONCE == 0 or j == 1:
+            chunk = j - j % PLACES_AT_ONCE
+            before = earlier(places[chunk : chunk + PLACES_AT_ONCE])
         i = j - 1
         value = best[i] + places_list[i]
         while queue and queue[-1][0] >= value:
@@ -158,7 +170,7 @@ def best_cuts(total: int, document_ends: np.ndarray, sentence_ends: np.ndarray,
             queue.popleft()
         value, i = queue[0]
         value += length - at
-        for k in before[j]:
+        for k in before[j - chunk]:
             if k >= 0 and best[k] < value:
                 value, i = best[k], k
         best[j] = value + cost_list[j]
@@ -193,30 +205,35 @@ def pack_sequences(docs: DataFrame, tokenizer: str, key: str = "doc_id", text: s
         held: list[tuple[pa.Array, np.ndarray, np.ndarray, np.ndarray]] = []
         tokens = 0
 
-        def flush() -> pa.RecordBatch:
+        def flush() -> Iterator[pa.RecordBatch]:
             nonlocal sequences, rows_before
             keys = pa.concat_arrays([h[0] for h in held])
             ids = np.concatenate([h[1] for h in held])
             shift = np.append(0, np.cumsum([len(h[1]) for h in held]))
             ends = np.concatenate([h[2] + s for h, s in zip(held, shift[:-1], strict=True)])  # after each document's end id
             sentences = np.concatenate([h[3] + s for h, s in zip(held, shift[:-1], strict=True)])
+            held.clear()
             cuts = np.array(best_cuts(len(ids), ends, sentences, p), np.int64)
             stops = np.union1d(ends, cuts)
             starts = np.append(0, stops[:-1])
             doc, seq = np.searchsorted(ends, stops), np.searchsorted(cuts, stops)
             doc_start, seq_start = np.append(0, ends[:-1]), np.append(0, cuts[:-1])
-            raw = memoryview(np.ascontiguousarray(ids, "<u4")).cast("B")
-            crc = [zlib.crc32(raw[4 * a : 4 * b]) for a, b in zip(starts.tolist(), stops.tolist(), strict=True)]
-            columns = [
-                keys.take(pa.array(doc)), starts - doc_start[doc], stops - starts, np.array(crc, np.int64), (ends - doc_start)[doc],
-                base + sequences + seq, starts - seq_start[seq], base + rows_before + doc,
-            ]
-            if with_ids:
-                columns.append(pa.ListArray.from_arrays(pa.array(np.append(starts, len(ids)).astype(np.int32)), pa.array(ids.astype(np.int64))))
+            # in batches of bounded size, each ending with a piece
+            edges = np.unique(np.append(np.searchsorted(starts, np.arange(0, len(ids), TOKENS_AT_ONCE)), len(stops)))
+            for a, b in pairwise(edges.tolist()):
+                d, some = doc[a:b], ids[starts[a] : stops[b - 1]]
+                at, to = starts[a:b] - starts[a], stops[a:b] - starts[a]
+                raw = memoryview(np.ascontiguousarray(some, "<u4")).cast("B")
+                crc = [zlib.crc32(raw[4 * x : 4 * y]) for x, y in zip(at.tolist(), to.tolist(), strict=True)]
+                columns = [
+                    keys.take(pa.array(d)), starts[a:b] - doc_start[d], to - at, np.array(crc, np.int64), (ends - doc_start)[d],
+                    base + sequences + seq[a:b], starts[a:b] - seq_start[seq[a:b]], base + rows_before + d,
+                ]
+                if with_ids:
+                    columns.append(pa.ListArray.from_arrays(pa.array(np.append(at, len(some)).astype(np.int32)), pa.array(some.astype(np.int64))))
+                yield pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, pa.int64()) for c in columns], names)
             sequences += len(cuts)
             rows_before += len(ends)
-            held.clear()
-            return pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, pa.int64()) for c in columns], names)
 
         for block, data, offsets in tx.blocks(batches, "_text"):
             ids, bounds, sentence = encoder.encode(data, offsets)
@@ -227,14 +244,16 @@ def pack_sequences(docs: DataFrame, tokenizer: str, key: str = "doc_id", text: s
             out[place] = ids
             ends = bounds[1:] + np.arange(1, rows + 1)
             cut = np.flatnonzero(sentence[1:]) + 1  # ids before the cut, of which the last is in the cut's row
-            held.append((block.column(0), out, ends, place[cut - 1] + 1 if n else cut))
+            own = block.column(0).take(pa.array(np.arange(rows)))  # a slice would keep the batch with its texts
+            held.append((own, out, ends, place[cut - 1] + 1 if n else cut))
             tokens += len(out)
             if tokens >= p.buffer_tokens:
-                yield flush()
+                yield from flush()
                 tokens = 0
         if held:
-            yield flush()
+            yield from flush()
 
+    bound_batches(docs.sparkSession)
     frame = docs.select(docs[key], docs[text].cast("string").alias("_text"))
     kind = docs.schema[key].dataType.simpleString()
     return frame.mapInArrow(run, f"`{key}` {kind}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, row long" + ", ids array<long>" * with_ids)

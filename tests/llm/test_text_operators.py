@@ -2,8 +2,10 @@ import hashlib
 import math
 import random
 import re
+import tracemalloc
 import zlib
 from collections import Counter
+from types import SimpleNamespace
 
 import numpy as np
 import pytest
@@ -263,6 +265,38 @@ def test_cuts_are_cheapest():
         assert sum(pad(b - a) + cost(b) for a, b in zip([0, *cuts], cuts, strict=False)) == best[total]
 
 
+def test_packing_memory_is_bounded(spark, prose, monkeypatch):
+    public = pytest.importorskip("public_tokenizers")
+    import pyarrow as pa
+
+    docs = frame(spark, ["x"])
+    monkeypatch.setattr(type(docs), "mapInArrow", lambda self, f, schema: f)
+    monkeypatch.setattr(packing, "TaskContext", SimpleNamespace(get=lambda: SimpleNamespace(partitionId=lambda: 0)))
+    spark.conf.unset("spark.sql.execution.arrow.maxBytesPerBatch")
+    run = packing.pack_sequences(docs, public.path("word_bpe_49k.json"))
+    assert int(spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch")) <= 4 << 20
+    encoder, most = packing.encoder_for(public.path("word_bpe_49k.json")), []
+    encoder.forget()
+    real = encoder.tokenizer
+    monkeypatch.setattr(encoder, "tokenizer", SimpleNamespace(encode_batch_fast=lambda x, **k: most.append(len(x)) or real.encode_batch_fast(x, **k)))
+    texts = [" ".join(f"w{i}x{j}" for j in range(200)) for i in range(900)]
+    out = list(run(iter([pa.RecordBatch.from_arrays([pa.array(range(900)), pa.array(texts)], ["doc_id", "_text"])])))
+    ids = [len(b.column("ids").flatten()) for b in out]
+    assert max(most) <= packing.ENCODED_AT_ONCE < len(encoder.keys) and len(ids) > 1 and max(ids) <= packing.TOKENS_AT_ONCE + 4096
+    rows = pa.Table.from_batches(out).to_pylist()
+    assert [x["row"] for x in rows] == sorted(x["row"] for x in rows)
+    got: dict = {}
+    for x in rows:
+        assert x["length"] == len(x["ids"]) and zlib.crc32(np.array(x["ids"], "<u4").tobytes()) == x["ids_crc32"] and x["start"] == len(got.get(x["doc_id"], []))
+        got.setdefault(x["doc_id"], []).extend(x["ids"])
+    assert all(got[i] == real.encode(t, add_special_tokens=False).ids + [2] for i, t in enumerate(texts))
+    tracemalloc.start()
+    packing.best_cuts(200_000, np.arange(1000, 200_000, 1000), np.arange(2, 200_000, 2), packing.Packing())
+    held = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert held < 40e6
+
+
 # 9: language model
 
 
