@@ -20,22 +20,14 @@ from ._scratch import drop, store
 
 #: Hash buckets in which words are counted; a word is as rare as its bucket.
 BUCKET_BITS = 20
-_GAP = "[ \\t\\n\\x0B\\f\\r]+"
 _BLANK = " \t\n\x0b\f\r"
 
 
-def _words(line: Column, odd_edges: bool = True) -> Column:
-    """The words of a line in lower case; a blank line gives one empty string.
-
-    A split at one character needs no regular expression, so lines go by that where blanks are single spaces within.
-    Without ``odd_edges`` there may be empty strings among the words.
-    """
-    odd = F.lit(False)
-    for blank in ("\t", "\x0b", "\f", "\r"):
-        odd = odd | line.contains(blank)
-    if odd_edges:
-        odd = odd | line.startswith(" ") | line.endswith(" ") | line.contains("  ")
-    return F.when(odd, F.split(F.btrim(line, F.lit(_BLANK)), _GAP)).otherwise(F.split(line, " "))
+def _spaced(text: Column) -> Column:
+    """A text in lower case with spaces for all blanks but line feeds, so that words come by a split at one character."""
+    low = F.lower(text)
+    odd = reduce(Column.__or__, (low.contains(blank) for blank in "\t\x0b\f\r"))
+    return F.when(odd, F.regexp_replace(low, "[\\t\\x0B\\f\\r]", " ")).otherwise(low)
 
 
 def _ranks(rows: DataFrame) -> DataFrame:
@@ -43,9 +35,9 @@ def _ranks(rows: DataFrame) -> DataFrame:
 
     It counts all words of ``_text``.  The array has 2 ** BUCKET_BITS bytes whatever the input.
     """
-    text = rows.select(F.replace(F.lower("_text"), F.lit("\n"), F.lit(" ")).alias("text"))
+    text = rows.select(F.replace(_spaced(F.col("_text")), F.lit("\n"), F.lit(" ")).alias("text"))
     bucket = F.xxhash64("w").bitwiseAND((1 << BUCKET_BITS) - 1)
-    counts = text.select(F.explode(_words(F.col("text"), odd_edges=False)).alias("w")).groupBy(bucket.alias("id")).agg(F.count("*").alias("c"))
+    counts = text.select(F.explode(F.split("text", " ")).alias("w")).groupBy(bucket.alias("id")).agg(F.count("*").alias("c"))
     level = F.least(F.floor(F.log2(F.coalesce("c", F.lit(0)) + 1) * 4), F.lit(127)).cast("tinyint")
     return _array(counts.select("id", level.alias("cell")), BUCKET_BITS, F.lit(0).cast("tinyint"))
 
@@ -91,9 +83,13 @@ class _Variable:
         self.spark.sql(f"drop temporary variable {self.name}")
 
 
-def _keys(line: Column, ranks: Column) -> Column:
-    """The distinct words of a line in lower case as 63-bit numbers that sort from rare to common; null for a blank line."""
-    hashes = F.array_distinct(F.transform(F.when(F.btrim(line, F.lit(_BLANK)) != "", _words(line)), lambda w: F.xxhash64(w)))
+def _hashes(line: Column) -> Column:
+    """The distinct words of a line of a ``_spaced`` text as 64-bit hashes; none for a blank line."""
+    return F.array_remove(F.array_distinct(F.transform(F.split(line, " "), lambda w: F.xxhash64(w))), F.xxhash64(F.lit("")))
+
+
+def _keys(hashes: Column, ranks: Column) -> Column:
+    """Hashes of words as 63-bit numbers that sort from rare to common."""
     # never null, so that arrays are of plain numbers and sort fast
     rank = lambda h: F.coalesce(F.get(ranks, h.bitwiseAND((1 << BUCKET_BITS) - 1).cast("int")).cast("long"), F.lit(0).cast("long"))
     return F.sort_array(F.transform(hashes, lambda h: F.shiftleft(rank(h), 56).bitwiseOR(F.shiftrightunsigned(h, 8))))
@@ -108,27 +104,32 @@ def _prefix(percent: int) -> Column:
     return F.transform(F.slice("keys", 1, F.col("n") - _at_least(percent, F.col("n")) + 1), lambda k: k.bitwiseAND(0x7FFFFFFF).cast("int"))
 
 
-def _sketches(words: int) -> Column:
-    """``words`` (a power of two) 64-bit numbers of ``keys``, as an array: each word turns over one bit, at the same place, of
-    all numbers whose index has only bits that the word has too.  ``_postings`` takes them apart."""
+#: Four bits for a count, of which as many differ between two counts as these are apart on a circle of eight.
+_CODES = 0x8CEF7310
 
-    def number(j: int) -> Column:
-        def turn(bits: Column, k: Column) -> Column:
-            mine, t = F.lit(1).cast("long"), 0
-            while 1 << t < words:
-                mine, t = F.shiftright(k, 6 + t).bitwiseAND(mine) if j >> t & 1 else mine, t + 1
-            return bits.bitwiseXOR(F.call_function("shiftleft", mine, k.bitwiseAND(63).cast("int")))
 
-        return F.aggregate("keys", F.lit(0).cast("long"), turn)
+def _bounds(words: int) -> list[Column]:
+    """What parts 64-bit hashes into equal ranges, 16 for each of ``words`` numbers of a sketch."""
+    ranges = 16 * words
+    return [F.lit((1 << 64) // ranges * t - (1 << 63)).cast("long") for t in range(1, ranges)]
 
-    return F.array(*(number(j) for j in range(words)))
+
+def _sketches(words: int) -> Column:
+    """``words`` 64-bit numbers, as an array: four bits for how many words of a line hash into each of equal ranges.
+
+    The ranges' bounds are sorted in with the hashes as ``among``, where their places tell the counts, so no step is taken
+    for each word but that sort.  Sets differ in at least as many words as their sketches do in bits.
+    """
+    at = [F.lit(0).cast("long"), *(F.array_position("among", x) for x in _bounds(words)), F.size("among").cast("long") + 1]
+    code = lambda t: F.call_function("shiftright", F.lit(_CODES).cast("long"), F.shiftleft((at[t + 1] - at[t] - 1).bitwiseAND(7), 2).cast("int")).bitwiseAND(15)
+    return F.array(*(reduce(Column.bitwiseOR, (F.shiftleft(code(16 * j + t), 4 * t) for t in range(16))) for j in range(words)))
 
 
 def _may_match(percent: int, words: int) -> Column:
-    """Whether lines l and r, which share the prefix word at places i, can be similar enough."""
+    """Whether lines l and r, whose first common word is at places i, can be similar enough."""
     n = F.col("l.n") + F.col("r.n")
     sizes = 100 * F.least("l.n", "r.n") >= percent * F.greatest("l.n", "r.n")
-    room = F.least("l.i", "r.i") + F.least(F.col("l.n") - F.col("l.i"), F.col("r.n") - F.col("r.i"))
+    room = F.least(F.col("l.n") - F.col("l.i"), F.col("r.n") - F.col("r.i"))  # of the first common word: no earlier one is common
     places = room * (100 + percent) >= n * percent
     apart = sum(F.bit_count(F.col(f"l.b{j}").bitwiseXOR(F.col(f"r.b{j}"))) for j in range(words))
     return sizes & places & (apart * (100 + percent) <= n * (100 - percent))
@@ -140,11 +141,8 @@ def _similar(p: Column, q: Column, percent: int) -> Column:
 
 
 def _postings(lines: DataFrame, who: list[str], words: int) -> DataFrame:
-    """A row for each word of each line's prefix, with the columns ``who``; ``words`` numbers make a sketch.  A word turned
-    over one bit of one of them, so sets differ in at least as many words as their sketches do in bits."""
-    number = lambda j: reduce(Column.bitwiseXOR, (F.get("bits", F.lit(k)) for k in range(words) if k & j == j))
-    maps = [number(j).alias(f"b{j}") for j in range(words)]
-    return lines.select(*who, "n", *maps, F.posexplode("prefix").alias("i", "word"))
+    """A row for each word of each line's prefix, with the columns ``who``; ``words`` numbers make a sketch."""
+    return lines.select(*who, "n", *(F.get("bits", F.lit(j)).alias(f"b{j}") for j in range(words)), F.posexplode("prefix").alias("i", "word"))
 
 
 #: What tells a line from all others: rows that repeat a key are told apart by their text.
@@ -183,12 +181,17 @@ def later_matches(docs: DataFrame, key: str = "doc_id", text: str = "text", perc
 
 def _later_matches(rows: DataFrame, ranks: Column, percent: int, least_words: int) -> DataFrame:
     line, digest = LINE, ["a", "b"]
-    lower = rows.select("doc", F.xxhash64("_text").alias("text_hash"), F.lower("_text").alias("text"))
-    split = lower.select("doc", "text_hash", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
-    keyed = split.select("doc", "text_hash", "line_no", _keys(F.col("line"), ranks).alias("keys")).withColumn("n", F.size("keys"))
+    spaced = rows.select("doc", F.xxhash64("_text").alias("text_hash"), _spaced(F.col("_text")).alias("text"))
+    split = spaced.select("doc", "text_hash", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
+
+    def hashed(lines: DataFrame, words: int) -> DataFrame:
+        hashes = lines.select(*line, _hashes(F.col("line")).alias("hashes"))
+        among = F.sort_array(F.concat("hashes", F.array(*_bounds(words)))).alias("among")
+        return hashes.select("*", _keys(F.col("hashes"), ranks).alias("keys"), F.size("hashes").alias("n"), among)
+
     digests = [F.xxhash64("keys").alias("a"), F.xxhash64(F.lit(1), "keys").alias("b")]
     # blank and short lines are left out when the table is read: a filter before would work the keys out a second time
-    numbered = keyed.select(F.monotonically_increasing_id().alias("id"), *line, "n", _sketches(NARROW).alias("bits"), _prefix(percent).alias("prefix"), *digests)
+    numbered = hashed(split, NARROW).select(F.monotonically_increasing_id().alias("id"), *line, "n", _sketches(NARROW).alias("bits"), _prefix(percent).alias("prefix"), *digests)
     marked = store(numbered, "lines")
     taking_part = marked.where((F.col("n") >= least_words) & (F.col("n") > 0))
 
@@ -206,7 +209,7 @@ def _later_matches(rows: DataFrame, ranks: Column, percent: int, least_words: in
     bits = min(MOST_BITS, max(LEAST_BITS, (named.count() * BITS_PER_LINE).bit_length()))
     with _Variable(store(_bitmap(named, bits), "bitmap")) as bitmap:
         there = F.get(bitmap, F.shiftright(_spot(bits), 6).cast("int")).bitwiseAND(_bit(_spot(bits))) != 0
-        again = split.where(there).select(*line, _keys(F.col("line"), ranks).alias("keys")).join(named, line, "left_semi").withColumn("n", F.size("keys"))
+        again = hashed(split.where(there).join(named, line, "left_semi"), WIDE)
         words = store(again.select(*line, "n", _sketches(WIDE).alias("bits"), _prefix(percent).alias("prefix"), *digests, "keys"), "words").where((F.col("n") >= least_words) & (F.col("n") > 0))
     few = _postings(words, line, WIDE)
 

@@ -170,6 +170,22 @@ def test_words_of_candidate_lines_shuffle_no_texts(spark, prose, monkeypatch, mo
     assert plans["words"].index("Join LeftSemi") < plans["words"].index("Generate posexplode(split(")  # lines, not texts, meet the candidates
 
 
+def test_sketches_bound_differences_without_steps_for_words(spark, prose, monkeypatch):
+    r = random.Random(6)
+    sets = [r.sample([x for i in range(200) for x in (i * 2**56 - 2**63, r.randrange(-(2**63), 2**63))], r.randrange(0, 200)) for _ in range(60)]
+    rows = spark.createDataFrame([(i, s) for i, s in enumerate(sets)], "id int, hashes array<long>")
+    for words in (linedup.NARROW, linedup.WIDE):
+        among = F.sort_array(F.concat("hashes", F.array(*linedup._bounds(words)))).alias("among")
+        bits = {x[0]: x[1] for x in rows.select("id", among).select("id", linedup._sketches(words)).collect()}
+        apart = lambda a, b: sum(((p ^ q) & (2**64 - 1)).bit_count() for p, q in zip(a, b, strict=True))
+        assert all(apart(bits[i], bits[j]) <= len(set(sets[i]) ^ set(sets[j])) for i in bits for j in bits)
+        assert apart(bits[0], bits[1]) > 0 and len(bits[0]) == words
+    plans, store = {}, linedup.store
+    monkeypatch.setattr(linedup, "store", lambda df, name: plans.update({name: df._jdf.queryExecution().optimizedPlan().toString()}) or store(df, name))
+    linedup.later_matches(spark.createDataFrame([(i, prose(i % 2, 12)) for i in range(4)], "doc_id long, text string"))
+    assert "aggregate(" not in plans["lines"] and "aggregate(" not in plans["words"]
+
+
 def test_lines_of_odd_rows(spark, odd):
     out = linedup.dedup_lines(odd)
     rows = out.collect()
